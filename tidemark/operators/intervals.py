@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators.ordered import TIME, Order, islands, neighbour, overlap_islands, position, running
+from tidemark.operators.ordered import TIME, Order, chunked, islands, neighbour, overlap_islands, position, running
 
 GRID = 64
 
@@ -311,22 +311,20 @@ def spaced(df: DataFrame, order: Order, k: int) -> DataFrame:
 def audit_plan(
     segments: DataFrame, reference: DataFrame, durations: DataFrame, flagged: Column, width_ms: int,
     bucket_ms: int, min_gap_ms: int, even: int = 4, each: int = 4, most: int = 16, tolerance_ms: int = 150,
-    order: Order = TIME,
+    order: Order = TIME, chunk_ms: int = 7 * 86_400_000,
 ) -> DataFrame:
     """WIN11: a bounded plan of windows per stream: warnings, uncovered reference, gaps, even samples."""
     keys = list(order.keys)
-    slot = Order(order.keys, ("start_ms", "end_ms"), None)
+    slot = Order(order.keys, ("start_ms", "end_ms", "seq"))
 
     def windows(df: DataFrame, reason: str, rank: int) -> DataFrame:
-        picked = spaced(df, slot, each).join(durations, keys)
+        picked = spaced(*chunked(df, slot, chunk_ms), each).join(durations, keys)
         return centred_windows(picked, F.col("duration_ms"), width_ms).select(
             *keys, F.lit(rank).alias("rank"), F.col("clip_start").alias("start_ms"),
             F.col("clip_end").alias("end_ms"), F.array(F.lit(reason)).alias("reasons"),
         )
 
     slim = [*keys, "seq", "start_ms", "end_ms"]
-    slot_seq = Order(order.keys, ("start_ms", "end_ms", "seq"), None)
-    slot = slot_seq
     warned = windows(segments.where(flagged).select(*slim), "warning", 1)
     missed = windows(uncovered(reference.select(*slim), segments.select(*slim), bucket_ms, 200, order.keys), "uncovered", 2)
     gaps = coverage_gaps(segments, durations, min_gap_ms, order).select(
@@ -547,22 +545,20 @@ def recover_gaps(
     return out.withColumn("decision", F.when(F.size("reject_reasons") == 0, "accepted").otherwise("rejected")).drop("_hard", "nearby")
 
 
-def reconcile(primary: DataFrame, decisions: DataFrame, order: Order = TIME) -> DataFrame:
+def reconcile(primary: DataFrame, decisions: DataFrame, order: Order = TIME, chunk_ms: int = 7 * 86_400_000) -> DataFrame:
     """JOIN6 (result): primary rows plus accepted recoveries, renumbered, primary first on ties."""
     keys = list(order.keys)
     cols = [*keys, "seq", "start_ms", "end_ms", "text"]
     rows = primary.select(*cols, F.lit(0).alias("origin")).unionByName(
         decisions.where("decision = 'accepted'").select(*cols, F.lit(1).alias("origin"))
     )
-    by = ("start_ms", "end_ms", "origin", "seq")
-    if order.chunk:
-        raise ValueError("pass a chunk column through chunked() on the result instead")
-    return position(rows, Order(order.keys, by), "new_seq")
+    rows, by_time = chunked(rows, Order(order.keys, ("start_ms", "end_ms", "origin", "seq")), chunk_ms)
+    return position(rows, by_time, "new_seq").drop("_chunk")
 
 
 def cut_and_recover(
     rows: DataFrame, marked: Column, source: DataFrame, bucket_ms: int, override: str = "…",
-    order: Order = Order(by=("seq",)), levels: int = 2,
+    order: Order = Order(by=("seq",)), levels: int = 2, chunk_ms: int = 7 * 86_400_000,
 ) -> DataFrame:
     """JOIN11: runs of consecutively numbered marked rows are replaced by source rows clipped to the run.
 
@@ -594,6 +590,5 @@ def cut_and_recover(
     made = filled.select(*keys, F.col("r_seq").alias("seq"), "start_ms", "end_ms", "text", F.lit("recovered").alias("origin")).unionByName(
         empty.select(*keys, F.col("r_seq").alias("seq"), "start_ms", "end_ms", "text", F.lit("override").alias("origin"))
     )
-    result = kept.unionByName(made)
-    by = ("start_ms", "end_ms", "origin", "seq")
-    return position(result, Order(order.keys, by), "new_seq")
+    result, by_time = chunked(kept.unionByName(made), Order(order.keys, ("start_ms", "end_ms", "origin", "seq")), chunk_ms)
+    return position(result, by_time, "new_seq").drop("_chunk")
