@@ -44,10 +44,26 @@ def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     from difflib import SequenceMatcher
 
     return pd.Series([
-        1.0 if not a and not b else SequenceMatcher(None, a or "", b or "").ratio() for a, b in zip(left, right)
+        1.0 if not a and not b else SequenceMatcher(None, a or "", b or "", autojunk=False).ratio() for a, b in zip(left, right)
     ])
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def pack_words(text: pd.Series, limit: pd.Series) -> pd.Series:
+    """Words packed greedily into pieces of at most ``limit`` characters."""
+    def one(value, size):
+        made, line = [], ""
+        for word in value.split(" "):
+            if line and len(line) + 1 + len(word) > size:
+                made.append(line)
+                line = word
+            else:
+                line = f"{line} {word}" if line else word
+        return [*made, line]
+
+    return pd.Series([one(v or "", n) for v, n in zip(text, limit)])
+
+
 def bigrams(text: Column) -> Column:
     """Distinct character pairs; a text shorter than two stands for itself."""
     n = F.length(text)

@@ -111,7 +111,7 @@ def keep_first(
             return len(x & y) / len(x | y) >= at_least
         from difflib import SequenceMatcher
 
-        return SequenceMatcher(None, a, b).ratio() >= at_least
+        return SequenceMatcher(None, a, b, autojunk=False).ratio() >= at_least
 
     def step(state, start, end, fam, text):
         kept = state or []
@@ -418,18 +418,7 @@ def split_layout(df: DataFrame, limit: int = 42) -> DataFrame:
     pieces = F.transform(
         F.sequence(F.lit(0), F.floor((F.greatest(F.length(value), F.lit(1)) - 1) / two)), lambda i: F.substring(value, i * two + 1, F.lit(two))
     )
-    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-
-    def pack(acc: Column, word: Column) -> Column:
-        joined = F.trim(F.concat(acc["cur"], F.lit(" "), word))
-        full = (acc["cur"] != "") & (F.length(joined) > two)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["cur"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, word).otherwise(joined).alias("cur"),
-        )
-
-    packed = F.aggregate(words, empty, pack, lambda acc: F.concat(acc["done"], F.array(acc["cur"])))
-    chunks = F.when(F.length(value) <= two, F.array(value)).when(F.size(words) == 1, pieces).otherwise(packed)
+    chunks = F.when(F.length(value) <= two, F.array(value)).when(F.size(words) == 1, pieces).otherwise(tx.pack_words(value, F.lit(two)))
 
     parts = F.when(fits, F.array(F.col("text"))).otherwise(chunks)
     out = df.withColumns({"_fits": fits, "_parts": parts}).withColumn("_n", F.size("_parts"))
