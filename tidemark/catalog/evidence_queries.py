@@ -397,7 +397,7 @@ wi AS (SELECT user_id % 100 AS stream_id, event_id % 3 AS scene, CAST(event_id A
 ww AS (SELECT stream_id, scene, count(*) AS n, string_agg(ref, ',' ORDER BY ref) AS refs FROM wi GROUP BY ALL),
 nb AS (SELECT *, list(seq) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS bf, list(seq) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS af FROM tn)""") + """
 SELECT t.stream_id, t.seq, coalesce(array_to_string(bf, ','), '') AS before, coalesce(array_to_string(af, ','), '') AS after, CASE WHEN coalesce(aligned, false) THEN coalesce(refs, '') ELSE '' END AS witness_refs,
-  CASE WHEN t.seq % 2 = 0 THEN upper(t.text) END AS previous_text,
+  CASE WHEN t.seq % 2 = 0 THEN 'p ' || t.text END AS previous_text,
   array_to_string(list_sort(list_filter([CASE WHEN aligned IS NOT NULL AND NOT aligned THEN 'low-timeline-confidence' END, CASE WHEN aligned IS NOT NULL AND NOT aligned AND n > 0 THEN 'audio-evidence-withheld' END,
     CASE WHEN aligned IS NOT NULL AND n IS NULL THEN 'missing-witness' END, CASE WHEN aligned IS NOT NULL AND (t.stream_id + t.seq // 3) % 5 = 0 THEN 'scene-risk' END], lambda x: x IS NOT NULL)), ',') AS risk_codes
 FROM nb t LEFT JOIN sc ON sc.stream_id = t.stream_id AND sc.scene = t.seq // 3 LEFT JOIN ww ON ww.stream_id = t.stream_id AND ww.scene = t.seq // 3""")
@@ -409,7 +409,7 @@ def join13(spark, sf):
     scenes = tn.select("stream_id", "scene").distinct().where(mix % 7 != 0).withColumns(
         {"aligned": mix % 3 != 0, "risks": F.when(mix % 5 == 0, F.array(L("scene-risk"))).otherwise(none)})
     wit = table(spark, sf, "events").where("value > 150").select((F.col("user_id") % 100).alias("stream_id"), (F.col("event_id") % 3).alias("scene"), F.col("event_id").cast("string").alias("ref"), L("w").alias("text"))
-    previous = tn.where("seq % 2 = 0").select("stream_id", "seq", F.upper("text").alias("text"))
+    previous = tn.where("seq % 2 = 0").select("stream_id", "seq", F.concat(L("p "), F.col("text")).alias("text"))
     out = ev_.evidence_bundle(tn, scenes, wit, previous, order)
     return out.select(
         "stream_id", "seq", F.array_join(F.col("before.seq").cast("array<string>"), ",").alias("before"), F.array_join(F.col("after.seq").cast("array<string>"), ",").alias("after"),

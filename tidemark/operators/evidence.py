@@ -564,15 +564,18 @@ def apply_reviews(rows: DataFrame, reviews: DataFrame, keys: Sequence[str] = ("s
     ``reviews``: keys, ``verdict, findings`` (array of struct with ``disposition``),
     ``unsupported_additions`` (array), ``fallback_blocking``.
     """
-    r = reviews.select(*keys, "verdict", "findings", "unsupported_additions", "fallback_blocking")
+    r = reviews.select(
+        *keys, F.col("verdict").alias("_verdict"), F.col("findings").alias("_found"), F.col("unsupported_additions").alias("_added"),
+        F.col("fallback_blocking").alias("_fb"),
+    )
     out = rows.join(r, list(keys), "left")
-    blocked = F.coalesce(F.exists("findings", lambda f: f["disposition"] == "blocking"), F.lit(False))
-    clean = F.coalesce(F.col("verdict") == "accept", F.lit(False)) & ~blocked & (F.size(F.coalesce("unsupported_additions", F.array())) == 0)
+    blocked = F.coalesce(F.exists("_found", lambda f: f["disposition"] == "blocking"), F.lit(False))
+    clean = F.coalesce(F.col("_verdict") == "accept", F.lit(False)) & ~blocked & (F.size(F.coalesce("_added", F.array())) == 0)
     safe = (
         F.col("fallback_safe") & ~F.coalesce(F.trim("fallback_text"), F.lit("")).isin("", hold) & (F.size("fallback_claims") > 0)
-        & ~F.coalesce("fallback_blocking", F.lit(False))
+        & ~F.coalesce("_fb", F.lit(False))
     )
     used = F.when(clean, "kept").when(safe, "fallback").otherwise("abstained")
     return out.withColumns(
         {"outcome": used, "reviewed_text": F.when(used == "kept", F.col("final_text")).when(used == "fallback", F.col("fallback_text")).otherwise(F.lit(hold))}
-    ).drop("verdict", "findings", "unsupported_additions", "fallback_blocking")
+    ).drop("_verdict", "_found", "_added", "_fb")
