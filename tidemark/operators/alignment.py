@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidemark.functions import text as tx
 from tidemark.operators.ordered import Order, fold_rows, position
 from tidemark.operators.sequences import interpolate_starts, outputs
+from tidemark.session import materialise
 
 # fixed values: cost of leaving a left or right row unmatched, and the score of a match
 SKIP_LEFT, SKIP_RIGHT, GAIN, PRICE = 0.45, 0.25, 2.4, 1.0
@@ -80,7 +81,7 @@ def align_sequences(
     rows = listed(right, 0).unionByName(listed(left, 1))
     scored = fold_rows(rows, Order(keys, ("side", "seq")), ["side", "key"], forward, outputs(choices=T.BinaryType()), max_rows)
     back = scored.where("side = 1").select(*keys, "seq", (-F.col("seq")).alias("back"), "choices")
-    walked = fold_rows(back, Order(keys, ("back",)), ["choices"], backward, outputs(pos=T.LongType()), max_rows)
+    walked = fold_rows(back, Order(keys, ("back",)), ["choices"], backward, outputs(pos=T.LongType()), max_rows, count_from=left)
     numbered = position(right, Order(keys, ("seq",)), "pos").select(*keys, "pos", F.col("seq").alias("match_seq"), F.col("text").alias("match_text"))
     pairs = walked.where("pos is not null").select(*keys, "seq", "pos").join(numbered, [*keys, "pos"])
     pairs = pairs.join(left.select(*keys, "seq", "text"), [*keys, "seq"])
@@ -95,5 +96,7 @@ def retime(
     keys = list(order.keys)
     pairs = align_sequences(left, right, order.keys, similar).where(F.col("similarity") >= at_least)
     anchors = pairs.join(right.select(*keys, F.col("seq").alias("match_seq"), F.col("start_ms").alias("anchor")), [*keys, "match_seq"])
-    rows = left.join(anchors.select(*keys, "seq", "anchor"), [*keys, "seq"], "left")
+    # read by several running values below, and costly to make: written once
+    anchors = materialise(anchors.select(*keys, "seq", "anchor"), "anchors")
+    rows = left.join(anchors, [*keys, "seq"], "left")
     return interpolate_starts(rows, order, "anchor", lower, upper)

@@ -206,35 +206,34 @@ CORE_SLOTS = ("speech_act", "question", "polarity", "refusal_permission", "comma
 DETAIL_SLOTS = ("speaker", "actor", "action", "target", "location", "tense_aspect", "direction")
 
 
+def plain(value: Column) -> Column:
+    return F.nullif(tx.squeeze(F.lower(value)), F.lit(""))
+
+
 def slot_value(slot: Column, value: Column) -> Column:
-    """Unknowns are not evidence; some slots also have a neutral word."""
-    v = F.nullif(tx.squeeze(F.lower(value)), F.lit(""))
-    void = (v == "unknown") | (slot.isin("refusal_permission", "command_strength") & (v == "none")) | ((slot == "polarity") & (v == "neutral"))
-    return F.when(~void, v)
+    """Unknowns (of a ``plain`` value) are not evidence; some slots also have a neutral word."""
+    void = (value == "unknown") | (slot.isin("refusal_permission", "command_strength") & (value == "none")) | ((slot == "polarity") & (value == "neutral"))
+    return F.when(~void, value)
 
 
-def _supported(slot: Column, own: Column) -> Column:
+def _supported(side: str) -> Column:
     """Independent support of one side's value: a cited trusted source, or two aligned families."""
-    refs = F.coalesce(own["refs"], F.array().cast("array<string>"))
+    basis, refs = F.col(f"{side}.basis"), F.coalesce(F.col(f"{side}.refs"), F.array().cast("array<string>"))
     source = (F.col("source_quality") == "trusted") & F.array_contains(refs, F.col("source_ref"))
-    strict = slot.isin(*FLIPPING, *STRUCTURAL)
+    strict = F.col("slot").isin(*FLIPPING, *STRUCTURAL)
     aligned = (F.col("alignment_strength") == "block-aligned") | (~strict & (F.col("alignment_strength") == "expanded"))
-    dual = (
-        F.col("fusion_state").isin("dual_agreement", "dual_compatible") & aligned
-        & (F.size("fusion_refs") >= 2) & (F.size(refs) > 0) & F.forall("fusion_refs", lambda r: F.arrays_overlap(r, refs))
-    )
-    return F.coalesce(F.when(own["basis"] == "source-text", source).when(own["basis"] == "dual-asr", dual), F.lit(False))
+    dual = F.col("_dual") & aligned & (F.size(refs) > 0) & F.forall("fusion_refs", lambda r: F.arrays_overlap(r, refs))
+    return F.coalesce(F.when(basis == "source-text", source).when(basis == "dual-asr", dual), F.lit(False))
 
 
-def _blocking(x: Column) -> Column:
+def _blocking() -> Column:
     """Whether an unresolved difference of this slot can turn the meaning around."""
-    a, b = x["l"], x["r"]
+    slot, a, b = F.col("slot"), F.col("l"), F.col("r")
     turn = F.lit(False)
     for p, q in OPPOSITE_DIRECTIONS:
         turn = turn | ((a == p) & (b == q)) | ((a == q) & (b == p))
     aspect = (a.isin(*COMPLETED) & b.isin(*NOT_COMPLETED)) | (b.isin(*COMPLETED) & a.isin(*NOT_COMPLETED))
     apart = ((a == "low") & (b == "high")) | ((a == "high") & (b == "low"))
-    slot = x["slot"]
     return (
         F.when(slot.isin(*FLIPPING, "action"), True).when(slot == "direction", turn).when(slot == "tense_aspect", aspect)
         .when(slot == "intensity", apart & F.col("_force")).otherwise(False)
@@ -246,15 +245,15 @@ def _minimal(act: Column, action: Column) -> Column:
 
 
 def arbitrate_slots(frames: DataFrame, keys: Sequence[str] = ("stream_id", "seq")) -> DataFrame:
-    """AGG9: two annotators' slots settled in one row, without ever preferring an annotator.
+    """AGG9: two annotators' slots settled per slot, without ever preferring an annotator.
 
     ``frames``: keys, ``left_<slot>`` and ``right_<slot>`` for the 13 slots, ``left_support`` /
     ``right_support`` (map slot -> struct(basis, refs)), ``source_quality, source_ref, fusion_state,
-    alignment_strength, fusion_refs`` (one ref array per family), ``context_retried``.  The slots
-    become one array of 13 structs, so a row is judged where it is and nothing shuffles.
+    alignment_strength, fusion_refs`` (one ref array per family), ``context_retried``.  Slots are
+    unpivoted to 13 short rows; those of a key sit together, so the regrouping combines map-side
+    and one row per key is shuffled.
     """
-    at = {s: i for i, s in enumerate(SLOTS)}
-    raw = F.array(
+    slots = F.array(
         *[
             F.struct(
                 F.lit(s).alias("slot"), F.col(f"left_{s}").alias("l"), F.col(f"right_{s}").alias("r"),
@@ -263,46 +262,64 @@ def arbitrate_slots(frames: DataFrame, keys: Sequence[str] = ("stream_id", "seq"
             for s in SLOTS
         ]
     )
-    carried = ["source_quality", "source_ref", "fusion_state", "alignment_strength", "fusion_refs", "context_retried"]
-    rows = frames.select(*keys, *carried, raw.alias("_raw"))
-    clean = F.transform(
-        "_raw",
-        lambda x: F.struct(
-            x["slot"].alias("slot"), slot_value(x["slot"], x["l"]).alias("l"), slot_value(x["slot"], x["r"]).alias("r"),
-            _supported(x["slot"], x["ls"]).alias("ls"), _supported(x["slot"], x["rs"]).alias("rs"),
-        ),
+    ctx = ["source_quality", "source_ref", "fusion_state", "alignment_strength", "fusion_refs", "context_retried"]
+
+    # the three slots that decide about force, plain once per side
+    deciding = ("command_strength", "speech_act", "refusal_permission")
+    rows = frames.select(
+        *keys, *ctx, slots.alias("_x"), *[plain(F.col(f"{side}_{s}")).alias(f"_{side}_{s}") for side in ("left", "right") for s in deciding]
     )
-    rows = rows.withColumn("_v", clean).drop("_raw", *carried[:-1])
+    strengths = [slot_value(F.lit("command_strength"), F.col(f"_{side}_command_strength")) for side in ("left", "right")]
+    force = F.lit(False)
+    for side in ("left", "right"):
+        force = force | F.coalesce(F.col(f"_{side}_speech_act").isin(*FORCEFUL), F.lit(False))
+        force = force | F.coalesce(F.col(f"_{side}_refusal_permission").isin("refusal", "permission", "prohibition"), F.lit(False))
+    rows = rows.select(
+        *keys, "source_quality", "source_ref", "alignment_strength", "fusion_refs", "context_retried",
+        (F.col("fusion_state").isin("dual_agreement", "dual_compatible") & (F.size("fusion_refs") >= 2)).alias("_dual"),
+        (~F.coalesce(strengths[0] == strengths[1], F.lit(False)) & force).alias("_force"), F.explode("_x").alias("x"),
+    )
+    rows = rows.select(*[c for c in rows.columns if c != "x"], "x.slot", plain(F.col("x.l")).alias("_l"), plain(F.col("x.r")).alias("_r"), F.col("x.ls").alias("lb"), F.col("x.rs").alias("rb"))
+    rows = rows.select(
+        *keys, "context_retried", "_force", "slot", slot_value(F.col("slot"), F.col("_l")).alias("l"), slot_value(F.col("slot"), F.col("_r")).alias("r"),
+        _supported("lb").alias("ls"), _supported("rb").alias("rs"),
+    )
+    a, b = F.col("l"), F.col("r")
+    left, right = F.col("ls") & ~F.col("rs"), F.col("rs") & ~F.col("ls")
+    how = (
+        F.when(a.isNull() & b.isNull(), "absent").when(a.eqNullSafe(b), "dual_agreement")
+        .when(a.isNotNull() & left, "left_only_supported").when(b.isNotNull() & right, "right_only_supported")
+        .when(a.isNull() | b.isNull(), "absent").when(_blocking(), "conflict_blocking").otherwise("conflict_omitted")
+    )
+    rows = rows.withColumn("p", how)
+    pick = F.when(F.col("p").isin("dual_agreement", "left_only_supported"), a).when(F.col("p") == "right_only_supported", b)
+    rows = rows.withColumn("s", pick)
+    # one collected array per key; every list below is a filter of its 13 entries
+    entry = F.struct(
+        "slot", "p", "s", (a.isNotNull() & b.isNotNull() & (a != b)).alias("c"), (a.isNull() != b.isNull()).alias("g")
+    )
+    per = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("_v"), F.bool_or("context_retried").alias("_retried"))
 
-    def value(array: str, slot: str, field: str) -> Column:
-        return F.get(F.col(array), at[slot])[field]
+    def listed(pred) -> Column:
+        return F.filter("_v", pred)["slot"]
 
-    strong_l, strong_r = value("_v", "command_strength", "l"), value("_v", "command_strength", "r")
-    force = F.lit(False)
-    for side in ("l", "r"):
-        force = force | F.coalesce(value("_v", "speech_act", side).isin(*FORCEFUL), F.lit(False))
-        force = force | F.coalesce(value("_v", "refusal_permission", side).isin("refusal", "permission", "prohibition"), F.lit(False))
-    rows = rows.withColumn("_force", ~F.coalesce(strong_l == strong_r, F.lit(False)) & force)
-
-    def settle(x: Column) -> Column:
-        a, b = x["l"], x["r"]
-        left, right = x["ls"] & ~x["rs"], x["rs"] & ~x["ls"]
-        how = (
-            F.when(a.isNull() & b.isNull(), "absent").when(a.eqNullSafe(b), "dual_agreement")
-            .when(a.isNotNull() & left, "left_only_supported").when(b.isNotNull() & right, "right_only_supported")
-            .when(a.isNull() | b.isNull(), "absent").when(_blocking(x), "conflict_blocking").otherwise("conflict_omitted")
-        )
-        return F.struct(x["slot"].alias("slot"), a.alias("l"), b.alias("r"), how.alias("p"))
+    def single(x: Column) -> Column:
+        return x["p"].isin("left_only_supported", "right_only_supported")
+
+    by_name = {s: i for i, s in enumerate(sorted(SLOTS))}
 
-    def choose(x: Column) -> Column:
-        pick = F.when(x["p"].isin("dual_agreement", "left_only_supported"), x["l"]).when(x["p"] == "right_only_supported", x["r"])
-        return F.struct(x["slot"].alias("slot"), x["l"].alias("l"), x["r"].alias("r"), x["p"].alias("p"), pick.alias("s"))
+    def value(s: str) -> Column:
+        return F.get("_v", by_name[s])["s"]
 
-    rows = rows.withColumn("_p", F.transform("_v", settle)).drop("_v", "_force")
-    rows = rows.withColumn("_s", F.transform("_p", choose)).drop("_p")
+    per = per.select(
+        *keys, "_retried", listed(lambda x: F.coalesce(x["c"], F.lit(False))).alias("conflicts"), listed(lambda x: x["g"]).alias("coverage_gaps"),
+        listed(lambda x: x["p"] == "conflict_blocking").alias("blocking"), listed(lambda x: F.coalesce(x["c"], F.lit(False)) & single(x)).alias("resolved"),
+        F.exists("_v", single).alias("_single"), F.transform(F.filter("_v", lambda x: x["s"].isNotNull()), lambda x: F.struct(x["slot"].alias("slot"), x["s"].alias("s"))).alias("_sel"),
+        F.transform("_v", lambda x: F.struct(x["slot"].alias("slot"), x["p"].alias("p"))).alias("_prov"),
+        *[value(s).alias(f"_{n}") for n, s in (("act", "speech_act"), ("q", "question"), ("rp", "refusal_permission"), ("cs", "command_strength"), ("do", "action"))],
+    )
     # coherence of the selected frame
-    act, question = value("_s", "speech_act", "s"), value("_s", "question", "s")
-    rp, strength = value("_s", "refusal_permission", "s"), value("_s", "command_strength", "s")
+    act, question, rp, strength = F.col("_act"), F.col("_q"), F.col("_rp"), F.col("_cs")
     ask = ((question == "true") & act.isNotNull() & ~act.isin("question", "request")) | ((act == "question") & (question == "false"))
     fits = (
         F.when(rp == "refusal", act.isin("refusal", "response")).when(rp == "permission", act.isin("permission", "response"))
@@ -310,27 +327,17 @@ def arbitrate_slots(frames: DataFrame, keys: Sequence[str] = ("stream_id", "seq"
     )
     strong = strength.isin("suggestion", "request", "command", "urgent") & act.isNotNull() & ~act.isin("request", "command", "prohibition")
     nonlexical = F.coalesce(act.isin("vocalization", "nonverbal"), F.lit(False))
-    detail = F.exists("_s", lambda x: x["slot"].isin(*DETAIL_SLOTS) & x["s"].isNotNull())
-    rows = rows.withColumns(
+    per = per.withColumns(
         {
-            "_f1": F.coalesce(ask, F.lit(False)), "_f2": F.coalesce(act.isNotNull() & ~fits, F.lit(False)),
-            "_f3": F.coalesce(strong, F.lit(False)), "_f4": nonlexical & detail,
+            "_f1": F.coalesce(ask, F.lit(False)), "_f2": F.coalesce(act.isNotNull() & ~fits, F.lit(False)), "_f3": F.coalesce(strong, F.lit(False)),
+            "_f4": nonlexical & F.arrays_overlap("_sel.slot", F.array(*map(F.lit, DETAIL_SLOTS))),
         }
     )
-
-    def cohere(x: Column) -> Column:
-        drop = (F.col("_f4") & x["slot"].isin(*DETAIL_SLOTS)) | (F.col("_f3") & (x["slot"] == "command_strength"))
-        return F.struct(x["slot"].alias("slot"), x["l"].alias("l"), x["r"].alias("r"), x["p"].alias("p"), F.when(~drop, x["s"]).alias("s"))
-
-    rows = rows.withColumn("_z", F.transform("_s", cohere)).drop("_s")
-    rows = rows.withColumn("_empty", ~F.exists("_z", lambda x: x["slot"].isin(*CORE_SLOTS) & x["s"].isNotNull()))
-
-    def listed(pred) -> Column:
-        return F.array_sort(F.transform(F.filter("_z", pred), lambda x: x["slot"]))
-
-    def single(x: Column) -> Column:
-        return x["p"].isin("left_only_supported", "right_only_supported")
-
+    kept = F.filter(
+        "_sel", lambda x: ~((F.col("_f4") & x["slot"].isin(*DETAIL_SLOTS)) | (F.col("_f3") & (x["slot"] == "command_strength")))
+    )
+    per = per.withColumn("_kept", kept)
+    per = per.withColumn("_empty", ~F.arrays_overlap("_kept.slot", F.array(*map(F.lit, CORE_SLOTS))))
     findings = F.array_compact(
         F.array(
             F.when(F.col("_f1"), "question-speech-act-mismatch"), F.when(F.col("_f2"), "refusal-permission-speech-act-mismatch"),
@@ -338,31 +345,22 @@ def arbitrate_slots(frames: DataFrame, keys: Sequence[str] = ("stream_id", "seq"
             F.when(F.col("_empty"), "empty-semantic-core"),
         )
     )
-    chosen = F.filter("_z", lambda x: x["s"].isNotNull())
-    rows = rows.withColumns(
+    per = per.withColumns(
         {
-            "conflicts": listed(lambda x: x["l"].isNotNull() & x["r"].isNotNull() & (x["l"] != x["r"])),
-            "coverage_gaps": listed(lambda x: x["l"].isNull() != x["r"].isNull()),
-            "blocking": listed(lambda x: x["p"] == "conflict_blocking"),
-            "resolved": listed(lambda x: x["l"].isNotNull() & x["r"].isNotNull() & single(x)),
-            "rendered": listed(lambda x: x["s"].isNotNull()),
-            "findings": findings, "_high": F.col("_f1") | F.col("_f2") | F.col("_empty"), "_single": F.exists("_z", single),
-            "selected": F.map_from_arrays(F.transform(chosen, lambda x: x["slot"]), F.transform(chosen, lambda x: x["s"])),
-            "provenance": F.map_from_arrays(F.transform("_z", lambda x: x["slot"]), F.transform("_z", lambda x: x["p"])),
-            "_act": value("_z", "speech_act", "s"), "minimal_available": _minimal(value("_z", "speech_act", "s"), value("_z", "action", "s")),
+            "findings": findings, "_high": F.col("_f1") | F.col("_f2") | F.col("_empty"), "_blocked": F.size("blocking") > 0,
+            "minimal_available": _minimal(act, F.when(~F.col("_f4"), F.col("_do"))),
         }
     )
-    blocked = F.size("blocking") > 0
+    blocked, minimal = F.col("_blocked"), F.col("minimal_available")
     flipping = F.arrays_overlap("blocking", F.array(*map(F.lit, FLIPPING)))
-    minimal = F.col("minimal_available")
     state = (
-        F.when(F.coalesce(F.col("_act").isin("vocalization", "nonverbal"), F.lit(False)) & ~blocked, "vocalization")
-        .when(blocked & ~F.col("_high") & ~flipping & minimal, "minimal_speech_act")
-        .when(blocked | F.col("_high"), "abstained").when(F.col("_single"), "recovered_single_model").when(F.col("context_retried"), "recovered_context")
+        F.when(nonlexical & ~blocked, "vocalization").when(blocked & ~F.col("_high") & ~flipping & minimal, "minimal_speech_act")
+        .when(blocked | F.col("_high"), "abstained").when(F.col("_single"), "recovered_single_model").when(F.col("_retried"), "recovered_context")
         .when((F.size("conflicts") == 0) & (F.size("coverage_gaps") == 0), "accepted_consensus").when(minimal, "accepted_partial").otherwise("abstained")
     )
-    return rows.withColumn("state", state).select(
-        *keys, "state", "conflicts", "coverage_gaps", "blocking", "resolved", "rendered", "findings", "selected", "provenance", "minimal_available"
+    return per.select(
+        *keys, state.alias("state"), "conflicts", "coverage_gaps", "blocking", "resolved", F.array_sort("_kept.slot").alias("rendered"), "findings",
+        F.map_from_entries("_kept").alias("selected"), F.map_from_entries("_prov").alias("provenance"), "minimal_available",
     )
 
 

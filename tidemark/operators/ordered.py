@@ -222,6 +222,7 @@ def fold_rows(
     step: Step,
     outputs: T.StructType,
     max_rows: int = 1_000_000,
+    count_from: DataFrame | None = None,
 ) -> DataFrame:
     """Append columns made by a sequential ``step(state, *inputs) -> (state, outputs)``.
 
@@ -230,16 +231,21 @@ def fold_rows(
     whose true entry state turns out different are run again until nothing changes.  Block 0
     is right from the start and block r after r rounds, so the result is always exact; greedy
     rules that forget their past settle after a round or two.
+
+    ``count_from`` may name a cheaper table with the same keys to count group sizes on.  Rows of a
+    chunked order are written to the shared folder once, because the running values that usually
+    follow read them twice and the Python scan should not run twice.
     """
     base = replace(order, chunk=None)
-    big = df.groupBy(*order.keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
+    big = (count_from if count_from is not None else df).groupBy(*order.keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max_rows)
     if big.isEmpty():
-        return _scan(df, base, inputs, step, outputs, None)
+        done = _scan(df, base, inputs, step, outputs, None)
+        return materialise(done, "fold") if order.chunk else done
 
     small = _scan(df.join(big.select(*order.keys), list(order.keys), "left_anti"), base, inputs, step, outputs, None)
     hot = position(df.join(big.select(*order.keys), list(order.keys), "left_semi"), order, "_pos")
     hot = hot.withColumn("_block", F.floor((F.col("_pos") - 1) / max_rows).cast("long"))
-    hot = materialise(hot.drop(*([order.chunk] if order.chunk else [])), "fold-rows")
+    hot = materialise(hot, "fold-rows")
     blocks = Order(order.keys, ("_pos",), "_block")
     bkeys = list(blocks.part)
     probe = T.StructType([T.StructField("_state", T.StringType())])
@@ -262,7 +268,6 @@ def fold_rows(
         fixed = table.join(stale, bkeys, "left_anti").unionByName(redo)
         table = materialise(fixed, "fold-state")
     done = _scan(hot.join(table.select(*bkeys, "_entry"), bkeys), blocks, inputs, step, outputs, "_entry")
-    keep = small.columns
-    if order.chunk and order.chunk in keep:
-        small, keep = small.drop(order.chunk), [c for c in keep if c != order.chunk]
-    return small.select(*keep).unionByName(done.select(*keep))
+    done = done.drop("_pos", "_block", "_entry")
+    out = small.select(*small.columns).unionByName(done.select(*small.columns))
+    return materialise(out, "fold") if order.chunk else out

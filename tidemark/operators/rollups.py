@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators.ordered import Order, neighbour, running
+from tidemark.operators.ordered import Order, chunked, neighbour, running
 from tidemark.operators.sequences import runs
 
 
@@ -185,7 +185,8 @@ def offset_consistency(pairs: DataFrame, keys: Sequence[str] = ("stream_id",), t
     keys = list(keys)
     counted = pairs.where("offset_ms is not null").groupBy(*keys, "offset_ms").agg(F.count("*").alias("_c"))
     sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))
-    ranked = running(counted, Order(tuple(keys), ("offset_ms",)), {"_before": ("sum", F.col("_c"))}).join(sizes, keys)
+    counted, order = chunked(counted, Order(tuple(keys), ("offset_ms",)), 60_000)
+    ranked = running(counted, order, {"_before": ("sum", F.col("_c"))}).join(sizes, keys)
     half = F.floor(F.col("_n") / 2)
     median = ranked.where((F.col("_before") <= half) & (half < F.col("_before") + F.col("_c"))).select(*keys, F.col("offset_ms").alias("median_ms"))
     near = pairs.join(median, keys, "left").withColumn("_near", F.abs(F.col("offset_ms") - F.col("median_ms")) <= tolerance_ms)

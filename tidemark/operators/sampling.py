@@ -55,7 +55,8 @@ def quota_sample(
         order = F.when(F.col("category") == name, i).otherwise(order)
     rows = df.withColumns({"_c": F.coalesce(order, F.lit(len(categories))), "_h": seeded(seed, *keys, at)})
     inner = Window.partitionBy(*keys, "_c").orderBy("_h", at)
-    rows = rows.withColumn("_i", F.row_number().over(inner))
+    # the constant limit lets Spark drop most rows before the shuffle
+    rows = rows.withColumn("_i", F.row_number().over(inner)).where(F.col("_i") <= max(per_category, total))
     quota = F.when(F.col("_c") < len(categories), per_category).otherwise(total)
     rows = rows.where(F.col("_i") <= quota)
     outer = Window.partitionBy(*keys).orderBy("_c", "_i")

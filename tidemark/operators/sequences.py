@@ -205,9 +205,11 @@ def scene_table(df: DataFrame, order: Order, explicit: str = "explicit_id") -> D
         F.when(F.count_distinct(explicit) == 1, F.max(explicit)).alias("explicit"),
     )
     so = Order(order.keys, ("scene",))
+    if order.chunk:
+        scenes, so = chunked(scenes, so, 100_000)
     scenes = neighbour(scenes, so, {"boundary_after": F.col("boundary_before")}, following=True)
     scenes = scenes.withColumn("boundary_after", F.coalesce("boundary_after", F.lit("end")))
-    part = Order((*order.keys, "explicit"), ("scene",))
+    part = Order((*order.keys, "explicit"), ("scene",), so.chunk)
     named = position(scenes.where("explicit is not null"), part, "_part")
     totals = named.groupBy(*part.keys).agg(F.count("*").alias("_parts"))
     named = named.join(totals, list(part.keys)).withColumn(
@@ -215,7 +217,7 @@ def scene_table(df: DataFrame, order: Order, explicit: str = "explicit_id") -> D
         F.when(F.col("_parts") == 1, F.col("explicit")).otherwise(F.concat("explicit", F.lit("--part-"), F.lpad(F.col("_part").cast("string"), 2, "0"))),
     )
     rest = scenes.where("explicit is null").withColumn("scene_id", F.concat(F.lit("scene-"), F.lpad(F.col("scene").cast("string"), 4, "0")))
-    return named.drop("_part", "_parts").unionByName(rest)
+    return named.drop("_part", "_parts").unionByName(rest).drop("_chunk")
 
 
 def gap_or_count_batches(df: DataFrame, order: Order, gap_ms: int = 15_000, cap: int = 20) -> DataFrame:
@@ -421,8 +423,10 @@ def split_layout(df: DataFrame, limit: int = 42) -> DataFrame:
     chunks = F.when(F.length(value) <= two, F.array(value)).when(F.size(words) == 1, pieces).otherwise(tx.pack_words(value, F.lit(two)))
 
     parts = F.when(fits, F.array(F.col("text"))).otherwise(chunks)
+    # the whole text stays behind: every piece carries only itself
+    kept = [c for c in df.columns if c != "text"]
     out = df.withColumns({"_fits": fits, "_parts": parts}).withColumn("_n", F.size("_parts"))
-    out = out.select(*df.columns, "_fits", "_n", F.posexplode("_parts").alias("part", "_piece"))
+    out = out.select(*kept, "_fits", "_n", F.posexplode("_parts").alias("part", "_piece"))
 
     # squeezed text has single spaces, so only splits this close to the limits can fit both lines
     chunk, size = F.col("_piece"), F.length("_piece")

@@ -14,22 +14,26 @@ from tidemark.operators import rollups as ru
 from tidemark.operators import sampling as sm
 from tidemark.operators import sequences as sq
 from tidemark.operators.ordered import Order
+from tidemark.session import materialise
 
 
 def transcript_plan(
     primary: DataFrame, rivals: DataFrame, durations: DataFrame, order: Order, bucket_ms: int, **gap_rules,
 ) -> dict[str, DataFrame]:
-    """Annotate, recover gaps, find disagreements, repair times, roll up quality."""
-    warned = sq.transcript_warnings(primary, order)
-    decisions = iv.recover_gaps(warned, rivals, durations, bucket_ms, order=order, **gap_rules)
+    """Annotate, recover gaps, find disagreements, repair times, roll up quality.
+
+    Stages that several later ones read are written to the shared folder, so they run once.
+    """
+    warned = materialise(sq.transcript_warnings(primary, order), "warned")
+    decisions = materialise(iv.recover_gaps(warned, rivals, durations, bucket_ms, order=order, **gap_rules), "recovery")
     merged = iv.reconcile(warned, decisions, order)
     rows = merged.select(*order.keys, F.col("new_seq").alias("seq"), "start_ms", "end_ms", "text")
     by_seq = Order(order.keys, ("seq",))
     if order.chunk:
         rows = rows.withColumn("_chunk", F.floor(F.col("seq") / 1_000_000).cast("long"))
         by_seq = Order(order.keys, ("seq",), "_chunk")
-    timed = sq.repair_durations(rows, by_seq)
-    cues = timed.withColumn("end_ms", F.col("new_end")).drop("new_end", "actions")
+    timed = sq.repair_durations(materialise(rows, "merged"), by_seq)
+    cues = materialise(timed.withColumn("end_ms", F.col("new_end")).drop("new_end", "actions"), "cues")
     return {
         "warnings": warned, "disagreements": iv.disagreements(primary, rivals, bucket_ms, keys=order.keys), "recovery": decisions,
         "cues": cues, "quality": ru.qc_rollup(cues, by_seq, durations),
