@@ -130,25 +130,31 @@ VOC = {
 
 
 def frames(spark, sf):
-    k = F.col("o_orderkey")
-    cols = {}
-    left_map, right_map = [], []
+    """Two annotators' frames per order; left values first, so the right ones can copy them cheaply."""
+    k = F.col("seq")
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("stream_id"), F.col("o_orderkey").alias("seq"))
+    lefts, rights, left_map, right_map = [], [], [], []
+
+    def support(n, dual):
+        source = F.struct(L("source-text").alias("basis"), F.array(L("src")).alias("refs"))
+        return F.when(n == 0, source).when(n == 1, F.struct(L("dual-asr").alias("basis"), F.array(*[L(d) for d in dual]).alias("refs")))
+
     for j, s in enumerate(ev_.SLOTS):
         n = len(VOC[s])
         words = F.array(*[L(w) for w in VOC[s]])
         idx = (k * (j + 3) + j) % n
-        left = F.when((k + j) % 5 != 0, F.get(words, idx.cast("int")))
+        lefts.append(F.when((k + j) % 5 != 0, F.get(words, idx.cast("int"))).alias(f"left_{s}"))
         pick = (k * 7 + j * 3) % 17
-        right = F.when(pick == 0, F.get(words, ((idx + 1) % n).cast("int"))).when(pick != 1, left)
-        cols[f"left_{s}"], cols[f"right_{s}"] = left, right
-        basis = F.when((k + j) % 3 == 0, F.struct(L("source-text").alias("basis"), F.array(L("src")).alias("refs"))).when(
-            (k + j) % 3 == 1, F.struct(L("dual-asr").alias("basis"), F.array(L("f1"), L("f2")).alias("refs")))
-        other = F.when((k + 2 * j) % 4 == 0, F.struct(L("source-text").alias("basis"), F.array(L("src")).alias("refs"))).when(
-            (k + 2 * j) % 4 == 1, F.struct(L("dual-asr").alias("basis"), F.array(L("f1")).alias("refs")))
-        left_map += [L(s), basis]
-        right_map += [L(s), other]
-    return table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("stream_id"), k.alias("seq"), *[c.alias(n) for n, c in cols.items()], F.create_map(*left_map).alias("left_support"), F.create_map(*right_map).alias("right_support"),
+        rights.append(F.when(pick == 0, F.get(words, ((idx + 1) % n).cast("int"))).when(pick != 1, F.col(f"left_{s}")).alias(f"right_{s}"))
+        left_map += [L(s), F.get("_l3", j % 3)]
+        right_map += [L(s), F.get("_r4", (2 * j) % 4)]
+    # supports repeat with period 3 and 4 over the slots
+    orders = orders.withColumns(
+        {"_l3": F.array(*[support((k + j) % 3, ("f1", "f2")) for j in range(3)]), "_r4": F.array(*[support((k + j) % 4, ("f1",)) for j in range(4)])}
+    )
+    rows = orders.select("stream_id", "seq", "_l3", "_r4", *lefts)
+    return rows.select(
+        "stream_id", "seq", *[f"left_{s}" for s in ev_.SLOTS], *rights, F.create_map(*left_map).alias("left_support"), F.create_map(*right_map).alias("right_support"),
         F.when(k % 3 == 0, "trusted").otherwise("suspect").alias("source_quality"), L("src").alias("source_ref"), F.when(k % 4 <= 1, "dual_agreement").otherwise("single_family").alias("fusion_state"),
         F.when(k % 5 <= 2, "block-aligned").otherwise("expanded").alias("alignment_strength"), F.array(F.array(L("f1")), F.array(L("f2"), L("f9"))).alias("fusion_refs"), (k % 11 == 0).alias("context_retried"),
     )

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import WS
 from tidemark.functions.timecode import epoch_ms
 from tidemark.operators.ordered import Order, chunked, running
 
+# fixed values: the Unicode white-space characters, for RE2
+WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 HOUR = 3_600_000
 DAY = 24 * HOUR
 # 2024-01-01 in epoch milliseconds: event times count from here, like stream time counts from 0

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# fixed values: every Unicode white-space character, in a form Java and RE2 both read
-WS = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# white space in the Unicode sense; the flag is much faster than a class listing the characters
+WS = r"(?U)\s"
 
 
 def squeeze(text: Column) -> Column:

@@ -43,11 +43,12 @@ class SegmentRules:
 
 def segment_issues(df: DataFrame, order: Order, rules: SegmentRules = SegmentRules()) -> DataFrame:
     """AUD1: long issue table; wordings used too often in a stream give one row without ``seq``."""
-    text, key = F.col("text"), tx.squeeze(F.col("text"))
+    # used by several checks: computed once, as columns
+    df = df.withColumns({"_key": tx.squeeze(F.col("text")), "_solid": F.length(tx.compact(F.col("text")))})
+    text, key, solid = F.col("text"), F.col("_key"), F.col("_solid")
     df = neighbour(df, order, {"_pkey": key})
-    solid = F.length(tx.compact(text))
     span = F.col("end_ms") - F.col("start_ms")
-    speed = tx.cps(text, F.col("start_ms"), F.col("end_ms"))
+    speed = F.when(span > 0, solid * F.lit(1000.0) / span)
     checks = [F.when(key == "", finding("empty_text", "error"))]
     if rules.forbidden:
         checks.append(F.when(text.rlike(rules.forbidden), finding("forbidden_script", "error")))
@@ -71,7 +72,7 @@ def segment_issues(df: DataFrame, order: Order, rules: SegmentRules = SegmentRul
     )
     found = F.concat(F.array_compact(F.array(*checks)), long_lines)
     rows = df.select(*order.keys, "seq", F.explode(found).alias("i")).select(*order.keys, "seq", "i.code", "i.severity", "i.detail")
-    reused = df.where(key != "").groupBy(*order.keys, key.alias("_key")).agg(F.count("*").alias("n")).where(F.col("n") >= rules.reuse)
+    reused = df.where(key != "").groupBy(*order.keys, "_key").agg(F.count("*").alias("n")).where(F.col("n") >= rules.reuse)
     again = reused.select(
         *order.keys, F.lit(None).cast("long").alias("seq"), F.lit("reused_candidate").alias("code"),
         F.lit("warning").alias("severity"), F.concat_ws("x", F.col("n").cast("string"), "_key").alias("detail"),

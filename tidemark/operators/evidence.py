@@ -255,10 +255,7 @@ def arbitrate_slots(frames: DataFrame, keys: Sequence[str] = ("stream_id", "seq"
     """
     slots = F.array(
         *[
-            F.struct(
-                F.lit(s).alias("slot"), F.col(f"left_{s}").alias("l"), F.col(f"right_{s}").alias("r"),
-                F.col("left_support")[s].alias("ls"), F.col("right_support")[s].alias("rs"),
-            )
+            F.struct(F.lit(s).alias("slot"), F.col(f"left_{s}").alias("l"), F.col(f"right_{s}").alias("r"))
             for s in SLOTS
         ]
     )
@@ -267,7 +264,7 @@ def arbitrate_slots(frames: DataFrame, keys: Sequence[str] = ("stream_id", "seq"
     # the three slots that decide about force, plain once per side
     deciding = ("command_strength", "speech_act", "refusal_permission")
     rows = frames.select(
-        *keys, *ctx, slots.alias("_x"), *[plain(F.col(f"{side}_{s}")).alias(f"_{side}_{s}") for side in ("left", "right") for s in deciding]
+        *keys, *ctx, "left_support", "right_support", slots.alias("_x"), *[plain(F.col(f"{side}_{s}")).alias(f"_{side}_{s}") for side in ("left", "right") for s in deciding]
     )
     strengths = [slot_value(F.lit("command_strength"), F.col(f"_{side}_command_strength")) for side in ("left", "right")]
     force = F.lit(False)
@@ -275,11 +272,15 @@ def arbitrate_slots(frames: DataFrame, keys: Sequence[str] = ("stream_id", "seq"
         force = force | F.coalesce(F.col(f"_{side}_speech_act").isin(*FORCEFUL), F.lit(False))
         force = force | F.coalesce(F.col(f"_{side}_refusal_permission").isin("refusal", "permission", "prohibition"), F.lit(False))
     rows = rows.select(
-        *keys, "source_quality", "source_ref", "alignment_strength", "fusion_refs", "context_retried",
+        *keys, "source_quality", "source_ref", "alignment_strength", "fusion_refs", "context_retried", "left_support", "right_support",
         (F.col("fusion_state").isin("dual_agreement", "dual_compatible") & (F.size("fusion_refs") >= 2)).alias("_dual"),
         (~F.coalesce(strengths[0] == strengths[1], F.lit(False)) & force).alias("_force"), F.explode("_x").alias("x"),
     )
-    rows = rows.select(*[c for c in rows.columns if c != "x"], "x.slot", plain(F.col("x.l")).alias("_l"), plain(F.col("x.r")).alias("_r"), F.col("x.ls").alias("lb"), F.col("x.rs").alias("rb"))
+    # supports are looked up after the explode: one lookup per side keeps the generated code small
+    rows = rows.select(
+        *[c for c in rows.columns if c not in ("x", "left_support", "right_support")], "x.slot", plain(F.col("x.l")).alias("_l"), plain(F.col("x.r")).alias("_r"),
+        F.col("left_support")[F.col("x.slot")].alias("lb"), F.col("right_support")[F.col("x.slot")].alias("rb"),
+    )
     rows = rows.select(
         *keys, "context_retried", "_force", "slot", slot_value(F.col("slot"), F.col("_l")).alias("l"), slot_value(F.col("slot"), F.col("_r")).alias("r"),
         _supported("lb").alias("ls"), _supported("rb").alias("rs"),
