@@ -64,18 +64,27 @@ def pack_words(text: pd.Series, limit: pd.Series) -> pd.Series:
     return pd.Series([one(v or "", n) for v, n in zip(text, limit)])
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it.
+
+    Inside a lambda an expression is evaluated per element; a bound variable is not.
+    """
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def bigrams(text: Column) -> Column:
     """Distinct character pairs; a text shorter than two stands for itself."""
-    n = F.length(text)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: text.substr(i, F.lit(2)))
-    return F.when(n < 2, F.array(text)).otherwise(F.array_distinct(pairs))
+    def pairs(t: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1)))
+        return F.when(F.length(t) < 2, F.array(t)).otherwise(F.array_distinct(F.transform(spots, lambda i: t.substr(i, F.lit(2)))))
+
+    return bind(text, pairs)
 
 
 def jaccard(left: Column, right: Column) -> Column:
     """Share of common bigrams of two texts."""
-    a, b = bigrams(left), bigrams(right)
-    both = F.size(F.array_intersect(a, b)).cast("double")
-    return both / F.size(F.array_union(a, b))
+    both = F.struct(bigrams(left).alias("a"), bigrams(right).alias("b"))
+    return bind(both, lambda p: F.size(F.array_intersect(p["a"], p["b"])).cast("double") / F.size(F.array_union(p["a"], p["b"])))
 
 
 def similarity(kind: str, left: Column, right: Column) -> Column:
@@ -139,7 +148,8 @@ def multiset_covers(have: Column, need: Column) -> Column:
     def times(arr: Column, item: Column) -> Column:
         return F.size(F.filter(arr, lambda y: y == item))
 
-    return F.forall(F.array_distinct(need), lambda x: times(have, x) >= times(need, x))
+    both = F.struct(have.alias("have"), need.alias("need"))
+    return bind(both, lambda p: F.forall(F.array_distinct(p["need"]), lambda x: times(p["have"], x) >= times(p["need"], x)))
 
 
 def stable_id(*parts: Column) -> Column:

@@ -244,10 +244,8 @@ def corpus_comparison(left: DataFrame, right: DataFrame, order: Order) -> DataFr
         rows = df.withColumn("_t", tx.compact(F.col("text")))
         totals = rows.groupBy(*keys).agg(F.sum(F.length("_t")).alias("chars"), F.sum(F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))).alias("shown_ms"))
         rows = neighbour(rows.where("_t <> ''"), order, {"_nx": F.substring("_t", 1, 1)}, following=True)
-        joined = F.concat("_t", F.coalesce("_nx", F.lit("")))
-        rows = rows.where(F.length(joined) >= 2)
-        spots = F.transform(F.sequence(F.lit(1), F.length(joined) - 1), lambda i: joined.substr(i, F.lit(2)))
-        return rows.select(*keys, F.explode(F.array_distinct(spots)).alias("g")).distinct(), totals
+        rows = rows.withColumn("_j", F.concat("_t", F.coalesce("_nx", F.lit("")))).where(F.length("_j") >= 2)
+        return rows.select(*keys, F.explode(tx.bigrams(F.col("_j"))).alias("g")).distinct(), totals
 
     (lg, lt), (rg, rt) = pairs(left), pairs(right)
     both = lg.withColumn("_l", F.lit(1)).join(rg.withColumn("_r", F.lit(1)), [*keys, "g"], "full_outer")

@@ -411,7 +411,9 @@ def interpolate_starts(df: DataFrame, order: Order, anchor: str, lower: Column,
 
 def split_layout(df: DataFrame, limit: int = 42) -> DataFrame:
     """WIN16: rows with too long or too many lines become several two-line rows of equal time."""
-    value = tx.squeeze(F.col("text"))
+    columns = df.columns
+    df = df.withColumn("_value", tx.squeeze(F.col("text")))
+    value = F.col("_value")
     lines = tx.lines(F.col("text"))
     longest = F.array_max(F.transform(lines, lambda x: F.length(x)))
     fits = (F.size(lines) <= 2) & (longest <= limit)
@@ -424,7 +426,7 @@ def split_layout(df: DataFrame, limit: int = 42) -> DataFrame:
 
     parts = F.when(fits, F.array(F.col("text"))).otherwise(chunks)
     # the whole text stays behind: every piece carries only itself
-    kept = [c for c in df.columns if c != "text"]
+    kept = [c for c in columns if c != "text"]
     out = df.withColumns({"_fits": fits, "_parts": parts}).withColumn("_n", F.size("_parts"))
     out = out.select(*kept, "_fits", "_n", F.posexplode("_parts").alias("part", "_piece"))
 
