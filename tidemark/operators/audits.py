@@ -108,31 +108,32 @@ class PairRules:
     scored: bool = True
 
 
-def _pair_failures(source: Column, target: Column, rules: PairRules) -> tuple[Column, Column]:
-    checks = [F.when(F.trim(target) == "", F.lit("empty_target"))]
-    if rules.forbidden:
-        checks.append(F.when(target.rlike(rules.forbidden), F.lit("forbidden_residual")))
-    warn = []
-    for r in rules.rules:
-        has, kept = source.rlike(r.source), target.rlike(r.target)
-        checks.append(F.when(has & ~kept, F.lit(r.code)))
-        if r.added:
-            warn.append(F.when(~has & kept, F.lit(r.added)))
-    if rules.number:
-        need = F.regexp_extract_all(source, F.lit(rules.number), 0)
-        have = F.regexp_extract_all(target, F.lit(rules.number), 0)
-        checks.append(F.when(~tx.multiset_covers(have, need), F.lit("numbers_not_preserved")))
-    none = F.array().cast("array<string>")
-    return F.array_compact(F.array(*checks)), F.array_compact(F.array(*warn)) if warn else none
-
-
 def audit_pairs(df: DataFrame, rules: PairRules, source: str = "source", targets: Sequence[str] = ("target_a", "target_b")) -> DataFrame:
     """AUD5: what each target lost of the source's force, a score and pass/fallback per row."""
+    kept_columns = df.columns
+    texts = {"src": F.coalesce(source, F.lit("")), **{t: F.coalesce(t, F.lit("")) for t in targets}}
+    # every pattern runs once per text; the checks below only combine the flags
+    found = {f"_m_{t}_{i}": text.rlike(r.source if t == "src" else r.target) for t, text in texts.items() for i, r in enumerate(rules.rules)}
+    if rules.number:
+        found |= {f"_n_{t}": F.regexp_extract_all(text, F.lit(rules.number), 0) for t, text in texts.items()}
+    df = df.withColumns(found)
+    none = F.array().cast("array<string>")
     made = {}
     for t in targets:
-        fail, warn = _pair_failures(F.coalesce(source, F.lit("")), F.coalesce(t, F.lit("")), rules)
-        made[f"{t}_failures"], made[f"_{t}_w"] = fail, warn
-    df = df.withColumns(made)
+        checks = [F.when(F.trim(texts[t]) == "", F.lit("empty_target"))]
+        if rules.forbidden:
+            checks.append(F.when(texts[t].rlike(rules.forbidden), F.lit("forbidden_residual")))
+        added = []
+        for i, r in enumerate(rules.rules):
+            has, kept = F.col(f"_m_src_{i}"), F.col(f"_m_{t}_{i}")
+            checks.append(F.when(has & ~kept, F.lit(r.code)))
+            if r.added:
+                added.append(F.when(~has & kept, F.lit(r.added)))
+        if rules.number:
+            checks.append(F.when(~tx.multiset_covers(F.col(f"_n_{t}"), F.col("_n_src")), F.lit("numbers_not_preserved")))
+        made[f"{t}_failures"] = F.array_compact(F.array(*checks))
+        made[f"_{t}_w"] = F.array_compact(F.array(*added)) if added else none
+    df = df.withColumns(made).select(*kept_columns, *made)
     union = reduce(F.array_union, [F.col(f"{t}_failures") for t in targets]) if len(targets) > 1 else F.array_distinct(f"{targets[0]}_failures")
     extra = reduce(F.array_union, [F.col(f"_{t}_w") for t in targets]) if len(targets) > 1 else F.array_distinct(f"_{targets[0]}_w")
     df = df.withColumns({"hard_failures": F.array_sort(union), "warnings": F.array_sort(extra)})
