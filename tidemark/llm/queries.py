@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import scratch_dir, table
 from tidemark.llm.mixing import poisson_mix
 from tidemark.llm.token_files import token_round_trip
+from tidemark.llm.topk import exact_top_k
 from tidemark.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +67,17 @@ FROM copies"""
 @query("op9_poisson_mix", MIX_SQL)
 def mix(spark: SparkSession, sf: str) -> DataFrame:
     return poisson_mix(table(spark, sf, "documents"), MIX_WEIGHTS, **MIX)
+
+
+TOPK_SQL = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256.0 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+
+
+@query("op7_ball_tree_top_k", TOPK_SQL)
+def ball_tree_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
