@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch_dir, table
+from tidemark.llm.common import crc_mod, scratch_dir, table
+from tidemark.llm.language import predict_language, train_language_filter
 from tidemark.llm.mixing import poisson_mix
 from tidemark.llm.token_files import token_round_trip
 from tidemark.llm.topk import exact_top_k
@@ -81,3 +82,11 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 @query("op7_ball_tree_top_k", TOPK_SQL)
 def ball_tree_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return exact_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256.0)
+
+
+@query("op3_language_filter")
+def language_filter(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    part = crc_mod(F.col("doc_id"), 4)
+    model = train_language_filter(docs.where(part != 2), train_docs=1500)
+    return predict_language(docs, model, [F.col("doc_id"), part == 2]).toDF("doc_id", "held_out", "lang_pred", "score")
