@@ -12,6 +12,7 @@ from tidemark.llm.language import predict_language, train_language_filter
 from tidemark.llm.mixing import poisson_mix
 from tidemark.llm.token_files import token_round_trip
 from tidemark.llm.topk import exact_top_k
+from tidemark.llm.toxicity import score_toxicity, train_toxicity
 from tidemark.llm.warc import archive_round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +91,10 @@ def language_filter(spark: SparkSession, sf: str) -> DataFrame:
     part = crc_mod(F.col("doc_id"), 4)
     model = train_language_filter(docs.where(part != 2), train_docs=1500)
     return predict_language(docs, model, [F.col("doc_id"), part == 2]).toDF("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op6_toxicity_trees")
+def toxicity_trees(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = train_toxicity(docs, table(spark, sf, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
+    return score_toxicity(docs, model, [F.col("doc_id"), crc_mod(F.col("doc_id"), 3) == 1], ["doc_id", "held_out"])
