@@ -46,11 +46,10 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float], default_weight:
     sized = docs.groupBy(F.col(source_col).alias("mix_source")).agg(size.alias("chars"))
     weight = F.coalesce(*(F.when(F.col("mix_source") == k, F.lit(float(v))) for k, v in sorted(weights.items())), F.lit(float(default_weight)))
     sized = sized.withColumn("weight", F.when(F.col("chars") > 0, weight).otherwise(F.lit(0.0)))
-    total = sized.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
-    # one row of totals beside a row for each source
-    rated = sized.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").drop("one")
-    rate = F.when((F.col("chars") > 0) & (F.col("all_weight") > 0), F.lit(float(epochs)) * F.col("all_chars") * F.col("weight") / F.col("all_weight") / F.col("chars")).otherwise(F.lit(0.0))
-    return materialise(rated.withColumn("rate", rate).withColumn("table", poisson_table(F.col("rate"))), "mix-rates")
+    total = sized.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight")).first()  # one row
+    chars, weight = float(total["all_chars"] or 0), float(total["all_weight"] or 0)
+    rate = F.when((F.col("chars") > 0) & F.lit(weight > 0), F.lit(float(epochs)) * F.lit(chars) * F.col("weight") / F.lit(weight or 1.0) / F.col("chars")).otherwise(F.lit(0.0))
+    return materialise(sized.withColumn("rate", rate).withColumn("table", poisson_table(F.col("rate"))), "mix-rates")
 
 
 def poisson_mix(

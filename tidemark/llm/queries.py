@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, scratch_dir, table
+from tidemark.llm.decontaminate import benchmark_hits
+from tidemark.llm.jaccard_join import Rule, jaccard_groups
 from tidemark.llm.language import predict_language, train_language_filter
 from tidemark.llm.mixing import poisson_mix
 from tidemark.llm.token_files import token_round_trip
@@ -98,3 +100,13 @@ def toxicity_trees(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     model = train_toxicity(docs, table(spark, sf, "labels"), crc_mod(F.col("doc_id"), 3) != 1)
     return score_toxicity(docs, model, [F.col("doc_id"), crc_mod(F.col("doc_id"), 3) == 1], ["doc_id", "held_out"])
+
+
+@query("op2_jaccard_groups")
+def jaccard_join_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf, "documents"), Rule(width=3, num=90, den=100))
+
+
+@query("op5_benchmark_hits")
+def hits(spark: SparkSession, sf: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=5, least=0.8)
