@@ -16,6 +16,7 @@ from tidemark.llm.token_files import token_round_trip
 from tidemark.llm.topk import exact_top_k
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
 from tidemark.llm.warc import archive_round_trip
+from tidemark.llm.wrapper import extract_text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,3 +111,8 @@ def jaccard_join_groups(spark: SparkSession, sf: str) -> DataFrame:
 @query("op5_benchmark_hits")
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     return benchmark_hits(table(spark, sf, "documents"), table(spark, sf, "benchmark"), width=5, least=0.8)
+
+
+@query("op1_wrapper_text")
+def wrapper_text(spark: SparkSession, sf: str) -> DataFrame:
+    return extract_text(table(spark, sf, "pages"))
