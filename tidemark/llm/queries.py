@@ -12,6 +12,7 @@ from tidemark.llm.decontaminate import benchmark_hits
 from tidemark.llm.jaccard_join import Rule, jaccard_groups
 from tidemark.llm.language import predict_language, train_language_filter
 from tidemark.llm.mixing import poisson_mix
+from tidemark.llm.surrogates import replace_entities
 from tidemark.llm.token_files import token_round_trip
 from tidemark.llm.topk import exact_top_k
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
@@ -25,6 +26,8 @@ ORACLES: dict[str, str] = {}
 MIX_WEIGHTS = {"src0": 6.0}
 MIX = {"default_weight": 1.0, "epochs": 1.0, "seed": "mix-1"}
 END_ID = 2
+#: a deployment passes its own
+SURROGATE_KEY = "surrogates-1"
 
 
 def query(name: str, sql: str | None = None):
@@ -116,3 +119,8 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_wrapper_text")
 def wrapper_text(spark: SparkSession, sf: str) -> DataFrame:
     return extract_text(table(spark, sf, "pages"))
+
+
+@query("op4_surrogates")
+def surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return replace_entities(table(spark, sf, "documents").select("doc_id", "text"), SURROGATE_KEY)
