@@ -16,6 +16,8 @@ other columns pass through, whatever their names.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,8 +146,12 @@ def family(word: Column, h: Column) -> Column:
     return F.when(script_of(word) == "cyrillic", of("cyrillic")).when(script_of(word) == "greek", of("greek")).otherwise(of("latin"))
 
 
-def name(m: Column, h: Column, g: Column) -> Column:
-    """Title kept, given name of the same gender and script (from ``g``, its own digest), family name from ``h``."""
+def name(m: Column, h: Column, g: Column, key: str) -> Column:
+    """Title kept, given name of the same gender and script, family name from ``h``.
+
+    A listed given name moves on in its list by a step that the key sets, so different ones stay different; another is
+    drawn by ``g``, its own digest.
+    """
     words = F.split(m, " +")
     first, given = title_and_given(m)
     lists = {x: [n for (_, y), ns in GIVEN.items() if x == y for n in ns] for x in "mf"}
@@ -153,8 +159,9 @@ def name(m: Column, h: Column, g: Column) -> Column:
     gender = F.when(first.isin(TITLES["m"]) | given.isin(lists["m"]), "m").when(first.isin(TITLES["f"]) | given.isin(lists["f"]), "f").otherwise(F.when(n % 2 == 0, "m").otherwise("f"))
     new = F.lit(None).cast("string")
     for (script, sex), names in GIVEN.items():
-        # never the old name: the one beside it then
-        other = F.try_element_at(F.filter(F.array(pick_from(names, n), pick_from(names, n + 1)), lambda x: x != given), F.lit(1))
+        step = int(hashlib.sha256(f"{key}/{script}/{sex}".encode()).hexdigest(), 16) % (len(names) - 1) + 1
+        at = F.array_position(F.array(*map(F.lit, names)), given)
+        other = F.when(at > 0, pick_from(names, at - 1 + step)).otherwise(pick_from(names, n))
         new = F.when((script_of(given) == script) & (gender == sex), other).otherwise(new)
     return F.concat_ws(" ", F.when(first.isNotNull(), F.try_element_at(words, F.lit(1))), new, family(F.try_element_at(words, F.lit(-1)), h))
 
@@ -188,7 +195,7 @@ def with_surrogates(forms: DataFrame, key: str) -> DataFrame:
         .when(kind == "ipv4", F.concat_ws(".", (F.pmod(draw(h, 0), F.lit(15)) + 240).cast("string"), octet(1), octet(2), octet(3)))
         .when(kind == "phone", F.concat(code, shaped(F.substr(m, F.char_length(code) + 1), h, digits_only=True)))
         .when(kind == "card", card(m, h))
-        .otherwise(name(m, h, F.col("g")))
+        .otherwise(name(m, h, F.col("g"), key))
     )
     return forms.withColumn("new", new).drop("h", "g")
 
