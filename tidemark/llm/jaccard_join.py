@@ -57,7 +57,8 @@ class Rule:
     def bands(self, largest: int) -> list[int]:
         """Upper ends of the size bands; a partner is in the same band or the next."""
         t = Fraction(self.num, self.den)
-        ends = [max(1, self.den // max(1, self.den - self.num) - 1)]
+        # up to the first end, a set links to equal ones only: n / (n + 1) < t
+        ends = [-(-self.num // max(1, self.den - self.num)) - 1]
         while ends[-1] < largest:
             ends.append(max(int(ends[-1] / t), ends[-1] + 1))
         return [*ends, max(int(ends[-1] / t), ends[-1] + 1)]
@@ -367,7 +368,7 @@ def jaccard_groups(
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     out = named.join(groups, "node", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("label", "node")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
