@@ -29,13 +29,19 @@ def local_session(cpus: int | str = "*", app: str = "tidemark") -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only if unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a session whose tasks all run in one process may do without: it gets a temporary folder.  A cluster must name
+    one, since its executors don't see each other's disks.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root
