@@ -29,7 +29,7 @@ iss AS (
   UNION ALL SELECT stream_id, seq, 'abnormal_space', 'warning', NULL FROM b WHERE regexp_matches(text, ' {{2,}}|\\t')
   UNION ALL SELECT stream_id, seq, 'repeated_punctuation', 'warning', NULL FROM b WHERE regexp_matches(text, '[!?！？。]{{2,}}|\\.{{3,}}')
   UNION ALL SELECT stream_id, seq, 'too_many_lines', 'error', NULL FROM b WHERE len(li) > 2
-  UNION ALL SELECT stream_id, seq, 'high_cps', 'warning', 'inf' FROM b WHERE end_ms <= start_ms AND solid > 0
+  UNION ALL SELECT stream_id, seq, 'high_cps', 'warning', 'inf' FROM b WHERE end_ms <= start_ms
   UNION ALL SELECT stream_id, seq, 'high_cps', 'warning', CAST(round(cps, 2) AS VARCHAR) FROM b WHERE end_ms > start_ms AND cps > 16
   UNION ALL SELECT stream_id, seq, 'fragment_candidate', 'warning', NULL FROM b WHERE end_ms - start_ms >= 1000 AND solid < 2
   UNION ALL SELECT stream_id, seq, 'consecutive_duplicate', 'warning', NULL FROM b WHERE key <> '' AND key = pk

@@ -95,7 +95,7 @@ def agg7(spark, sf):
 
 
 PASSES = f"""ps AS (SELECT stream_id, start_ms // {DAY} AS scene, CASE family WHEN 'click' THEN 'base_a' WHEN 'view' THEN 'base_b' ELSE 'extra' END AS profile, arg_min(CASE WHEN k % 6 = 0 THEN '' ELSE 'take ' || CAST(k % 3 AS VARCHAR) || ' of day' END, seq) AS text,
-  arg_min(-(k % 13) / 10.0, seq) AS lp, arg_min(k % 9 / 10.0, seq) AS ns, arg_min(CASE WHEN k % 10 = 0 THEN 'bad' ELSE '' END, seq) AS er FROM ev WHERE family <> 'signup' GROUP BY ALL),
+  arg_min(-(k % 13) / 10.0, seq) AS lp, arg_min(k % 9 / 10.0, seq) AS ns, arg_min(CASE WHEN k % 10 = 0 THEN 'bad' ELSE '' END, seq) AS er FROM ev GROUP BY ALL),
 pv AS (SELECT stream_id, scene, max(CASE WHEN profile = 'base_a' THEN trim(text) END) AS lt, max(CASE WHEN profile = 'base_b' THEN trim(text) END) AS rt, bool_or(profile = 'extra' AND trim(text) <> '') AS xt,
   coalesce(bool_or(profile <> 'extra' AND lp < -1.0), false) AS low, coalesce(bool_or(profile <> 'extra' AND ns > 0.6), false) AS hi, coalesce(bool_or(profile <> 'extra' AND er <> ''), false) AS er,
   coalesce(bool_and(CASE WHEN profile <> 'extra' THEN er <> '' END), true) AS ae FROM ps GROUP BY ALL),
@@ -108,7 +108,7 @@ SELECT stream_id, scene, round(sim, 6) AS similarity, array_to_string(list_sort(
   CASE WHEN a = '' AND b = '' AND ae THEN 'unresolved' WHEN a = '' AND b = '' THEN 'nonverbal' WHEN a <> '' AND b <> '' AND sim >= 0.92 THEN 'stable' WHEN a <> '' AND b <> '' AND sim >= 0.75 THEN 'normalized'
    WHEN xt THEN 'context-resolved' ELSE 'unresolved' END AS verdict FROM sm""")
 def agg8(spark, sf):
-    ev = events(spark, sf).where("family <> 'signup'")
+    ev = events(spark, sf)
     profile = F.when(F.col("family") == "click", "base_a").when(F.col("family") == "view", "base_b").otherwise("extra")
     text = F.when(F.col("k") % 6 == 0, "").otherwise(F.concat(L("take "), (F.col("k") % 3).cast("string"), L(" of day")))
     rows = ev.groupBy("stream_id", F.floor(F.col("start_ms") / DAY).alias("scene"), profile.alias("profile")).agg(
@@ -399,7 +399,7 @@ def join12(spark, sf):
 
 
 @query("join13_evidence_bundle", with_(TN, """sc AS (SELECT stream_id, seq // 3 AS scene, (stream_id + seq // 3) % 3 <> 0 AS aligned FROM tn WHERE (stream_id + seq // 3) % 7 <> 0 GROUP BY ALL),
-wi AS (SELECT user_id % 100 AS stream_id, event_id % 3 AS scene, CAST(event_id AS VARCHAR) AS ref FROM events WHERE value > 150),
+wi AS (SELECT user_id % 100 AS stream_id, event_id % 3 AS scene, CAST(event_id AS VARCHAR) AS ref FROM events),
 ww AS (SELECT stream_id, scene, count(*) AS n, string_agg(ref, ',' ORDER BY ref) AS refs FROM wi GROUP BY ALL),
 nb AS (SELECT *, list(seq) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS bf, list(seq) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING) AS af FROM tn)""") + """
 SELECT t.stream_id, t.seq, coalesce(array_to_string(bf, ','), '') AS before, coalesce(array_to_string(af, ','), '') AS after, CASE WHEN coalesce(aligned, false) THEN coalesce(refs, '') ELSE '' END AS witness_refs,
@@ -414,7 +414,7 @@ def join13(spark, sf):
     none = F.array().cast("array<string>")
     scenes = tn.select("stream_id", "scene").distinct().where(mix % 7 != 0).withColumns(
         {"aligned": mix % 3 != 0, "risks": F.when(mix % 5 == 0, F.array(L("scene-risk"))).otherwise(none)})
-    wit = table(spark, sf, "events").where("value > 150").select((F.col("user_id") % 100).alias("stream_id"), (F.col("event_id") % 3).alias("scene"), F.col("event_id").cast("string").alias("ref"), L("w").alias("text"))
+    wit = table(spark, sf, "events").select((F.col("user_id") % 100).alias("stream_id"), (F.col("event_id") % 3).alias("scene"), F.col("event_id").cast("string").alias("ref"), L("w").alias("text"))
     previous = tn.where("seq % 2 = 0").select("stream_id", "seq", F.concat(L("p "), F.col("text")).alias("text"))
     out = ev_.evidence_bundle(tn, scenes, wit, previous, order)
     return out.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import wide_class
 from tidemark.functions.timecode import epoch_ms
 from tidemark.operators.ordered import Order, chunked, running
 
@@ -103,6 +104,11 @@ def sql_squeeze(c: str) -> str:
     return f"trim(regexp_replace({c}, '{WS}+', ' ', 'g'))"
 
 
+def sql_width(c: str) -> str:
+    """Wide, full-width and ambiguous characters count one, other visible ones half."""
+    return f"(length({sql_compact(c)}) + length(regexp_replace({sql_compact(c)}, '[^{wide_class()[1:]}', '', 'g'))) * 0.5"
+
+
 def sql_compact(c: str) -> str:
     return f"regexp_replace({c}, '{WS}+', '', 'g')"
 

@@ -329,10 +329,10 @@ def join6(spark, sf):
 
 @query("join7_nearest_assets", with_(EV, SIDES) + """,
 anc AS (SELECT stream_id, seq, unnest([start_ms, CAST(floor((start_ms + end_ms) / 2) AS BIGINT), end_ms]) AS at, unnest([0, 1, 2]) AS k FROM a),
-c AS (SELECT n.stream_id, n.seq, n.k, b.seq AS path, row_number() OVER (PARTITION BY n.stream_id, n.seq, n.k ORDER BY abs(n.at - b.start_ms), b.start_ms, b.seq) AS rn
+c AS MATERIALIZED (SELECT n.stream_id, n.seq, n.k, b.seq AS path, row_number() OVER (PARTITION BY n.stream_id, n.seq, n.k ORDER BY abs(n.at - b.start_ms), b.start_ms, b.seq) AS rn
       FROM anc n JOIN b ON n.stream_id = b.stream_id),
-s0 AS (SELECT stream_id, seq, path FROM c WHERE k = 0 AND rn = 1),
-s1 AS (SELECT stream_id, seq, path FROM (SELECT c.*, row_number() OVER (PARTITION BY c.stream_id, c.seq ORDER BY c.rn) AS q FROM c JOIN s0 USING (stream_id, seq) WHERE c.k = 1 AND c.path <> s0.path) WHERE q = 1),
+s0 AS MATERIALIZED (SELECT stream_id, seq, path FROM c WHERE k = 0 AND rn = 1),
+s1 AS MATERIALIZED (SELECT stream_id, seq, path FROM (SELECT c.*, row_number() OVER (PARTITION BY c.stream_id, c.seq ORDER BY c.rn) AS q FROM c JOIN s0 USING (stream_id, seq) WHERE c.k = 1 AND c.path <> s0.path) WHERE q = 1),
 s2 AS (SELECT stream_id, seq, path FROM (SELECT c.*, row_number() OVER (PARTITION BY c.stream_id, c.seq ORDER BY c.rn) AS q FROM c JOIN s0 USING (stream_id, seq)
    LEFT JOIN s1 USING (stream_id, seq) WHERE c.k = 2 AND c.path <> s0.path AND c.path IS DISTINCT FROM s1.path) WHERE q = 1)
 SELECT s0.stream_id, s0.seq, CAST(s0.path AS VARCHAR) AS path_start, CAST(s1.path AS VARCHAR) AS path_middle, CAST(s2.path AS VARCHAR) AS path_end

@@ -257,7 +257,7 @@ def agg33(spark, sf):
     return ov.contract_violations(df, contract)
 
 
-LOG = """lg AS (SELECT user_id AS stream_id, CAST(event_id % 3 AS BIGINT) AS unit_id, event_id AS line, ['pending', 'deferred', 'held', 'approved', 'rejected'][CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 5 + 1] AS st FROM events WHERE value > 60),
+LOG = """lg AS (SELECT user_id AS stream_id, CAST(event_id % 3 AS BIGINT) AS unit_id, event_id AS line, ['pending', 'deferred', 'held', 'approved', 'rejected'][CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) % 5 + 1] AS st FROM events),
 l2 AS (SELECT stream_id, unit_id, line, CASE WHEN st = 'held' THEN 'deferred' ELSE st END AS st, lag(CASE WHEN st = 'held' THEN 'deferred' ELSE st END) OVER (PARTITION BY stream_id, unit_id ORDER BY line) AS bf FROM lg),
 l3 AS (SELECT *, CASE WHEN line % 7 = 0 THEN 'pending' ELSE coalesce(bf, 'pending') END AS pv FROM l2),
 un AS (SELECT stream_id, unit_id, arg_max(st, line) AS status, count(*) FILTER (pv <> coalesce(bf, 'pending') OR (coalesce(bf, 'pending') IN ('approved', 'rejected') AND st <> bf) OR (coalesce(bf, '') = 'deferred' AND st NOT IN ('deferred', 'approved', 'rejected'))
@@ -268,7 +268,7 @@ un AS (SELECT stream_id, unit_id, arg_max(st, line) AS status, count(*) FILTER (
 def agg37(spark, sf):
     from tidemark.operators.ordered import neighbour
 
-    ev = events(spark, sf).where("cents > 6000")
+    ev = events(spark, sf)
     status = F.get(F.array(*[L(s) for s in ("pending", "deferred", "held", "approved", "rejected")]), (F.col("k") % 5).cast("int"))
     log = ev.select("stream_id", (F.col("seq") % 3).alias("unit_id"), F.col("seq").alias("line"), status.alias("status"))
     log, order = chunked(log, Order(("stream_id", "unit_id"), ("line",)), 4000)

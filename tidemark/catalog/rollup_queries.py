@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.frames import CHUNK, DAY, EV, HOUR, LINE_ORDER, LN, MONTH, TN, chunked_events, events, lines, sql_compact, sql_key, sql_squeeze, table, turns, with_
+from tidemark.catalog.frames import CHUNK, DAY, EV, HOUR, LINE_ORDER, LN, MONTH, TN, chunked_events, events, lines, sql_compact, sql_key, sql_squeeze, sql_width, table, turns, with_
 from tidemark.catalog.interval_queries import LEFT, RIGHT, SIDES, family
 from tidemark.catalog.registry import query
 from tidemark.catalog.sequence_queries import RUNS, sql_runaways
@@ -15,7 +15,7 @@ from tidemark.operators.ordered import Order, chunked
 L = F.lit
 
 
-@query("agg1_qc_rollup", with_(LN, sql_runaways("ln"), f"""a AS (SELECT *, end_ms - start_ms AS d, lag(end_ms) OVER (PARTITION BY stream_id ORDER BY seq) AS pe, length({sql_compact('text')}) * 0.5 AS w,
+@query("agg1_qc_rollup", with_(LN, sql_runaways("ln"), f"""a AS (SELECT *, end_ms - start_ms AS d, max(end_ms) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe, {sql_width('text')} AS w,
    EXISTS (SELECT 1 FROM runaway r WHERE r.stream_id = ln.stream_id AND r.seq = ln.seq) AS ra FROM ln),
 b AS (SELECT stream_id, count(*) AS cues, avg(d) AS av, min(d) AS min_ms, max(d) AS max_ms, count(*) FILTER (d < 800) AS short_cues, count(*) FILTER (d > 7000) AS long_cues,
   count(*) FILTER (w > 26) AS too_wide, count(*) FILTER (start_ms < pe - 1) AS overlap_rows, count(*) FILTER (d <= 0) AS reversals, count(*) FILTER (trim(text) = '') AS empty_cues,
@@ -140,16 +140,16 @@ def agg24(spark, sf):
 @query("agg24_anchor_bands", with_(EV) + f"""
 SELECT stream_id, count(*) FILTER (p <= 0.34) AS early, count(*) FILTER (p > 0.34 AND p < 0.67) AS middle, count(*) FILTER (p >= 0.67) AS late,
  count(*) FILTER (p <= 0.34) > 0 AND count(*) FILTER (p > 0.34 AND p < 0.67) > 0 AND count(*) FILTER (p >= 0.67) > 0 AS all_bands
-FROM (SELECT stream_id, CAST(start_ms AS DOUBLE) / {MONTH} AS p FROM ev WHERE k < 8) GROUP BY stream_id""")
+FROM (SELECT stream_id, CAST(start_ms AS DOUBLE) / {MONTH} AS p FROM ev) GROUP BY stream_id""")
 def agg24b(spark, sf):
     ev = events(spark, sf)
     d = ev.select("stream_id").distinct().withColumn("duration_ms", L(MONTH).cast("long"))
-    return ru.anchor_bands(ev.where("k < 8").select("stream_id", F.col("start_ms").alias("at_ms")), d)
+    return ru.anchor_bands(ev.select("stream_id", F.col("start_ms").alias("at_ms")), d)
 
 
 @query("agg25_timeline_verdict", with_(EV) + """,
 an AS (SELECT stream_id, count(*) AS anchors, min(o) AS low, max(o) AS high, max(abs(o)) AS worst FROM (
-   SELECT stream_id, CASE WHEN stream_id % 3 = 0 THEN k % 4 * 100 WHEN stream_id % 3 = 1 THEN 5000 + k % 5 * 100 ELSE k * 50 END AS o FROM ev WHERE family = 'signup' AND k < 30) GROUP BY stream_id),
+   SELECT stream_id, CASE WHEN stream_id % 3 = 0 THEN k % 4 * 100 WHEN stream_id % 3 = 1 THEN 5000 + k % 5 * 100 ELSE k * 50 END AS o FROM ev WHERE family = 'signup') GROUP BY stream_id),
 md AS (SELECT stream_id, max(end_ms) - CASE WHEN stream_id % 10 = 9 THEN 1 ELSE 0 END AS ml, max(end_ms) AS tl FROM ev GROUP BY stream_id)
 SELECT stream_id, coalesce(anchors, 0) AS anchors, CASE WHEN ml < tl THEN 'media_too_short' WHEN coalesce(anchors, 0) < 3 THEN 'unresolved' WHEN high - low <= 500 AND worst <= 500 THEN 'exact'
   WHEN high - low <= 500 THEN 'constant_offset' ELSE 'drift' END AS verdict,
@@ -158,7 +158,7 @@ def agg25(spark, sf):
     ev = events(spark, sf)
     third = F.col("stream_id") % 3
     off = F.when(third == 0, F.col("k") % 4 * 100).when(third == 1, 5000 + F.col("k") % 5 * 100).otherwise(F.col("k") * 50)
-    anchors = ev.where("family = 'signup' and k < 30").select("stream_id", F.col("start_ms").alias("text_ms"), (F.col("start_ms") + off).alias("media_ms"))
+    anchors = ev.where("family = 'signup'").select("stream_id", F.col("start_ms").alias("text_ms"), (F.col("start_ms") + off).alias("media_ms"))
     media = ev.groupBy("stream_id").agg(F.max("end_ms").alias("text_len_ms"))
     media = media.withColumn("media_len_ms", F.col("text_len_ms") - F.when(F.col("stream_id") % 10 == 9, 1).otherwise(0))
     return ru.timeline_verdict(anchors, media).select("stream_id", "anchors", "verdict", "needs_approval")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.frames import (
-    DAY, EV, HOUR, LINE_ORDER, LN, MONTH, TN, chunked_events, events, lines, sql_compact, sql_key, sql_squeeze, table, turns, with_,
+    DAY, EV, HOUR, LINE_ORDER, LN, MONTH, TN, chunked_events, events, lines, sql_compact, sql_key, sql_squeeze, sql_width, table, turns, with_,
 )
 from tidemark.catalog.interval_queries import MERGE, durations
 from tidemark.catalog.registry import query
@@ -261,7 +261,7 @@ WORDS = """wd AS (SELECT stream_id, turn AS interval, turn * 100000 + pos AS seq
   SELECT conv_id AS stream_id, turn, CAST(generate_subscripts(string_split(text, ' '), 1) - 1 AS BIGINT) AS pos, unnest(string_split(text, ' ')) AS w FROM conversations))"""
 
 
-@query("win18_group_items", rec(WORDS, f"""nb AS (SELECT *, length({sql_compact('text')}) * 0.5 AS wid, regexp_matches(rtrim(text), '[.!?]$') AS stop,
+@query("win18_group_items", rec(WORDS, f"""nb AS (SELECT *, {sql_width('text')} AS wid, regexp_matches(rtrim(text), '[.!?]$') AS stop,
    row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS rn FROM wd)""", """r AS (
   SELECT stream_id, rn, interval, 1 AS g, start_ms AS f, CAST(wid AS DOUBLE) AS tw, (wid >= 20 OR end_ms - start_ms >= 4500 OR (stop AND end_ms - start_ms >= 1200)) AS closed FROM nb WHERE rn = 1
   UNION ALL
@@ -355,14 +355,15 @@ a AS (SELECT *, max(end_ms) OVER w AS reach, row_number() OVER (PARTITION BY str
   FROM ol WINDOW w AS (PARTITION BY stream_id ORDER BY seq, l_partkey, l_suppkey, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""") + """
 SELECT stream_id, seq, pos AS row_no, 'duplicate_number' AS code, 'error' AS severity FROM a WHERE tm > 1
 UNION ALL SELECT stream_id, seq, pos, 'number_not_in_sequence', 'error' FROM a WHERE seq <> pos
-UNION ALL SELECT stream_id, seq, pos, 'reversed_time', 'error' FROM a WHERE end_ms <= start_ms
+UNION ALL SELECT stream_id, seq, pos, 'reversed_time', 'error' FROM a WHERE end_ms < start_ms
 UNION ALL SELECT a.stream_id, a.seq, pos, 'overlap', CASE WHEN k.seq IS NULL THEN 'error' ELSE 'warning' END FROM a LEFT JOIN kn k ON k.stream_id = a.stream_id AND k.seq = a.seq WHERE start_ms < reach""")
 def aud2(spark, sf):
     rows = order_rows(spark, sf)
     return sq.structure_issues(rows, FILE_ORDER, rows.where("l_partkey % 2 = 0"))
 
 
-@query("aud3_cue_validity", with_(OL, """a AS (SELECT *, lag(end_ms) OVER w AS pe, row_number() OVER w AS pos FROM ol WINDOW w AS (PARTITION BY stream_id ORDER BY seq, l_partkey, l_suppkey, price))""") + """
+@query("aud3_cue_validity", with_(OL, """a AS (SELECT *, max(end_ms) OVER (PARTITION BY stream_id ORDER BY seq, l_partkey, l_suppkey, price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe,
+  row_number() OVER (PARTITION BY stream_id ORDER BY seq, l_partkey, l_suppkey, price) AS pos FROM ol)""") + """
 SELECT stream_id, count(*) AS cues, count(*) FILTER (seq <> pos) AS id_breaks, count(*) FILTER (end_ms <= start_ms) AS non_positive,
  count(*) FILTER (start_ms < pe - 1) AS overlaps, count(*) FILTER (price % 10 = 0) AS empty_text, CAST(0 AS BIGINT) AS non_finite,
  count(*) FILTER (seq <> pos) + count(*) FILTER (end_ms <= start_ms) + count(*) FILTER (start_ms < pe - 1) + count(*) FILTER (price % 10 = 0) = 0 AS valid FROM a GROUP BY stream_id""")
@@ -387,7 +388,7 @@ def sql_runaways(src: str) -> str:
 b AS (SELECT *, last_value(CASE WHEN key <> '' THEN key END IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pt,
   lag(start_ms) OVER (PARTITION BY stream_id, key ORDER BY seq) AS ps FROM a)""", sql_runaways("ln")) + """
 SELECT stream_id, seq, array_to_string(list_sort(list_filter([
-  CASE WHEN length(text) % 37 > 26 THEN 'high_compression_ratio' END, CASE WHEN length(text) % 13 > 10 THEN 'low_average_logprob' END,
+  CASE WHEN key = '' THEN 'empty_text' END, CASE WHEN length(text) % 37 > 26 THEN 'high_compression_ratio' END, CASE WHEN length(text) % 13 > 10 THEN 'low_average_logprob' END,
   CASE WHEN seq % 10 >= 7 AND key <> '' THEN 'speech_in_no_speech_region' END, CASE WHEN EXISTS (SELECT 1 FROM runaway r WHERE r.stream_id = b.stream_id AND r.seq = b.seq) THEN 'possible_runaway_repetition' END,
   CASE WHEN length(key) >= 4 AND key = pt THEN 'exact_adjacent_repeat' END, CASE WHEN length(key) >= 4 AND start_ms - ps >= 10000 THEN 'periodic_repeat' END], lambda x: x IS NOT NULL)), ',') AS warnings FROM b""")
 def aud4(spark, sf):

@@ -80,25 +80,25 @@ def src4(spark, sf):
     return out.select("stream_id", "role", "sha256", "blocks", "first_clock", "last_clock")
 
 
-@query("src4_manifest_roles", """SELECT CAST(conv_id AS VARCHAR) AS stream_id, CASE WHEN conv_id % 3 = 0 THEN 'target' ELSE 'source' END AS role, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS candidates, conv_id % 3 = 0 AS ambiguous FROM conversations WHERE turn = 0
-UNION ALL SELECT CAST(conv_id AS VARCHAR), 'source', 1, false FROM conversations WHERE turn = 0 AND conv_id % 3 = 0""")
+@query("src4_manifest_roles", """SELECT CAST(conv_id AS VARCHAR) AS stream_id, CASE WHEN conv_id % 3 = 0 THEN 'target' ELSE 'source' END AS role, CASE WHEN conv_id % 3 = 0 THEN 2 ELSE 1 END AS candidates, conv_id % 3 = 0 AS ambiguous FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT CAST(conv_id AS VARCHAR), 'source', 1, false FROM (SELECT DISTINCT conv_id FROM conversations) WHERE conv_id % 3 = 0""")
 def src4b(spark, sf):
     path = scratch_dir(spark, "roles")
     c = F.col("conv_id")
-    first = table(spark, sf, "conversations").where("turn = 0")
+    first = table(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("role"))
     names = F.when(c % 3 == 0, F.array(L("source"), L("target_a"), L("target_b"))).otherwise(F.array(L("source")))
     first.select(c.alias("stream_id"), F.explode(names).alias("name"), F.col("role").alias("value")).repartition("stream_id").write.partitionBy("stream_id", "name").text(path)
     m = fs.file_manifest(spark, path, [("source", "name=source"), ("target", "name=target_")], r"stream_id=(\d+)")
     return fs.manifest_roles(m).select("stream_id", "role", F.col("candidates").cast("int").alias("candidates"), "ambiguous")
 
 
-@query("src5_asset_index", """WITH f AS (SELECT CAST(conv_id % 10 AS VARCHAR) AS stream_id, conv_id * 1500 AS at_ms, 'same ' || CAST(conv_id % 7 AS VARCHAR) || chr(10) AS content FROM conversations WHERE turn = 0)
+@query("src5_asset_index", """WITH f AS (SELECT CAST(conv_id % 10 AS VARCHAR) AS stream_id, conv_id * 1500 AS at_ms, 'same ' || CAST(conv_id % 7 AS VARCHAR) || chr(10) AS content FROM (SELECT DISTINCT conv_id FROM conversations))
 SELECT stream_id, sha256(content) AS sha, min(at_ms) AS at_ms FROM f GROUP BY stream_id, content""")
 def src5(spark, sf):
     path = scratch_dir(spark, "assets")
     c = F.col("conv_id")
     name = F.concat(L("shot_9s_"), F.format_string("%.1f", c * 1.5), L("s"))
-    rows = table(spark, sf, "conversations").where("turn = 0").select((c % 10).alias("stream_id"), name.alias("name"), F.concat(L("same "), (c % 7).cast("string")).alias("value"))
+    rows = table(spark, sf, "conversations").select("conv_id").distinct().select((c % 10).alias("stream_id"), name.alias("name"), F.concat(L("same "), (c % 7).cast("string")).alias("value"))
     rows.repartition("stream_id", "name").write.partitionBy("stream_id", "name").text(path)
     return fs.asset_index(spark, path, r"stream_id=(\d+)").select("stream_id", "sha", "at_ms")
 

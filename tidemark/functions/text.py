@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,17 +98,26 @@ def similarity(kind: str, left: Column, right: Column) -> Column:
     raise ValueError(f"unknown similarity {kind!r}")
 
 
-# fixed values: East Asian wide and full-width blocks
-WIDE_CLASS = (
-    r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
-    r"\x{A000}-\x{A4CF}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE4F}\x{FF00}-\x{FF60}\x{FFE0}-\x{FFE6}]"
-)
+@functools.cache
+def wide_class() -> str:
+    """A character class of all code points whose East Asian width is wide, full or ambiguous."""
+    import unicodedata
+
+    ends, inside = [], False
+    for i in range(0x80, 0x110000):
+        wide = not 0xD800 <= i < 0xE000 and unicodedata.east_asian_width(chr(i)) in "WFA"
+        if wide != inside:
+            ends.append(i if wide else i - 1)
+            inside = wide
+    ends += [0x10FFFF] if inside else []
+    return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in zip(ends[::2], ends[1::2], strict=True)) + "]"
 
 
 def display_width(text: Column) -> Column:
-    """Wide characters count one, other visible characters half."""
+    """Wide, full-width and ambiguous characters count one, other visible characters half."""
     solid = compact(text)
-    wide = F.regexp_count(solid, F.lit(WIDE_CLASS))
+    # plain characters are taken out first: the class is long
+    wide = F.regexp_count(F.regexp_replace(solid, r"[\x00-\x7F]+", ""), F.lit(wide_class()))
     return wide + (F.length(solid) - wide) * F.lit(0.5)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: strict and lenient clock formats
-STRICT = r"^(\d{2,}):(\d{2}):(\d{2}),(\d{3})$"
+STRICT = r"^(\d{2,}):([0-5]\d):([0-5]\d),(\d{3})$"
 LENIENT = r"^(?:(\d+):)?(\d{1,2}):(\d{1,2})[,.](\d{1,3})$"
 
 

@@ -60,7 +60,7 @@ def segment_issues(df: DataFrame, order: Order, rules: SegmentRules = SegmentRul
         F.when(text.rlike(SPACING), finding("abnormal_space", "warning")),
         F.when(text.rlike(PUNCTUATION), finding("repeated_punctuation", "warning")),
         F.when(F.size(tx.lines(text)) > rules.max_lines, finding("too_many_lines", "error")),
-        F.when(speed.isNull() & (solid > 0), finding("high_cps", "warning", F.lit("inf"))),
+        F.when(speed.isNull(), finding("high_cps", "warning", F.lit("inf"))),
         F.when(speed > rules.max_cps, finding("high_cps", "warning", F.round(speed, 2))),
         F.when((span >= 1000) & (solid < 2), finding("fragment_candidate", "warning")),
         F.when((key != "") & (key == F.col("_pkey")), finding("consecutive_duplicate", "warning")),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
-from tidemark.operators.ordered import Order, chunked, neighbour, running
+from tidemark.operators.ordered import Order, chunked, neighbour, position, running
 from tidemark.operators.sequences import runs
 
 
@@ -17,17 +17,40 @@ def times(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
+PRIME, BASE = 2_147_483_647, 1_000_003
+
+
+def with_prints(rows: DataFrame, order: Order) -> DataFrame:
+    """``_print``: a row's share of a polynomial hash of its stream's characters, white space left out.
+
+    Every character counts by its place in the stream, so the shares add up to the same number however the text is cut.
+    """
+    solid = tx.compact(F.col("text"))
+    rows = running(rows, order, {"_at": ("sum", F.length(solid).cast("long"))})
+    own = F.aggregate(F.split(F.reverse(solid), ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise((a * BASE + F.ascii(c)) % PRIME))
+    # BASE to the power of the place, by squares
+    step = F.struct(F.lit(1).cast("long").alias("p"), F.lit(BASE).cast("long").alias("b"), F.col("_at").cast("long").alias("e"))
+    power = F.aggregate(
+        F.sequence(F.lit(1), F.lit(40)), step,
+        lambda s, _: F.struct(F.when(s["e"] % 2 == 1, s["p"] * s["b"] % PRIME).otherwise(s["p"]).alias("p"), (s["b"] * s["b"] % PRIME).alias("b"), F.shiftright(s["e"], 1).alias("e")),
+        lambda s: s["p"],
+    )
+    return rows.withColumn("_print", (own * power % PRIME).cast("long")).drop("_at")
+
+
 def qc_rollup(
     cues: DataFrame, order: Order, durations: DataFrame, warnings: Sequence[str] = (), max_width: float = 26.0,
     short_ms: int = 800, long_ms: int = 7000, tolerance_ms: int = 1, source: DataFrame | None = None,
 ) -> DataFrame:
     """AGG1: one row of cue quality per stream, a gate and its (code, count) reasons.
 
-    ``cues`` may carry a ``warnings`` array; ``source`` rows check that the words are unchanged:
-    length and an order-insensitive sum of per-row hashes of the white-space-free text.
+    ``cues`` may carry a ``warnings`` array.  ``source`` rows check that the characters other than white space are
+    unchanged and in the same order, however they are cut into cues.
     """
     keys = list(order.keys)
-    cues = neighbour(cues, order, {"_pe": F.col("end_ms")})
+    if source is not None:
+        cues = with_prints(cues, order)
+    cues = position(running(cues, order, {"_pe": ("max", F.col("end_ms"))}), order, "_pos")
     span = F.col("end_ms") - F.col("start_ms")
     n_lines = F.size(tx.lines(F.col("text")))
     wide = F.exists(tx.lines(F.col("text")), lambda x: tx.display_width(x) > max_width)
@@ -37,26 +60,24 @@ def qc_rollup(
         F.avg(span).alias("avg_ms"), F.min(span).alias("min_ms"), F.max(span).alias("max_ms"),
         times(span < short_ms).alias("short_cues"), times(span > long_ms).alias("long_cues"),
         times(n_lines == 1).alias("one_line"), times(n_lines == 2).alias("two_lines"), times(wide).alias("too_wide"),
-        times(F.col("start_ms") < F.col("_pe") - tolerance_ms).alias("overlap_rows"),
+        times(F.col("start_ms") < F.col("_pe") - tolerance_ms).alias("overlap_rows"), times(F.col("seq") != F.col("_pos")).alias("_breaks"),
         times(span <= 0).alias("reversals"), times(F.trim("text") == "").alias("empty_cues"),
         times(tx.has_runaway(F.col("text"))).alias("runaway"),
         *[times(F.array_contains("warnings", w)).alias(f"warn_{w}") for w in warnings if has_warnings],
-        F.sum(F.length(tx.compact(F.col("text")))).alias("_chars"), F.sum(F.xxhash64(tx.compact(F.col("text"))).cast("decimal(38,0)")).alias("_sum"),
+        F.sum(F.length(tx.compact(F.col("text")))).alias("_chars"), *([F.sum("_print").alias("_sum")] if source is not None else []),
     )
     out = out.join(durations, keys, "left")
     out = out.withColumn("cues_per_minute", F.when(F.col("duration_ms") > 0, F.col("cues") * 60_000.0 / F.col("duration_ms")).otherwise(0.0))
     mismatch = F.lit(0)
     if source is not None:
-        ref = source.groupBy(*keys).agg(
-            F.sum(F.length(tx.compact(F.col("text")))).alias("_rchars"), F.sum(F.xxhash64(tx.compact(F.col("text"))).cast("decimal(38,0)")).alias("_rsum")
-        )
-        out = out.join(ref, keys, "left").withColumn("content_preserved", F.col("_chars").eqNullSafe(F.col("_rchars")) & F.col("_sum").eqNullSafe(F.col("_rsum")))
+        ref = with_prints(source, order).groupBy(*keys).agg(F.sum(F.length(tx.compact(F.col("text")))).alias("_rchars"), F.sum("_print").alias("_rsum"))
+        out = out.join(ref, keys, "left").withColumn("content_preserved", F.col("_chars").eqNullSafe(F.col("_rchars")) & (F.col("_sum") % PRIME).eqNullSafe(F.col("_rsum") % PRIME))
         mismatch = (~F.col("content_preserved")).cast("int")
     checks = [("runaway", F.col("runaway")), *[(w, F.col(f"warn_{w}")) for w in warnings if has_warnings], ("content_mismatch", mismatch)]
     reasons = F.array_compact(F.array(*[F.when(c > 0, F.struct(F.lit(n).alias("code"), c.cast("long").alias("count"))) for n, c in checks]))
-    broken = F.col("overlap_rows") + F.col("reversals") + F.col("empty_cues")
+    broken = F.col("overlap_rows") + F.col("reversals") + F.col("empty_cues") + F.col("_breaks")
     gate = F.when(broken > 0, "failed").when(F.size(reasons) > 0, "review_required").otherwise("passed")
-    return out.withColumns({"reasons": reasons, "gate": gate}).drop("_chars", "_sum", "_rchars", "_rsum")
+    return out.withColumns({"reasons": reasons, "gate": gate}).drop("_chars", "_sum", "_rchars", "_rsum", "_breaks")
 
 
 def word_alignment(segments: DataFrame, keys: Sequence[str] = ("stream_id",), tolerance_ms: int = 50, long_ms: int = 7000) -> DataFrame:

@@ -121,7 +121,7 @@ def keep_first(
         for k_start, k_end, k_fam, k_text in reversed(kept):
             if max_apart_ms is not None and start - k_end > max_apart_ms:
                 break
-            if k_fam != fam:
+            if k_fam != fam or not text.strip() or not k_text.strip():  # a blank row repeats nothing
                 continue
             common = max(0, min(end, k_end) - max(start, k_start))
             if common >= min_overlap * max(floor_ms, min(end - start, k_end - k_start)) and alike(text, k_text):
@@ -492,7 +492,7 @@ def structure_issues(df: DataFrame, order: Order, reference: DataFrame | None =
         F.array(
             F.when(F.col("_times") > 1, issue("duplicate_number", "error")),
             F.when(F.col("seq") != F.col("_pos"), issue("number_not_in_sequence", "error")),
-            F.when(F.col("end_ms") <= F.col("start_ms"), issue("reversed_time", "error")),
+            F.when(F.col("end_ms") < F.col("start_ms"), issue("reversed_time", "error")),
             F.when(hit, issue("overlap", F.when(F.col("_known"), "warning").otherwise("error"))),
         )
     )
@@ -502,8 +502,11 @@ def structure_issues(df: DataFrame, order: Order, reference: DataFrame | None =
 
 
 def cue_validity(df: DataFrame, order: Order, tolerance_ms: int = 1) -> DataFrame:
-    """AUD3: per stream counts of id breaks, non-positive, overlapping, empty and missing-time cues."""
-    rows = neighbour(position(df, order, "_pos"), order, {"_pe": F.col("end_ms")})
+    """AUD3: per stream counts of id breaks, non-positive, overlapping, empty and missing-time cues.
+
+    A cue overlaps if it starts before the latest end of all cues before it.
+    """
+    rows = running(position(df, order, "_pos"), order, {"_pe": ("max", F.col("end_ms"))})
 
     def times(c: Column) -> Column:
         return F.count(F.when(c, 1))
@@ -535,6 +538,7 @@ def transcript_warnings(df: DataFrame, order: Order, period_ms: int = 10_000, mi
     long_enough = F.length("_key") >= min_len
     codes = F.array_compact(
         F.array(
+            F.when(F.col("_key") == "", "empty_text"),
             F.when(F.col("compression_ratio") > 2.6, "high_compression_ratio"),
             F.when(F.col("avg_logprob") < -1.0, "low_average_logprob"),
             F.when((F.col("no_speech_prob") > 0.65) & (F.col("_key") != ""), "speech_in_no_speech_region"),
