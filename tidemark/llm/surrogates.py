@@ -163,7 +163,7 @@ def name(m: Column, h: Column, g: Column, key: str) -> Column:
         at = F.array_position(F.array(*map(F.lit, names)), given)
         other = F.when(at > 0, pick_from(names, at - 1 + step)).otherwise(pick_from(names, n))
         new = F.when((script_of(given) == script) & (gender == sex), other).otherwise(new)
-    return F.concat_ws(" ", F.when(first.isNotNull(), F.try_element_at(words, F.lit(1))), new, family(F.try_element_at(words, F.lit(-1)), h))
+    return F.concat_ws(" ", F.when(first.isNotNull(), F.try_element_at(words, F.lit(1))), F.when(given.isNotNull(), new), family(F.try_element_at(words, F.lit(-1)), h))
 
 
 def title_and_given(m: Column) -> tuple[Column, Column]:
