@@ -10,6 +10,7 @@ from tidemark.catalog.interval_queries import BUCKET, durations, sides
 from tidemark.catalog.registry import query
 from tidemark.operators import alignment as al
 from tidemark.operators import audits as au
+from tidemark.operators import overlay as ov
 from tidemark.operators.ordered import Order, chunked
 from tidemark.plans import pipelines as pl
 
@@ -49,13 +50,19 @@ def plan_transcript(spark, sf):
     return out.select("stream_id", "cues", "min_ms", "max_ms", "overlap_rows", "reversals", "gate")
 
 
-@query("plan_decision_coverage", with_(EV, CAND) + """
-SELECT stream_id, seq, 'missing' AS issue FROM sg WHERE false""")
+@query("plan_decision_coverage", with_(EV, CAND, """dd AS (SELECT stream_id, seq FROM sg WHERE seq % 5 <> 0 UNION ALL SELECT stream_id, seq FROM sg WHERE seq % 7 = 0 UNION ALL SELECT stream_id, seq + 1000 FROM sg WHERE seq % 11 = 0),
+dn AS (SELECT stream_id, seq, count(*) AS n FROM dd GROUP BY ALL)""") + """
+SELECT stream_id, seq, 'missing' AS issue FROM sg LEFT JOIN dn USING (stream_id, seq) WHERE n IS NULL
+UNION ALL SELECT stream_id, seq, 'extra' FROM dn LEFT JOIN (SELECT stream_id, seq, 1 AS w FROM sg) x USING (stream_id, seq) WHERE w IS NULL
+UNION ALL SELECT stream_id, seq, 'duplicate' FROM dn WHERE n > 1""")
 def plan_decisions(spark, sf):
+    """The plan's decisions with some lost, some made twice and some for segments that don't exist."""
     cand = candidates(spark, sf)
     none = F.array().cast("array<string>")
     seg = cand.select("stream_id", "seq").distinct().withColumn("reasons", none)
-    return pl.decision_plan(seg, cand, None)["coverage"]
+    made = pl.decision_plan(seg, cand, None)["decisions"].select("stream_id", "seq")
+    strange = made.where("seq % 11 = 0").withColumn("seq", F.col("seq") + 1000)
+    return ov.key_coverage(seg, made.where("seq % 5 <> 0").unionByName(made.where("seq % 7 = 0")).unionByName(strange))
 
 
 @query("plan_evidence_queue", with_(EV, WIT, FUSE) + """,

@@ -332,7 +332,10 @@ def group_items(
 def repair_durations(
     df: DataFrame, order: Order, longest_ms: int = 30_000, micro_ms: int = 250, target_ms: int = 500, least_ms: int = 80
 ) -> DataFrame:
-    """WIN14: cap stale and reversed rows to reading time, lengthen tiny rows, cut overlaps."""
+    """WIN14: cap stale and reversed rows to reading time, lengthen tiny rows, cut overlaps.
+
+    ``order`` must sort by start: the next start that is later is then the next larger one.
+    """
     df = neighbour(df, order, {"next_start": F.col("start_ms")}, following=True)
     jump = F.when(F.col("next_start") > F.col("start_ms"), F.col("next_start"))
     df = running(df, order, {"_later": ("last", jump)}, inclusive=True, reverse=True)
