@@ -1,4 +1,4 @@
-"""End-to-end plans composed of the operators; every stage is lazy and stays a DataFrame."""
+"""End-to-end plans composed of the operators: DataFrames in and out; some steps write tables while a plan is built."""
 
 from __future__ import annotations
 

@@ -99,9 +99,12 @@ def scan_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return parsed.select("file", *[F.when(bad.isNull(), F.col(f"j.{f.name}")).alias(f.name) for f in schema.fields], bad.alias("bad_row"))
 
 
-def scan_csv(spark: SparkSession, path: str, required: Sequence[str], defaults: Mapping[str, str] | None = None) -> DataFrame:
-    """SRC3: text columns of CSV files; missing required columns are an error, missing others get defaults."""
-    df = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
+def scan_csv(spark: SparkSession, path: str, required: Sequence[str], defaults: Mapping[str, str] | None = None, multi_line: bool = False) -> DataFrame:
+    """SRC3: text columns of CSV files; missing required columns are an error, missing others get defaults.
+
+    ``multi_line`` reads quoted line breaks, at the price of one task for each file.
+    """
+    df = spark.read.option("header", "true").option("multiLine", multi_line).option("escape", '"').csv(path)
     lost = [c for c in required if c not in df.columns]
     if lost:
         raise ValueError(f"missing columns: {', '.join(lost)}")
