@@ -194,6 +194,12 @@ def near_pairs(counts, sizes, rule: Rule, leaf: int = 256, pivots: int = 8):
 
     def direct(home, window):
         everyone = np.concatenate([home, window])
+        if len(everyone) <= 48:  # few enough for one table of distances
+            gap = np.abs(counts[home][:, None, :] - counts[everyone][None, :, :]).sum(axis=2, dtype="i4")
+            most = (rule.den - rule.num) * (sizes[home][:, None] + sizes[everyone][None, :]) // (rule.den + rule.num)
+            i, j = np.nonzero((gap <= most) & (np.arange(len(everyone))[None, :] > np.arange(len(home))[:, None]))
+            found.append(np.stack([home[i], everyone[j]], axis=1))
+            return
         for at, i in enumerate(home.tolist()):
             rest = everyone[at + 1 :]
             if len(rest):
@@ -251,8 +257,15 @@ def forest(pairs, ids):
     return kept
 
 
+OFFER = "a long, b long, region long, unit long"
+
+
 def candidates(members: DataFrame, rule: Rule, later: bool) -> DataFrame:
-    """Pairs of nodes that may link, from rows of ``region``, ``node``, ``n``, ``counts`` (and ``label``), region by region."""
+    """Pairs of nodes that may link, from rows of ``region``, ``node``, ``n``, ``counts`` (and ``label``), region by region.
+
+    First a spanning forest (``a``, ``b``), with a row (``region``, ``unit``) for each region that has candidates beyond it;
+    ``later`` all candidates that would join two labels.
+    """
     rows = members.select("region", "unit", "side", "node", "n", "counts", *(["label"] if later else []))
     rows = rows.repartition("region", "unit").sortWithinPartitions("region", "unit", "node")
 
@@ -260,39 +273,65 @@ def candidates(members: DataFrame, rule: Rule, later: bool) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        def offers(group):
-            if len(group) < 2:
+        def larger(lo, hi, side, ids, sizes, counts, labels, region, unit):
+            """Offers of one region of more than two nodes."""
+            if later and (labels[lo:hi] == labels[lo]).all():
                 return []
-            ids, sizes = np.array([g["node"] for g in group]), np.array([g["n"] for g in group])
-            counts = np.frombuffer(b"".join(g["counts"] for g in group), "u1").reshape(len(group), CLASSES)
-            if later:
-                labels = np.array([g["label"] for g in group])
-                if (labels == labels[0]).all():
-                    return []
-            pairs = near_pairs(counts, sizes, rule)
-            side = np.array([g["side"] for g in group])
+            pairs = near_pairs(counts[lo:hi], sizes[lo:hi], rule) + lo
             apart = (side[pairs[:, 0]] != side[pairs[:, 1]]) | (side[pairs[:, 0]] == 2)  # pairs within a block have a unit of their own
             pairs = pairs[apart & (ids[pairs[:, 0]] != ids[pairs[:, 1]])]
             if later:
                 pairs = pairs[labels[pairs[:, 0]] != labels[pairs[:, 1]]]
-                return sorted(zip(np.minimum(ids[pairs[:, 0]], ids[pairs[:, 1]]).tolist(), np.maximum(ids[pairs[:, 0]], ids[pairs[:, 1]]).tolist(), strict=True))
-            return forest(pairs, ids)
-
-        held, key = [], None
+                return [(int(min(a, b)), int(max(a, b)), None, None) for a, b in zip(ids[pairs[:, 0]], ids[pairs[:, 1]], strict=True)]
+            kept = forest(pairs, ids)
+            return [(a, b, None, None) for a, b in kept] + ([(None, None, int(region[lo]), int(unit[lo]))] if len(pairs) > len(kept) else [])
+
+        def offers(table):
+            """Offers of whole regions, in rows next to each other."""
+            region, unit, side, ids, sizes = (table.column(i).to_numpy() for i in range(5))
+            flat = table.column(5).combine_chunks()
+            flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
+            counts = np.frombuffer(flat.buffers()[2], "u1")[flat.offset * CLASSES :][: len(flat) * CLASSES].reshape(-1, CLASSES)
+            labels = table.column(6).to_numpy() if later else ids
+            starts = np.flatnonzero(np.concatenate([[True], (region[1:] != region[:-1]) | (unit[1:] != unit[:-1])]))
+            many = np.diff(np.concatenate([starts, [len(ids)]]))
+            # most regions hold two nodes: compared all at once
+            i = starts[many == 2]
+            i = i[(ids[i] != ids[i + 1]) & ((side[i] != side[i + 1]) | (side[i] == 2)) & ((labels[i] != labels[i + 1]) | (not later))]
+            gap = np.abs(counts[i].astype("i2") - counts[i + 1]).sum(axis=1, dtype="i4")
+            i = i[gap <= (rule.den - rule.num) * (sizes[i].astype("i8") + sizes[i + 1]) // (rule.den + rule.num)]
+            got = [(a, b, None, None) for a, b in zip(np.minimum(ids[i], ids[i + 1]).tolist(), np.maximum(ids[i], ids[i + 1]).tolist(), strict=True)]
+            for lo, m in zip(starts[many > 2].tolist(), many[many > 2].tolist(), strict=True):
+                got += larger(lo, lo + m, side, ids, sizes.astype("i8"), counts, labels, region, unit)
+            got = list(dict.fromkeys(got))
+            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in got], pa.int64()) for j in range(4)], names=["a", "b", "region", "unit"])
+
+        tail = None  # the last region so far, which the next batch may go on with
         for batch in batches:
-            got = []
-            for row in batch.to_pylist():
-                now = row["region"], row["unit"]
-                if now != key:
-                    got += offers(held)
-                    held, key = [], now
-                held.append(row)
-            got = sorted(set(got))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        got = sorted(set(offers(held)))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch]) if tail is None else pa.concat_tables([tail, pa.Table.from_batches([batch])])
+                region, unit = table.column(0).to_numpy(), table.column(1).to_numpy()
+                ends = np.flatnonzero((region != region[-1]) | (unit != unit[-1]))
+                cut = int(ends[-1]) + 1 if len(ends) else 0
+                if cut:
+                    yield offers(table.slice(0, cut))
+                tail = table.slice(cut)
+        if tail is not None:
+            yield offers(tail)
+
+    return bounded_batches(rows).mapInArrow(run, OFFER).distinct()
+
+
+def only(rows: DataFrame, keys: DataFrame, on: dict[str, str], keep: bool = True, most: int = 1_000_000) -> DataFrame:
+    """Rows whose columns (the keys of ``on``) are among ``keys``, or with ``keep=False`` are not.
 
-    return bounded_batches(rows).mapInArrow(run, "a long, b long").distinct()
+    At most ``most`` keys are sent to all tasks.  More are joined by a shuffle, and the rows are written down, since they
+    are read several times.
+    """
+    how, same = "left_semi" if keep else "left_anti", [F.col(a) == F.col(b) for a, b in on.items()]
+    if keys.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(keys), same, how)
+    return materialise(rows.join(keys, same, how), "jaccard-only")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
@@ -347,23 +386,29 @@ def jaccard_groups(
     node = filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
     copied = materialise(node.where("copies > 1").select(F.col("n").alias("cn"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "node"), "jaccard-copies")
     named = made.select("doc_id", "n", "h1", "h2").join(copied, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
-    named = named.select("doc_id", "n", F.coalesce("node", "doc_id").alias("node"))
-    others = filled.join(copied, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left").where("node is null or node = doc_id")
-    nodes = others.select(F.col("doc_id").alias("node"), "n", "regions", "counts").where(F.size("regions") > 0)
+    named = materialise(named.select("doc_id", "n", "h1", F.coalesce("node", "doc_id").alias("node")), "jaccard-named")
+    gone = materialise(named.where("n > 0 and node <> doc_id").select(F.col("doc_id").alias("gone"), F.col("h1").alias("gone_h1")).distinct(), "jaccard-gone")
+    nodes = filled.select(F.col("doc_id").alias("node"), "n", "h1", "regions", "counts").where(F.size("regions") > 0)
+    nodes = only(nodes, gone, {"node": "gone", "h1": "gone_h1"}, keep=False).drop("h1")
     # 2, 3. regions that hold two nodes or more
     crowds = crowded(nodes, block)
     dealt = in_units(nodes.select("node", F.explode("regions").alias("region")), crowds)
     shared = materialise(_shared(dealt), "jaccard-regions")
-    meeting = materialise(shared.select("node").distinct(), "jaccard-meeting")
-    members = shared.join(nodes.select("node", "n", "counts").join(meeting, "node", "left_semi"), "node")
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).join(meeting, "node", "left_semi")
+    members = shared.join(nodes.select("node", "n", "counts"), "node")
+    # 4. a forest of each region's candidates, and where there are more
+    offers = materialise(candidates(members, rule, later=False), "jaccard-offers")
+    offered = offers.where("a is not null").select("a", "b")
+    crowd = materialise(offers.where("region is not null").select(F.col("region").alias("r"), F.col("unit").alias("u")), "jaccard-more")
+    dense = materialise(shared.join(crowd, (F.col("region") == F.col("r")) & (F.col("unit") == F.col("u")), "left_semi"), "jaccard-dense")
+    # 5. exact checks; then what may still join two groups
+    meeting = materialise(offered.select(F.col("a").alias("m")).unionByName(offered.select(F.col("b").alias("m"))).unionByName(dense.select(F.col("node").alias("m"))).distinct(), "jaccard-meeting")
+    texts = only(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")), meeting, {"node": "m"})
     sets = materialise(_sets(texts, rule), "jaccard-sets")
-    # 4, 5. a forest of each region, checked; then what may still join two groups
-    offered = materialise(candidates(members, rule, later=False), "jaccard-offers")
     links = materialise(verified(offered, sets, rule), "jaccard-links")
     groups = components(links)
-    named_members = members.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rest = candidates(named_members, rule, later=True).join(offered, ["a", "b"], "left_anti")
+    members = dense.join(only(nodes.select("node", "n", "counts"), meeting, {"node": "m"}), "node")
+    members = members.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    rest = candidates(members, rule, later=True).select("a", "b").join(offered, ["a", "b"], "left_anti")
     more = materialise(verified(materialise(rest, "jaccard-offers"), sets, rule), "jaccard-links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
