@@ -219,7 +219,7 @@ def build_items(rows: list[tuple[int, str]], width: int, radius: int, blocks: in
 
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    width: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, slice_bytes: int = 1 << 20,
+    width: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, slice_bytes: int = 1 << 18,
 ) -> DataFrame:
     """A row for each document and item it holds: where, over how many words, how similar."""
     spark = docs.sparkSession
