@@ -154,3 +154,15 @@ def test_mixture_reaches_its_target_weights(spark):
     docs = spark.range(20_000).selectExpr("id as doc_id", "repeat('x', 50) as text", "if(id % 10 < 7, 'hot', 'cold') as source")
     got = {r["source"]: r["n"] for r in materialise(poisson_mix(docs, {"hot": 1.0, "cold": 1.0}), "m").groupBy("source").count().withColumnRenamed("count", "n").collect()}
     assert abs(got["hot"] - 10_000) < 400 and abs(got["cold"] - 10_000) < 400
+
+
+def test_rates_of_any_size(spark):
+    """A tiny source with a large share repeats very often; its counts keep mean and spread."""
+    import math
+
+    rows = [(i, "x" * 2000, "large") for i in range(1000)] + [(10_000 + i, "x", "tiny") for i in range(40)]
+    got = poisson_mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), {"tiny": 0.02, "large": 0.98})
+    n = [r["n"] for r in got.where("source = 'tiny'").groupBy("doc_id").count().withColumnRenamed("count", "n").collect()]
+    rate = 0.02 * (2_000_000 + 40) / 40
+    assert len(n) == 40 and abs(sum(n) / 40 - rate) < 5 * math.sqrt(rate / 40)
+    assert 0.5 * math.sqrt(rate) < (sum((x - rate) ** 2 for x in n) / 40) ** 0.5 < 1.6 * math.sqrt(rate)
