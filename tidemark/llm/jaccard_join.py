@@ -39,7 +39,8 @@ from tidemark.llm.common import bounded_batches, materialise
 from tidemark.llm.components import components
 
 CLASSES = 256
-SKETCH = "doc_id long, n int, h1 long, h2 long, regions array<long>, counts binary"
+SKETCH = "doc_id long, n int, h1 long, h2 long, counts binary"
+PLACES = "node long, h1 long, regions array<long>"
 
 
 @dataclasses.dataclass(frozen=True)
@@ -154,33 +155,60 @@ def region_keys(s, rule: Rule, ends: list[int]):
 
 
 def sketches(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
-    """Per document: size, 128-bit hash of its set, regions and class counts."""
+    """Per document: size, 128-bit hash of its set and class counts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        known, ends = word_hashes(), rule.bands(1 << 20)
+        known = word_hashes()
         for batch in batches:
-            n, h1, h2, keys, counts = [], [], [], [], []
+            n, h1, h2, counts = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, rule.width, known)
-                if len(s) > ends[-3]:
-                    ends = rule.bands(2 * len(s))
                 n.append(len(s))
                 h1.append(int(mix(s, 23).sum(dtype="u8").view("i8")))
                 h2.append(int(mix(s, 29).sum(dtype="u8").view("i8")))
-                keys.append(region_keys(s, rule, ends).view("i8"))
                 counts.append(np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype("i8"), minlength=CLASSES), 255).astype("u1").tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(counts, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "regions", "counts"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(counts, pa.binary())],
+                names=["doc_id", "n", "h1", "h2", "counts"],
             )
 
     return bounded_batches(rows).mapInArrow(run, SKETCH)
 
 
+def places(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """Per document that may link to a different one: its regions.
+
+    They would take more room on disk than the texts, so they are made again from the texts where they are needed.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")).where("node is not null and text is not null")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known, ends = word_hashes(), rule.bands(1 << 20)
+        for batch in batches:
+            node, h1, keys = [], [], []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                s = shingle_set(text, rule.width, known)
+                if len(s) > ends[-3]:
+                    ends = rule.bands(2 * len(s))
+                own = region_keys(s, rule, ends)
+                if len(own):
+                    node.append(doc_id)
+                    h1.append(int(mix(s, 23).sum(dtype="u8").view("i8")))
+                    keys.append(own.view("i8"))
+            values = pa.array(np.concatenate(keys) if keys else np.zeros(0, "i8"), pa.int64())
+            bounds = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(h1, pa.int64()), pa.ListArray.from_arrays(bounds, values)], names=["node", "h1", "regions"])
+
+    return bounded_batches(rows).mapInArrow(run, PLACES)
+
+
 def near_pairs(counts, sizes, rule: Rule, leaf: int = 256, pivots: int = 8):
     """Pairs of rows (i, j) whose class counts differ in no more than linked sets may: a metric join by pivots."""
     import numpy as np
@@ -355,9 +383,9 @@ def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
     return bounded_batches(joined, 256).mapInArrow(run, "a long, b long").distinct()
 
 
-def crowded(nodes: DataFrame, block: int, every: int = 16) -> DataFrame:
+def crowded(nodes: DataFrame, block: int, every: int) -> DataFrame:
     """Regions that hold more than about ``block`` nodes, judged from one node in ``every``, and how many blocks they need."""
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(every)) == 0).select(F.explode("regions").alias("region"))
+    sample = nodes.select(F.explode("regions").alias("region"))
     counted = sample.groupBy("region").agg(F.count("*").alias("seen")).where(F.col("seen") * every > block)
     return materialise(counted.select("region", F.ceil(F.col("seen") * every / block).cast("int").alias("blocks")), "jaccard-crowded")
 
@@ -377,7 +405,7 @@ def in_units(rows: DataFrame, crowds: DataFrame) -> DataFrame:
 
 
 def jaccard_groups(
-    docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", block: int = 2048,
+    docs: DataFrame, rule: Rule = Rule(), *, id_col: str = "doc_id", text_col: str = "text", block: int = 2048, every: int = 16,
 ) -> DataFrame:
     """Per document: ``doc_id``, ``n_shingles`` and ``component_id``, the smallest id that links reach."""
     made = materialise(sketches(docs, rule, id_col, text_col), "jaccard-sketches")
@@ -388,11 +416,12 @@ def jaccard_groups(
     named = made.select("doc_id", "n", "h1", "h2").join(copied, (F.col("n") == F.col("cn")) & (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     named = materialise(named.select("doc_id", "n", "h1", F.coalesce("node", "doc_id").alias("node")), "jaccard-named")
     gone = materialise(named.where("n > 0 and node <> doc_id").select(F.col("doc_id").alias("gone"), F.col("h1").alias("gone_h1")).distinct(), "jaccard-gone")
-    nodes = filled.select(F.col("doc_id").alias("node"), "n", "h1", "regions", "counts").where(F.size("regions") > 0)
-    nodes = only(nodes, gone, {"node": "gone", "h1": "gone_h1"}, keep=False).drop("h1")
+    copy = {"node": "gone", "h1": "gone_h1"}
+    nodes = only(filled.select(F.col("doc_id").alias("node"), "n", "h1", "counts"), gone, copy, keep=False).drop("h1")
     # 2, 3. regions that hold two nodes or more
-    crowds = crowded(nodes, block)
-    dealt = in_units(nodes.select("node", F.explode("regions").alias("region")), crowds)
+    some = docs.where(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(every)) == 0)
+    crowds = crowded(only(places(some, rule, id_col, text_col), gone, copy, keep=False), block, every)
+    dealt = in_units(only(places(docs, rule, id_col, text_col), gone, copy, keep=False).select("node", F.explode("regions").alias("region")), crowds)
     shared = materialise(_shared(dealt), "jaccard-regions")
     members = shared.join(nodes.select("node", "n", "counts"), "node")
     # 4. a forest of each region's candidates, and where there are more
