@@ -223,3 +223,23 @@ def test_shingles_of_few_words():
     known = word_hashes()
     assert [len(shingle_set(t, 3, known)) for t in (None, "", "a", "a b", "a b c", "a b c a b c")] == [0, 0, 1, 1, 1, 3]
     assert shingle_set("A B", 3, known).tolist() == shingle_set("a  b", 3, known).tolist() != shingle_set("b a", 3, known).tolist()
+
+
+def test_benchmark_slices_change_no_row(spark):
+    """Weights count the whole benchmark, also for shingles that only items of other slices hold."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(12)]
+    items = [(i, [word() for _ in range(40)] + (shared if i % 3 else []) + [word() for _ in range(10)]) for i in range(30)]
+    rows = []
+    for i, own in items:
+        for k in range(1, 8):  # near the bar: some words changed, some taken from another item
+            text = list(own)
+            text[-k:] = items[(i + 1) % 30][1][:k] if k % 2 else [word() for _ in range(k)]
+            rows.append((100 * i + k, " ".join([word(), *text, word()])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items] + [(90, "tiny item")], "item_id long, text string")
+    whole = sorted(map(tuple, benchmark_hits(docs, bench, slice_bytes=1 << 30).collect()))
+    assert 0 < len(whole) < len(rows) and any(s < 0.85 for *_, s in whole)
+    assert whole == sorted(map(tuple, benchmark_hits(docs, bench, slice_bytes=4000).collect()))
+    assert whole == sorted(map(tuple, benchmark_hits(docs, bench, part_rows=500).collect()))
