@@ -13,7 +13,7 @@ from tidemark.llm.decontaminate import benchmark_hits, without_hits
 from tidemark.llm.jaccard_join import Rule, in_units, jaccard_groups, near_pairs, region_keys, shingle_set, word_hashes
 from tidemark.llm.language import predict_language, train_language_filter
 from tidemark.llm.topk import build_tree, exact_top_k, search_tree
-from tidemark.llm.toxicity import score_toxicity, train_toxicity
+from tidemark.llm.toxicity import FEATURES, Weights, features_of, score_toxicity, train_toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -243,3 +243,14 @@ def test_benchmark_slices_change_no_row(spark):
     assert 0 < len(whole) < len(rows) and any(s < 0.85 for *_, s in whole)
     assert whole == sorted(map(tuple, benchmark_hits(docs, bench, slice_bytes=4000).collect()))
     assert whole == sorted(map(tuple, benchmark_hits(docs, bench, part_rows=500).collect()))
+
+
+def test_near_you_at_any_length():
+    rng = random.Random(3)
+    for size in (0, 1, 30, 5000):
+        text = [rng.choice(["you", "bad", "u", *"abcdefghijkl"]) for _ in range(size)]
+        you = [i for i, x in enumerate(text) if x in ("you", "u")]
+        near = sum(x == "bad" and any(abs(i - j) <= 5 for j in you) for i, x in enumerate(text))
+        assert features_of(" ".join(text), Weights({"bad": 2.0}))[FEATURES.index("near_you")] == (near / size if size else 0)
+    text = " ".join(["you bad"] + ["x"] * 20 + ["you"] * 1000)
+    assert features_of(text, Weights({"bad": 2.0}))[FEATURES.index("near_you")] == 1 / 1022

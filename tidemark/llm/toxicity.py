@@ -81,6 +81,7 @@ class Weights(dict):
 def features_of(text: str, weights: Weights) -> list[float]:
     import math
     import re
+    from bisect import bisect_left
 
     raw = text.split()
     if not raw:
@@ -89,7 +90,7 @@ def features_of(text: str, weights: Weights) -> list[float]:
     told = [(i, x) for i, x in enumerate(map(weights.__getitem__, raw)) if x]
     hits, starts, hidden = ([x[j] for _, x in told if x[j]] for j in range(3))
     you = [i for i, x in told if x[3]]
-    near = sum(1 for i, x in told if x[0] and any(abs(i - j) <= 5 for j in you)) if hits and len(you) < 1000 else 0
+    near = sum(1 for i, x in told if x[0] and you[(j := bisect_left(you, i - 5)) : j + 1] and you[j] <= i + 5)
     letters = len(re.findall(r"[^\W\d_]", text))
     capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     shouted = len(re.findall(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b", text))
