@@ -120,3 +120,16 @@ def test_different_entities_stay_different(spark):
     found = [r["text"].split()[2] for r in got]
     assert len(set(found)) == 500 and all(re.fullmatch(r"[a-z]{2}@[a-z]\.example\.org", x) for x in found)
     assert got[0]["n_entities"] == 1 and F is not None
+
+
+def test_all_parts_that_a_page_names_article_are_kept():
+    text = lambda html: " ".join(x[2] for x in slots(parse(html)))
+    long = "many words stand here " * 20
+    for part in ("article", "section class=content", "div class=post-content"):
+        end = part.split()[0]
+        assert text(f"<body><{part}><p>first</{end}><{part}><p>{long}</{end}><{part}><p>last</{end}><div>around</div>") == f"first {long}last"
+    assert text(f"<main><p>lead</p><article><p>{long}</article></main>") == f"lead {long}".strip()
+    for part in ("div class='content no-sidebar'", "article class='post no-comments'", "div id='legal-notice-article'", "section class='without-ads entry'"):
+        assert text(f"<body><{part}>the text</{part.split()[0]}></body>") == "the text"
+    for part in ("div class=post-comments", "div class='sidebar no-content'", "div class=entry-share", "aside class=content", "div hidden class=article"):
+        assert text(f"<body><p>the text</p><{part}>other</{part.split()[0]}></body>") == "the text"
