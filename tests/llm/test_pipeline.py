@@ -71,3 +71,16 @@ def test_an_empty_table_passes_all_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, SF), "empty")
     assert docs.count() == 0
+
+
+def test_null_and_repeated_ids_lose_only_rows_that_link_or_hit(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 100").first()["text"]
+    text = lambda c: " ".join(f"{c}{i}" for i in range(40))
+    docs = [(1, text("a")), (2, text("b")), (2, text("c")), (2, text("a") + " end"), (None, text("b") + " end"), (None, text("d")), (None, text("d") + " end"), (3, text("e")), (3, text("e")), (4, ""), (4, "")]
+    got = corpus_pipeline.keep_one_of_each_group(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
+    found = sorted(map(tuple, got), key=str)
+    ends = [r for r in found if r in docs[5:7]]
+    assert len(ends) == 1 and found == sorted([docs[0], docs[1], docs[2], docs[7], docs[9], docs[10], *ends], key=str)
+    docs = [(5, text("a")), (5, item), (None, item), (None, text("b")), (None, None), (6, item), (7, "")]
+    got = corpus_pipeline.drop_benchmark(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([docs[0], docs[3], docs[4], docs[6]], key=str)

@@ -250,10 +250,10 @@ def build_items(rows: list, holders: dict[int, int], total: int, width: int, rad
 
 def benchmark_hits(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-    width: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, slice_bytes: int = 1 << 18, part_rows: int = 1 << 21,
+    width: int = 5, least: float = 0.8, radius: int = 23, blocks: int = 6, slice_bytes: int = 1 << 18, part_rows: int = 1 << 21, id_type: str = "long",
 ) -> DataFrame:
     """A row for each document and item it holds: where, over how many words, how similar."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
     items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -279,7 +279,7 @@ def benchmark_hits(
         index = build_items([tuple(r) for r in own], {r["shingle"]: r["n"] for r in counts.collect()}, total, width, radius, blocks)
         hits = _scan(marked, spark.sparkContext.broadcast(index), least)
         out = hits if out is None else out.unionByName(hits)
-    return spark.createDataFrame([], HIT) if out is None else out
+    return spark.createDataFrame([], HIT.replace("long", id_type, 1)) if out is None else out
 
 
 def _counted(rows: list):
@@ -342,9 +342,8 @@ def _scan(rows: DataFrame, shared, least: float) -> DataFrame:
         import pyarrow as pa
 
         index = shared.value
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
         for batch in batches:
-            got = []
+            kinds, got = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.float64()], []
             owner, w, bounds = _words(batch.column(1))
             marks = batch.column(2).to_pylist()
             ids = batch.column(0).to_pylist()
@@ -366,10 +365,13 @@ def _scan(rows: DataFrame, shared, least: float) -> DataFrame:
             columns = list(zip(*got, strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in HIT.split(", ")])
 
-    return bounded_batches(rows).mapInArrow(run, HIT)
+    return bounded_batches(rows).mapInArrow(run, HIT.replace("long", rows.schema["doc_id"].dataType.simpleString(), 1))
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns, that hold no benchmark item."""
-    hit = materialise(benchmark_hits(docs, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("__hit")).where("__hit is not null").distinct(), "benchmark-hits")
-    return docs.join(hit, F.col(id_col) == F.col("__hit"), "left_anti")
+def without_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns, that hold no benchmark item.  Each row goes by its own id and text, null or repeated ids too."""
+    key = F.sha2(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.col(text_col).cast("string"), F.lit(""))), 256)
+    rows = docs.select(key.alias("__key"), F.col(text_col).alias("__text"))
+    hit = benchmark_hits(rows, benchmark, id_col="__key", text_col="__text", id_type="string", **options)
+    hit = materialise(hit.select(F.col("doc_id").alias("__hit")).distinct(), "benchmark-hits")
+    return docs.join(hit, key == F.col("__hit"), "left_anti")

@@ -27,13 +27,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles (Jaccard 0.8 or more) the one with the smallest id; of rows with one id, one."""
-    groups = materialise(jaccard_groups(docs, Rule(width=5, num=80, den=100)), "near-duplicates")
-    gone = materialise(groups.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
-    again = materialise(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("__again")).count().where("count > 1").drop("count"), "near-again")
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    once = kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti")
-    return once.unionByName(kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"]))
+    """Of documents linked by five-word shingles (Jaccard 0.8 or more) the one with the smallest id.
+
+    Rows are told apart by a 64-bit hash of id and text, so null and repeated ids lose no row that has no link; of rows with
+    one id and one text that has words, one stays.  A null id comes after all others.
+    """
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
+    groups = jaccard_groups(rows.select("__row", "text"), Rule(width=5, num=80, den=100), id_col="__row")
+    groups = materialise(groups.where("n_shingles > 0").select(F.col("doc_id").alias("row"), F.col("component_id").alias("label")), "near-duplicates")
+    linked = groups.where("label <> row")
+    linked = linked.unionByName(linked.select(F.col("label").alias("row"), "label")).distinct()
+    linked = materialise(rows.select("__row", "doc_id").join(linked, F.col("__row") == F.col("row")).select("row", "label", "doc_id"), "near-linked")
+    stays = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("stays"))
+    gone = materialise(linked.join(stays, F.col("row") == F.col("stays"), "left_anti").select(F.col("row").alias("__gone")).distinct(), "near-gone")
+    again = materialise(groups.groupBy(F.col("row").alias("__again")).count().where("count > 1").drop("count"), "near-again")
+    kept = rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
+    once = kept.join(again, F.col("__row") == F.col("__again"), "left_anti")
+    return once.unionByName(kept.join(again, F.col("__row") == F.col("__again"), "left_semi").dropDuplicates(["__row"])).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
