@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tidemark.llm.surrogates import replace_entities
+from tidemark.llm.surrogates import HINT, replace_entities, with_surrogates
 from tidemark.llm.wrapper import DEEPEST, align, extract_text, match, parse, slots
 
 
@@ -133,3 +133,10 @@ def test_all_parts_that_a_page_names_article_are_kept():
         assert text(f"<body><{part}>the text</{part.split()[0]}></body>") == "the text"
     for part in ("div class=post-comments", "div class='sidebar no-content'", "div class=entry-share", "aside class=content", "div hidden class=article"):
         assert text(f"<body><p>the text</p><{part}>other</{part.split()[0]}></body>") == "the text"
+
+
+def test_short_family_names_never_run_out_and_tokens_are_hinted(spark):
+    forms = spark.range(6000).selectExpr("'name' as kind", "concat('Νομ', id) as unit", "'Κύριος Νομα' as m", "12 as tries")
+    assert with_surrogates(forms, "k").select("new").distinct().count() > 14**3
+    row = spark.createDataFrame([("see ghp_" + "abcdefghij" * 4 + " there",)], "text string")
+    assert row.where(F.col("text").rlike(HINT)).count() == 1

@@ -58,7 +58,7 @@ PATTERNS = {
 }
 ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: no entity is without one of these
-HINT = r"[@=:0-9]|\b(?:A[KS]IA|xox|sk[-_]|eyJ)|\b(?=\p{Lu})(?:" + "|".join(x for g in (*TITLES.values(), *GIVEN.values()) for x in g) + r")\.?[ ]"
+HINT = r"[@=:0-9]|\b(?:A[KS]IA|gh[pousr]_|xox|sk[-_]|eyJ)|\b(?=\p{Lu})(?:" + "|".join(x for g in (*TITLES.values(), *GIVEN.values()) for x in g) + r")\.?[ ]"
 VALUE = r"^(.*?[=:][ \t]*[\"']?)(.*)$"
 
 
@@ -138,15 +138,19 @@ def pick_from(words: list[str], n: Column) -> Column:
     return F.try_element_at(F.array(*map(F.lit, words)), (F.pmod(n, F.lit(len(words))) + 1).cast("int"))
 
 
-def family(word: Column, h: Column) -> Column:
+def family(word: Column, h: Column, tries: Column) -> Column:
+    """Syllables of the word's script; every fourth try adds one, so that there are always more surrogates than words."""
+    more = F.floor(tries / 4).cast("int")
+
     def of(script: str) -> Column:
         parts = [pick_from(SYLLABLES[script], draw(h, 7 * i + 1)) for i in range(5)]
-        return F.initcap(F.concat(*parts[:3], F.when(F.char_length(word) > 6, parts[3]).otherwise(""), F.when(F.char_length(word) > 8, parts[4]).otherwise("")))
+        longer = F.when(more > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda i: pick_from(SYLLABLES[script], draw(h, i + 30))), "")).otherwise("")
+        return F.initcap(F.concat(*parts[:3], F.when(F.char_length(word) > 6, parts[3]).otherwise(""), F.when(F.char_length(word) > 8, parts[4]).otherwise(""), longer))
 
     return F.when(script_of(word) == "cyrillic", of("cyrillic")).when(script_of(word) == "greek", of("greek")).otherwise(of("latin"))
 
 
-def name(m: Column, h: Column, g: Column, key: str) -> Column:
+def name(m: Column, h: Column, g: Column, key: str, tries: Column) -> Column:
     """Title kept, given name of the same gender and script, family name from ``h``.
 
     A listed given name moves on in its list by a step that the key sets, so different ones stay different; another is
@@ -163,7 +167,7 @@ def name(m: Column, h: Column, g: Column, key: str) -> Column:
         at = F.array_position(F.array(*map(F.lit, names)), given)
         other = F.when(at > 0, pick_from(names, at - 1 + step)).otherwise(pick_from(names, n))
         new = F.when((script_of(given) == script) & (gender == sex), other).otherwise(new)
-    return F.concat_ws(" ", F.when(first.isNotNull(), F.try_element_at(words, F.lit(1))), F.when(given.isNotNull(), new), family(F.try_element_at(words, F.lit(-1)), h))
+    return F.concat_ws(" ", F.when(first.isNotNull(), F.try_element_at(words, F.lit(1))), F.when(given.isNotNull(), new), family(F.try_element_at(words, F.lit(-1)), h, tries))
 
 
 def title_and_given(m: Column) -> tuple[Column, Column]:
@@ -195,7 +199,7 @@ def with_surrogates(forms: DataFrame, key: str) -> DataFrame:
         .when(kind == "ipv4", F.concat_ws(".", (F.pmod(draw(h, 0), F.lit(15)) + 240).cast("string"), octet(1), octet(2), octet(3)))
         .when(kind == "phone", F.concat(code, shaped(F.substr(m, F.char_length(code) + 1), h, digits_only=True)))
         .when(kind == "card", card(m, h))
-        .otherwise(name(m, h, F.col("g"), key))
+        .otherwise(name(m, h, F.col("g"), key, F.col("tries")))
     )
     return forms.withColumn("new", new).drop("h", "g")
 
