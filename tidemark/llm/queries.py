@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, scratch_dir, table
+from tidemark.llm.conversations import damaged, repair_conversations
 from tidemark.llm.decontaminate import benchmark_hits
+from tidemark.llm.heap_kmeans import cluster_report, heap_kmeans
 from tidemark.llm.jaccard_join import Rule, jaccard_groups
 from tidemark.llm.language import predict_language, train_language_filter
 from tidemark.llm.mixing import poisson_mix
+from tidemark.llm.sql import JACCARD_SQL, KMEANS_SQL, REPAIR_SQL, URL_SQL, WARC_SQL
 from tidemark.llm.surrogates import replace_entities
 from tidemark.llm.token_files import token_round_trip
 from tidemark.llm.topk import exact_top_k
 from tidemark.llm.toxicity import score_toxicity, train_toxicity
+from tidemark.llm.url_filter import judge_urls
 from tidemark.llm.warc import archive_round_trip
 from tidemark.llm.wrapper import extract_text
 
@@ -28,6 +32,7 @@ MIX = {"default_weight": 1.0, "epochs": 1.0, "seed": "mix-1"}
 END_ID = 2
 #: a deployment passes its own
 SURROGATE_KEY = "surrogates-1"
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
 
 def query(name: str, sql: str | None = None):
@@ -51,7 +56,7 @@ def token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_round_trip(spark, table(spark, sf, "documents"), scratch_dir(spark, "token-files"), tokenizer_path(), end_id=END_ID)
 
 
-@query("op10_warc_index")
+@query("op10_warc_index", WARC_SQL)
 def warc_index(spark: SparkSession, sf: str) -> DataFrame:
     rows = archive_round_trip(spark, table(spark, sf, "pages"), scratch_dir(spark, "warc"))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -106,7 +111,7 @@ def toxicity_trees(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(docs, model, [F.col("doc_id"), crc_mod(F.col("doc_id"), 3) == 1], ["doc_id", "held_out"])
 
 
-@query("op2_jaccard_groups")
+@query("op2_jaccard_groups", JACCARD_SQL)
 def jaccard_join_groups(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_groups(table(spark, sf, "documents"), Rule(width=3, num=90, den=100))
 
@@ -124,3 +129,20 @@ def wrapper_text(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_surrogates")
 def surrogates(spark: SparkSession, sf: str) -> DataFrame:
     return replace_entities(table(spark, sf, "documents").select("doc_id", "text"), SURROGATE_KEY)
+
+
+@query("op11_url_verdicts", URL_SQL)
+def url_verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_urls(table(spark, sf, "pages"), URL_RULES)
+
+
+@query("op12_heap_kmeans", KMEANS_SQL)
+def clusters(spark: SparkSession, sf: str) -> DataFrame:
+    assigned, centroids, _ = heap_kmeans(table(spark, sf, "embeddings"), dims=64, k=16, rounds=3, scale=64.0, seed="1")
+    return cluster_report(assigned, centroids)
+
+
+@query("op13_repair_conversations", REPAIR_SQL)
+def repaired(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "conversations")
+    return repair_conversations(rows, damaged(rows))
