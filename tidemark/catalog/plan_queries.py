@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.evidence_queries import ALIASES, CAND, FLIPS, FUSE, WIT, candidates, witnesses
-from tidemark.catalog.frames import EV, HOUR, MONTH, DAY, TN, chunked_events, events, turns, with_
+from tidemark.catalog.frames import EV, HOUR, MONTH, DAY, TN, chunked_events, events, sql_jaccard, sql_key, turns, with_
 from tidemark.catalog.interval_queries import BUCKET, durations, sides
 from tidemark.catalog.registry import query
 from tidemark.operators import alignment as al
@@ -26,13 +26,40 @@ def two_lists(spark, sf):
     return left, right
 
 
-@query("join20_sequence_alignment")
+ALIGN = ("""sides AS (SELECT stream_id, seq, start_ms, text AS lt, CASE WHEN (seq + stream_id) % 5 <> 0 THEN CASE seq % 3 WHEN 0 THEN upper(replace(text, 'ß', 'SS')) WHEN 1 THEN substr(text, 1, 60) ELSE text END END AS rt FROM tn)""",
+f"""lf AS (SELECT stream_id, seq, {sql_key('lt')} AS key, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS i FROM sides),
+rf AS (SELECT stream_id, seq * 2 + 1 AS seq, start_ms + 700 AS start_ms, {sql_key('rt')} AS key, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS j FROM sides WHERE rt IS NOT NULL),
+sm AS (SELECT l.stream_id, l.i, list({sql_jaccard('l.key', 'r.key')} ORDER BY r.j) AS s FROM lf l JOIN rf r ON l.stream_id = r.stream_id GROUP BY l.stream_id, l.i)""",
+"""tb(stream_id, i, cells) AS (
+  SELECT stream_id, CAST(0 AS BIGINT), list_transform(range(0, count(*) + 1), lambda j: {'score': -0.25::DOUBLE * j, 'path': CAST([] AS STRUCT(i BIGINT, j BIGINT, s DOUBLE)[])}) FROM rf GROUP BY stream_id
+  UNION ALL
+  SELECT t.stream_id, t.i + 1, list_reduce(list_transform(t.cells, lambda c: [{'score': t.cells[1].score - 0.45::DOUBLE, 'path': t.cells[1].path}]), lambda made, c: list_append(made,
+    CASE WHEN t.cells[len(made) + 1].score - 0.45::DOUBLE >= made[len(made)].score - 0.25::DOUBLE
+          AND t.cells[len(made) + 1].score - 0.45::DOUBLE >= t.cells[len(made)].score + 2.4::DOUBLE * m.s[len(made)] - 1.0::DOUBLE
+         THEN {'score': t.cells[len(made) + 1].score - 0.45::DOUBLE, 'path': t.cells[len(made) + 1].path}
+         WHEN made[len(made)].score - 0.25::DOUBLE >= t.cells[len(made)].score + 2.4::DOUBLE * m.s[len(made)] - 1.0::DOUBLE
+         THEN {'score': made[len(made)].score - 0.25::DOUBLE, 'path': made[len(made)].path}
+         ELSE {'score': t.cells[len(made)].score + 2.4::DOUBLE * m.s[len(made)] - 1.0::DOUBLE,
+               'path': list_append(t.cells[len(made)].path, {'i': t.i + 1, 'j': CAST(len(made) AS BIGINT), 's': m.s[len(made)]})} END))
+  FROM tb t JOIN sm m ON t.stream_id = m.stream_id AND m.i = t.i + 1)""",
+"""al AS (SELECT p.stream_id, lf.seq, rf.seq AS match_seq, rf.start_ms AS anchor, p.x.s AS similarity
+  FROM (SELECT stream_id, unnest(arg_max(cells[len(cells)].path, i)) AS x FROM tb GROUP BY stream_id) p
+  JOIN lf ON lf.stream_id = p.stream_id AND lf.i = p.x.i JOIN rf ON rf.stream_id = p.stream_id AND rf.j = p.x.j)""")
+
+
+@query("join20_sequence_alignment", "WITH RECURSIVE " + ",\n".join((TN, *ALIGN)) + "\nSELECT stream_id, seq, match_seq, round(similarity, 6) AS similarity FROM al")
 def join20(spark, sf):
     left, right = two_lists(spark, sf)
     return al.align_sequences(left, right, similar="bigram").withColumn("similarity", F.round("similarity", 6))
 
 
-@query("join20_retime")
+@query("join20_retime", "WITH RECURSIVE " + ",\n".join((TN, *ALIGN, """a AS (SELECT l.stream_id, l.seq, l.i, CASE WHEN x.similarity >= 0.5 THEN CAST(x.anchor AS DOUBLE) END AS an, count(*) OVER (PARTITION BY l.stream_id) AS n FROM lf l LEFT JOIN al x USING (stream_id, seq)),
+b AS (SELECT *, max(CASE WHEN an IS NOT NULL THEN i END) OVER (PARTITION BY stream_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS ai,
+  min(CASE WHEN an IS NOT NULL THEN i END) OVER (PARTITION BY stream_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bi FROM a),
+c AS (SELECT b.*, x.an AS t0, y.an AS t1 FROM b LEFT JOIN a x ON x.stream_id = b.stream_id AND x.i = b.ai LEFT JOIN a y ON y.stream_id = b.stream_id AND y.i = b.bi),
+d AS (SELECT *, CASE WHEN ai IS NULL AND bi IS NULL THEN NULL WHEN ai IS NULL THEN 0 + greatest(100.0, t1 - 0) * i / bi
+   WHEN bi IS NULL THEN t0 + greatest(100.0, 10000000.0 - t0) * (i - ai) / (n - ai + 1) WHEN ai = bi THEN t0 ELSE t0 + (t1 - t0) * (i - ai) / (bi - ai) END AS raw FROM c)""")) + """
+SELECT stream_id, seq, round(max(raw - i * 50) OVER (PARTITION BY stream_id ORDER BY i ROWS UNBOUNDED PRECEDING) + i * 50, 3) AS new_start FROM d""")
 def join20b(spark, sf):
     left, right = two_lists(spark, sf)
     df, order = chunked(left, Order(by=("seq",)), 1000)
