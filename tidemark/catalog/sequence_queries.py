@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.catalog.frames import (
-    DAY, EV, HOUR, LINE_ORDER, LN, MONTH, TN, chunked_events, events, lines, sql_compact, sql_key, sql_squeeze, sql_width, table, turns, with_,
+    DAY, EV, HOUR, LINE_ORDER, LN, MONTH, TN, chunked_events, events, lines, sql_compact, sql_jaccard, sql_key, sql_squeeze, sql_width, table, turns, with_,
 )
 from tidemark.catalog.interval_queries import MERGE, durations
 from tidemark.catalog.registry import query
@@ -168,13 +168,41 @@ def win10(spark, sf):
 @query("win12_keep_first")
 def win12(spark, sf):
     ev, order = chunked_events(events(spark, sf))
-    return sq.keep_first(ev, order, "sequence", 0.8, 0.1, 100, 6, 3 * HOUR).select("stream_id", "seq")
+    return sq.keep_first(ev, order, "sequence", 0.8, 0.1, 100, 6, 3 * HOUR, width_ms=6 * HOUR).select("stream_id", "seq")
 
 
-@query("win12_keep_first_bigram_all_kept")
+def keep_sql(fits: str, view: str) -> str:
+    """Greedy suppression row by row: ``x`` is a kept row, ``n`` the new one, ``view`` the kept rows it looks at."""
+    return rec(EV, numbered("ev"), f"""r AS (
+  SELECT stream_id, rn, seq, true AS keep, [{{'s': start_ms, 'e': end_ms, 'f': family, 't': text}}] AS kept FROM nb WHERE rn = 1
+  UNION ALL
+  SELECT stream_id, rn, seq, NOT dup, CASE WHEN dup THEN kept ELSE list_append(kept, {{'s': start_ms, 'e': end_ms, 'f': family, 't': text}}) END FROM (
+    SELECT n.*, r.kept, len(list_filter({view}, lambda x: {fits})) > 0 AS dup FROM r JOIN nb n ON n.stream_id = r.stream_id AND n.rn = r.rn + 1))""") + "SELECT stream_id, seq FROM r WHERE keep"
+
+
+OVERLAPS = "least(n.end_ms, x.e) - greatest(n.start_ms, x.s) >= 0.1 * greatest(100, least(n.end_ms - n.start_ms, x.e - x.s)) AND x.f = n.family AND " + sql_jaccard("n.text", "x.t") + " >= 0.8"
+# of the last six, those after the last one that ended too long ago
+LAST_SIX = f"list_filter(r.kept[-6:], lambda y, i: i > coalesce(list_max(list_transform(r.kept[-6:], lambda z, j: CASE WHEN n.start_ms - z.e > {3 * HOUR} THEN j END)), 0))"
+
+
+@query("win12_keep_first_bigram_all_kept", keep_sql(OVERLAPS, "r.kept"))
 def win12b(spark, sf):
     ev, order = chunked_events(events(spark, sf))
-    return sq.keep_first(ev, order, "bigram", 0.8, 0.1, 100, None, None).select("stream_id", "seq")
+    return sq.keep_first(ev, order, "bigram", 0.8, 0.1, 100, None, None, width_ms=6 * HOUR).select("stream_id", "seq")
+
+
+@query("win12_keep_first_bigram_last_six", keep_sql(OVERLAPS, LAST_SIX))
+def win12c(spark, sf):
+    ev, order = chunked_events(events(spark, sf))
+    return sq.keep_first(ev, order, "bigram", 0.8, 0.1, 100, 6, 3 * HOUR, width_ms=6 * HOUR).select("stream_id", "seq")
+
+
+@query("win12_keep_first_near_starts", keep_sql(f"abs(n.start_ms - x.s) < {12 * HOUR} AND " + sql_jaccard("n.text", "x.t") + " > 0.72", "r.kept[-5:]"))
+def win12d(spark, sf):
+    """The form without families: the last five kept rows, by the distance of starts."""
+    ev, order = chunked_events(events(spark, sf))
+    out = sq.keep_first(ev, order, "bigram", 0.72, lookback=5, max_apart_ms=None, same=(), start_within_ms=12 * HOUR, above=True, width_ms=12 * HOUR)
+    return out.select("stream_id", "seq")
 
 
 @query("win13_merge_equal_text", with_(LN, f"""a AS (SELECT *, lag({sql_squeeze('text')}) OVER (PARTITION BY stream_id ORDER BY seq) AS pt FROM ln),

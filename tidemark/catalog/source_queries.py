@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.catalog.evidence_queries import ALIASES, FLIPS, FUSE
 from tidemark.catalog.frames import DAY, EPOCH, EV, HOUR, TN, events, table, turns, with_
 from tidemark.catalog.registry import query
 from tidemark.functions.timecode import epoch_ms
+from tidemark.operators.evidence import canonical_family
 from tidemark.session import scratch_dir
 from tidemark.sources import files as fs
 from tidemark.streaming import live
@@ -122,7 +124,7 @@ def stream_events(spark, sf):
     k = F.regexp_extract("props", r"(\d+)", 1).cast("long")
     return raw.select(
         F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), start.alias("start_ms"), (start + F.round(F.col("value") * 180_000).cast("long")).alias("end_ms"),
-        F.col("event_type").alias("family"), F.concat_ws(" ", "event_type", (k % 4).cast("string")).alias("text"), F.timestamp_millis(start + EPOCH).alias("at"),
+        F.col("event_type").alias("family"), F.concat_ws(" ", "event_type", (k % 4).cast("string")).alias("text"), F.timestamp_millis(start + EPOCH).alias("at"), "props",
     )
 
 
@@ -137,16 +139,16 @@ def str1(spark, sf):
     return live.run_available(live.live_sessions(stream_events(spark, sf), 2 * HOUR), "sessions")
 
 
-@query("str2_live_adjacent_repeats", with_(EV) + """,
-p AS (SELECT *, lag(text) OVER (PARTITION BY stream_id ORDER BY start_ms, seq) AS pt FROM ev) SELECT stream_id, seq, start_ms, 'exact_adjacent_repeat' AS code FROM p WHERE text = pt""")
+@query("str2_live_adjacent_repeats", with_(EV, CUT) + """,
+p AS (SELECT *, lag(text) OVER (PARTITION BY stream_id ORDER BY start_ms, seq) AS pt FROM ev) SELECT stream_id, seq, start_ms, 'exact_adjacent_repeat' AS code FROM p WHERE text = pt AND start_ms <= (SELECT wm FROM mx)""")
 def str2(spark, sf):
-    return live.run_available(live.live_adjacent_repeats(stream_events(spark, sf)), "adjacent")
+    return live.run_available(live.live_adjacent_repeats(stream_events(spark, sf), keep_ms=40 * DAY), "adjacent")
 
 
-@query("str2_live_periodic_repeats", with_(EV) + f""",
-p AS (SELECT *, lag(start_ms) OVER (PARTITION BY stream_id, text ORDER BY start_ms, seq) AS ps FROM ev) SELECT stream_id, seq, start_ms, 'periodic_repeat' AS code FROM p WHERE start_ms - ps >= {DAY}""")
+@query("str2_live_periodic_repeats", with_(EV, CUT) + f""",
+p AS (SELECT *, lag(start_ms) OVER (PARTITION BY stream_id, text ORDER BY start_ms, seq) AS ps FROM ev) SELECT stream_id, seq, start_ms, 'periodic_repeat' AS code FROM p WHERE start_ms - ps >= {DAY} AND start_ms <= (SELECT wm FROM mx)""")
 def str2b(spark, sf):
-    return live.run_available(live.live_periodic_repeats(stream_events(spark, sf), DAY), "periodic")
+    return live.run_available(live.live_periodic_repeats(stream_events(spark, sf), DAY, keep_ms=40 * DAY), "periodic")
 
 
 @query("str3_live_deduplicate", with_(EV) + "SELECT stream_id, start_ms // 86400000 AS day, count(DISTINCT text) AS n FROM ev GROUP BY ALL")
@@ -167,6 +169,41 @@ def str4(spark, sf):
     return out.select("stream_id", "seq", "w_seq", "w_family")
 
 
+HEARD = f"""wt AS (SELECT a.stream_id, a.seq, CASE WHEN b.family IN ('click', 'view') THEN 'alpha' WHEN b.family = 'purchase' THEN 'beta' WHEN b.family = 'error' THEN 'gamma' ELSE 'unverified' END AS family,
+  CASE b.k % 5 WHEN 0 THEN b.base || ' no' WHEN 1 THEN upper(b.base) WHEN 2 THEN b.base || '?' WHEN 3 THEN b.base ELSE 'zz ' || b.k || ' qq' END AS text,
+  CASE WHEN b.k % 4 <= 1 THEN 3 WHEN b.k % 4 = 2 THEN 2 ELSE 1 END AS tier, b.start_ms, b.end_ms, CAST(b.seq AS VARCHAR) AS uid, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) AS cents, b.k
+  FROM ev a JOIN (SELECT *, 'day ' || CAST(start_ms // {DAY} % 7 AS VARCHAR) || ' word' AS base FROM ev) b
+    ON a.stream_id = b.stream_id AND a.start_ms < b.end_ms AND a.end_ms > b.start_ms AND a.k % 6 = 0 AND b.k % 6 <> 0)"""
+
+
+@query("str4_live_fusion", with_(EV, HEARD, FUSE) + "SELECT stream_id, seq, state, alignment_strength, risk_codes, min_similarity, families, texts FROM fu")
+def str4b(spark, sf):
+    """Both sides pass the front door, which writes late rows aside; the last revision of each segment is the batch result."""
+    rows = stream_events(spark, sf).withColumn("k", F.regexp_extract("props", r"(\d+)", 1).cast("long"))
+    base = F.concat(L("day "), (F.floor(F.col("start_ms") / DAY) % 7).cast("string"), L(" word"))
+    kind = F.col("k") % 5
+    text = F.when(kind == 0, F.concat(base, L(" no"))).when(kind == 1, F.upper(base)).when(kind == 2, F.concat(base, L("?"))).when(kind == 3, base).otherwise(
+        F.concat(L("zz "), F.col("k").cast("string"), L(" qq")))
+    tier = F.when(F.col("k") % 4 <= 1, 3).when(F.col("k") % 4 == 2, 2).otherwise(1)
+    sides = {
+        "segments": rows.where("k % 6 = 0").select("stream_id", "seq", "start_ms", "end_ms", "at"),
+        "witnesses": rows.where("k % 6 <> 0").select(
+            "stream_id", "seq", "start_ms", "end_ms", canonical_family(F.col("family"), ALIASES).alias("family"), text.alias("text"), tier.alias("tier"), F.col("k").alias("confidence"), "at"),
+    }
+    root = scratch_dir(spark, "fusion")
+    for name, side in sides.items():
+        live.drain(live.admit(side, f"{root}/{name}", f"{root}/{name}-ck", 10 * DAY))
+    seen = {name: spark.readStream.schema(side.schema).parquet(f"{root}/{name}/rows/*") for name, side in sides.items()}
+    votes = live.live_votes(seen["segments"], seen["witnesses"], "2 days", 4 * DAY, "10 days")
+    with live.keyed_state(spark):
+        live.drain(live.fuse_live(votes, FLIPS, f"{root}/fused", f"{root}/fused-ck"))
+    out = live.latest_fusion(spark, f"{root}/fused")
+    return out.select(
+        "stream_id", "seq", "state", "alignment_strength", F.array_join("risk_codes", ",").alias("risk_codes"), F.round("min_similarity", 6).alias("min_similarity"),
+        F.array_join("families", ",").alias("families"), F.array_join("texts", "|").alias("texts"),
+    )
+
+
 @query("str5_live_rollup", with_(EV, CUT) + f"""
 SELECT stream_id, start_ms // {DAY} * {DAY} + {EPOCH} AS window_ms, count(*) AS cues, round(avg(end_ms - start_ms), 3) AS avg_ms, min(end_ms - start_ms) AS min_ms, max(end_ms - start_ms) AS max_ms,
   count(*) FILTER (end_ms - start_ms < 600000) AS short_cues, count(*) FILTER (end_ms - start_ms > {4 * HOUR}) AS long_cues FROM ev WHERE (start_ms // {DAY} + 1) * {DAY} <= (SELECT wm FROM mx) GROUP BY ALL""")

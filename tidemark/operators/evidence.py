@@ -63,6 +63,17 @@ def shared_spans(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)])
 
 
+def witness_views(witness: DataFrame) -> DataFrame:
+    """``_n``, the wording's key, with ``p`` (its place in time) and ``r`` (its rank among the family's single views)."""
+    norm = tx.word_key(F.col("text"))
+    span = F.col("end_ms") - F.col("start_ms")
+    rank = F.struct(
+        F.col("overlap_ms").alias("o"), F.col("confidence").alias("c"), (-F.abs(span)).alias("s"), norm.alias("n"),
+        F.col("text").alias("t"), F.col("utterance_id").alias("u"),
+    )
+    return witness.withColumns({"_n": norm, "p": F.struct("start_ms", "end_ms", "utterance_id", F.col("text").alias("t")), "r": rank})
+
+
 def family_hypotheses(witness: DataFrame, keys: Sequence[str] = ("stream_id", "seq")) -> DataFrame:
     """AGG6 (first half): one hypothesis per key and family.
 
@@ -70,14 +81,12 @@ def family_hypotheses(witness: DataFrame, keys: Sequence[str] = ("stream_id", "s
     end_ms, utterance_id, overlap_ms, confidence``.  The best tier of a family decides: tier 3 joins
     its distinct wordings in time order, lower tiers keep the single best view.
     """
-    norm = tx.word_key(F.col("text"))
-    place = F.struct("start_ms", "end_ms", "utterance_id", F.col("text").alias("t"))
-    span = F.col("end_ms") - F.col("start_ms")
-    rank = F.struct(
-        F.col("overlap_ms").alias("o"), F.col("confidence").alias("c"), (-F.abs(span)).alias("s"), norm.alias("n"),
-        F.col("text").alias("t"), F.col("utterance_id").alias("u"),
-    )
-    once = witness.withColumn("_n", norm).groupBy(*keys, "family", "tier", "_n").agg(F.min(place).alias("p"), F.max(rank).alias("r"))
+    once = witness_views(witness).groupBy(*keys, "family", "tier", "_n").agg(F.min("p").alias("p"), F.max("r").alias("r"))
+    return hypotheses_of(once, keys)
+
+
+def hypotheses_of(once: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One hypothesis per key and family from one row per key, family, tier and wording."""
     spoken = F.when(F.col("_n") != "", F.col("p"))
     tiers = once.groupBy(*keys, "family", "tier").agg(
         F.array_sort(F.collect_list(spoken)).alias("parts"), F.max(F.when(F.col("_n") != "", F.col("r"))).alias("top")
@@ -98,8 +107,14 @@ def fuse_witnesses(witness: DataFrame, rules: FlipRules, keys: Sequence[str] = (
 
     The pairs compared are pairs of *families* of one key, whose number the alias list bounds.
     """
+    return judge_hypotheses(family_hypotheses(witness, keys), witness.select(*keys).distinct(), rules, keys, similar, compatible_at, spans)
+
+
+def judge_hypotheses(hypotheses: DataFrame, universe: DataFrame, rules: FlipRules, keys: Sequence[str], similar: str = "bigram",
+                     compatible_at: float = 0.55, spans: bool = False) -> DataFrame:
+    """AGG6 (second half): how the families of each key of ``universe`` agree."""
     keys = list(keys)
-    hyp = family_hypotheses(witness, keys).where("norm <> ''")
+    hyp = hypotheses.where("norm <> ''")
     per = hyp.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("family", "text", "norm"))).alias("h"), F.min("tier").alias("_min"),
         F.array_sort(F.collect_list(F.struct("family", "refs"))).alias("family_refs"),
@@ -128,7 +143,6 @@ def fuse_witnesses(witness: DataFrame, rules: FlipRules, keys: Sequence[str] = (
     if spans:
         common = F.aggregate(F.slice("_spans", 2, F.size("_spans")), F.get("_spans", 0), lambda acc, x: F.array_intersect(acc, x))
         judged = judged.withColumn("shared_spans", F.array_sort(common)).drop("_spans")
-    universe = witness.select(*keys).distinct()
     out = universe.join(per, keys, "left").join(judged, keys, "left")
     state = (
         F.when(F.col("h").isNull(), "empty").when(F.size("h") == 1, "single_family").when(F.size("risk_codes") > 0, "dual_conflict")

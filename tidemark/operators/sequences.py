@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
+from tidemark.operators.intervals import interval_pairs
 from tidemark.operators.ordered import (
     TIME, Order, chunked, fold_rows, islands, neighbour, overlap_islands, position, running,
 )
+from tidemark.session import materialise
 
 LONG, BOOL, STR = T.LongType(), T.BooleanType(), T.StringType()
 
@@ -95,46 +97,65 @@ def collapse_repeats(df: DataFrame, order: Order, eligible: Column, max_gap_ms:
 def keep_first(
     df: DataFrame, order: Order, similar: str = "sequence", at_least: float = 0.8, min_overlap: float = 0.5,
     floor_ms: int = 100, lookback: int | None = 6, max_apart_ms: int | None = 3000, max_rows: int = 1_000_000,
+    same: tuple[str, ...] = ("family",), start_within_ms: int | None = None, above: bool = False, width_ms: int = 60_000,
 ) -> DataFrame:
-    """WIN12: drop rows nearly repeating an already kept row of the same family.
+    """WIN12: drop rows nearly repeating an already kept row with the same ``same`` columns.
 
-    Looks at the last ``lookback`` kept rows of the stream, newest first, and stops at one that
-    ended more than ``max_apart_ms`` before; ``lookback=None`` looks at every kept row that
-    still overlaps (no other row could qualify, so forgetting the rest loses nothing).
+    Two rows may repeat each other if they overlap by ``min_overlap`` of the shorter (or, with ``start_within_ms``, start that near to
+    each other) and are alike by ``at_least`` (``above``: by more).  A row looks at the last ``lookback`` kept rows of the stream, newest
+    first, and stops at one that ended more than ``max_apart_ms`` before; ``lookback=None`` looks at every kept row.  Two blank rows
+    repeat each other where ``lookback`` bounds the view, never where all kept rows count; where starts are compared, blank
+    rows are left out beforehand.
+
+    Candidates come from a bucketed self range join (``width_ms`` near the usual length of a row), which also compares the texts.  Rows that no
+    pair spans need no decision.  The others form islands, position ranges that no pair leaves; the greedy rule runs
+    over positions and pairs of an island, no texts.
     """
-    def pairs(t: str) -> set:
-        return {t[i:i + 2] for i in range(len(t) - 1)} or {t}
-
-    def alike(a: str, b: str) -> bool:
-        if similar == "bigram":
-            x, y = pairs(a), pairs(b)
-            return len(x & y) / len(x | y) >= at_least
-        from difflib import SequenceMatcher
-
-        return SequenceMatcher(None, a, b, autojunk=False).ratio() >= at_least
-
-    def step(state, start, end, fam, text):
-        kept = state or []
-        if lookback is None:
-            kept = [k for k in kept if k[1] > start]
-        dup = False
-        for k_start, k_end, k_fam, k_text in reversed(kept):
-            if max_apart_ms is not None and start - k_end > max_apart_ms:
-                break
-            if k_fam != fam or not text.strip() or not k_text.strip():  # a blank row repeats nothing
-                continue
-            common = max(0, min(end, k_end) - max(start, k_start))
-            if common >= min_overlap * max(floor_ms, min(end - start, k_end - k_start)) and alike(text, k_text):
-                dup = True
+    keys = list(order.keys)
+    blank = F.trim(F.regexp_replace("text", tx.WS, " ")) == ""
+    rows = df.where(~blank) if start_within_ms is not None else df
+    rows = materialise(position(rows, order, "_at"), "keep-rows")
+    slim = rows.select(*keys, *[c for c in same if c not in keys], "start_ms", "end_ms", "_at", "text", blank.alias("blank"), F.col("end_ms").alias("until"))
+    if start_within_ms is not None:
+        slim = slim.withColumn("end_ms", F.col("start_ms") + start_within_ms)
+    found = interval_pairs(slim, slim, width_ms, tuple(dict.fromkeys((*keys, *same))), F.col("r__at") < F.col("_at"))
+    if start_within_ms is None:
+        shorter = F.least(F.col("until") - F.col("start_ms"), F.col("r_until") - F.col("r_start_ms"))
+        found = found.where(F.col("overlap_ms") >= min_overlap * F.greatest(F.lit(floor_ms), shorter))
+    both = F.col("blank") & F.col("r_blank")
+    if lookback is None:
+        found, both = found.where(~F.col("blank") & ~F.col("r_blank")), F.lit(False)
+    else:
+        found = found.where(F.col("blank") == F.col("r_blank"))
+    alike = F.when(both, F.lit(1.0)).otherwise(tx.similarity(similar, F.col("text"), F.col("r_text")))
+    pairs = materialise(found.where(alike > at_least if above else alike >= at_least).select(*keys, "_at", F.col("r__at").alias("_i")), "keep-pairs")
+
+    reach = pairs.groupBy(*keys, F.col("_i").alias("_at")).agg(F.max("_at").alias("_reach"))
+    spans = rows.select(*order.part, *[c for c in order.by if c not in order.part], "_at", *[c for c in ("start_ms", "end_ms") if c not in order.by]).join(reach, [*keys, "_at"], "left")
+    spans = running(spans, order, {"_far": ("max", F.col("_reach"))})
+    spans = islands(spans, order, F.col("_far").isNull() | (F.col("_far") < F.col("_at")), "_isl")
+    members = spans.where(F.col("_reach").isNotNull() | (F.col("_far") >= F.col("_at")))
+    members = materialise(members.select(*keys, "_isl", "_at", "start_ms", "end_ms", F.coalesce("_reach", "_at").alias("_reach")), "keep-islands")
+    asked = pairs.join(members, [*keys, "_at"]).withColumn("_kind", F.lit(0))
+    told = members.withColumns({"_i": F.lit(None).cast("long"), "_kind": F.lit(1)})
+
+    def step(state, pos, i, start, end, far):
+        kept, dup = state or ([], False)
+        if i is None:
+            kept = kept if dup else [*kept, [pos, end, far]]
+            kept = [k for k in kept if k[2] > pos] if lookback is None else kept[-lookback:]
+            return [kept, False], (not dup,)
+        for k_pos, k_end, _ in reversed(kept if lookback is None else kept[-lookback:]):
+            if k_pos < i or (max_apart_ms is not None and start - k_end > max_apart_ms):
                 break
-        if not dup:
-            kept = [*kept, [start, end, fam, text]]
-            if lookback is not None:
-                kept = kept[-lookback:]
-        return kept, (not dup,)
-
-    flagged = fold_rows(df, order, ["start_ms", "end_ms", "family", "text"], step, outputs(_keep=BOOL), max_rows)
-    return flagged.where("_keep").drop("_keep")
+            if k_pos == i:
+                return [kept, True], (None,)
+        return [kept, dup], (None,)
+
+    line = Order((*keys, "_isl"), ("_at", "_kind", "_i"))
+    judged = fold_rows(asked.select(*told.columns).unionByName(told), line, ["_at", "_i", "start_ms", "end_ms", "_reach"], step, outputs(_keep=BOOL), max_rows, count_from=members)
+    gone = judged.where("not _keep").select(*keys, "_at")
+    return rows.join(gone, [*keys, "_at"], "left_anti").select(*df.columns)
 
 
 # --- sessions ------------------------------------------------------------------------------

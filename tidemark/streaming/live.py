@@ -1,19 +1,21 @@
 """Structured Streaming forms of the ordered operators.
 
 Inputs are streaming DataFrames with an event-time column ``at`` (timestamp).  Every form keeps
-bounded state: windows and joins through watermarks, keyed state through event-time timeouts.
+bounded state: windows and joins through watermarks, keyed state through event-time timers (state that
+expires by itself exists for processing time only).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tidemark.session import scratch_dir
+from tidemark.operators.evidence import FlipRules, hypotheses_of, judge_hypotheses, witness_views
+from tidemark.session import materialise, scratch_dir
 
 
 def live_sessions(rows: DataFrame, gap_ms: int, delay: str = "10 minutes") -> DataFrame:
@@ -26,61 +28,89 @@ def live_sessions(rows: DataFrame, gap_ms: int, delay: str = "10 minutes") -> Da
     return grouped.agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count("*").alias("n_rows")).drop("w")
 
 
-def _adjacent(min_len: int, keep_ms: int):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["start_ms", "seq"])
-        hits = []
-        for seq, start, text in zip(rows["seq"], rows["start_ms"], rows["text"]):
-            clean = " ".join(text.split())
-            if len(clean) >= min_len and clean == last:
-                hits.append((key[0], seq, start, "exact_adjacent_repeat"))
-            if clean:
-                last = clean
-        state.update((last,))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["at"].max().timestamp() * 1000)) + keep_ms)
-        yield pd.DataFrame(hits, columns=["stream_id", "seq", "start_ms", "code"])
-
-    return step
+REPEATS = "stream_id long, seq long, start_ms long, code string"
 
 
-def live_adjacent_repeats(rows: DataFrame, min_len: int = 4, keep_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
-    """STR2: a row repeating the previous non-empty text of its stream."""
-    return (
-        rows.withWatermark("at", delay).groupBy("stream_id")
-        .applyInPandasWithState(_adjacent(min_len, keep_ms), "stream_id long, seq long, start_ms long, code string", "last string", "append", GroupStateTimeout.EventTimeTimeout)
-    )
+class InOrder(StatefulProcessor):
+    """Rows of a key, held until the watermark has passed them and then told to ``see`` in event order.
+
+    State: a map of waiting rows by (event time, order), what ``see`` remembers, and one timer at a time: the earliest waiting
+    row, or, with none waiting, the time to forget the key.
+    """
+
+    def __init__(self, code: str, keep_ms: int, see):
+        self.code, self.keep_ms, self.see = code, keep_ms, see
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, start_ms long, seq long", "text string")
+        self.memory = handle.getValueState("memory", "text string, start_ms long, at long")
 
+    def set_timer(self, when: int) -> None:
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        self.handle.registerTimer(when)
 
-def _periodic(period_ms: int, keep_ms: int):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        due = list(self.handle.listTimers())
+        for row in rows:
+            self.waiting.updateValue((row.at_ms, row.start_ms, row.seq), (row.text,))
+            due.append(row.at_ms)
+        self.set_timer(min(due))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now, ready, later = timerValues.getCurrentWatermarkInMs(), [], None
+        for place, text in self.waiting.iterator():
+            if place[0] <= now:
+                ready.append((place[1], place[2], place[0], text[0]))
+            else:
+                later = place[0] if later is None else min(later, place[0])
+        held = self.memory.get() if self.memory.exists() else None
+        if not ready and later is None and held is not None and held[2] + self.keep_ms <= now:
+            self.memory.clear()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["start_ms", "seq"])
-        hits = []
-        for seq, start in zip(rows["seq"], rows["start_ms"]):
-            if last is not None and start - last >= period_ms:
-                hits.append((key[0], seq, start, "periodic_repeat"))
-            last = start
-        state.update((int(last),))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["at"].max().timestamp() * 1000)) + keep_ms)
-        yield pd.DataFrame(hits, columns=["stream_id", "seq", "start_ms", "code"])
+        for start, seq, at, text in sorted(ready):
+            self.waiting.removeKey((at, start, seq))
+            if held is not None and at - held[2] > self.keep_ms:
+                held = None  # forgotten, whether or not the timer came first
+            hit, held = self.see(held, text, start, at)
+            if hit:
+                yield Row(stream_id=key[0], seq=seq, start_ms=start, code=self.code)
+        if held is not None:
+            self.memory.update(tuple(held))
+        self.set_timer(later if later is not None else (held[2] if held is not None else now) + self.keep_ms)
+
+    def close(self) -> None:
+        pass
+
+
+def _repeats(rows: DataFrame, keys: list[str], processor: InOrder) -> DataFrame:
+    slim = rows.select(*keys, "seq", "start_ms", "text", F.unix_millis("at").alias("at_ms"), "at")
+    return slim.groupBy(*keys).transformWithState(processor, REPEATS, "Append", "EventTime")
+
+
+def live_adjacent_repeats(rows: DataFrame, min_len: int = 4, keep_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
+    """STR2: a row repeating the previous non-empty text of its stream; told once the watermark has passed the row."""
 
-    return step
+    def see(held, text, start, at):
+        clean = " ".join(text.split())
+        again = held is not None and len(clean) >= min_len and clean == held[0]
+        return again, (clean if clean or held is None else held[0], start, at)
+
+    text = F.coalesce("text", F.lit(""))
+    return _repeats(rows.withWatermark("at", delay).withColumn("text", text), ["stream_id"], InOrder("exact_adjacent_repeat", keep_ms, see))
 
 
 def live_periodic_repeats(rows: DataFrame, period_ms: int = 10_000, min_len: int = 4, keep_ms: int = 3_600_000, delay: str = "10 minutes") -> DataFrame:
     """STR2: the same text again after at least ``period_ms``; keyed by stream and text, so a busy stream spreads."""
+
+    def see(held, text, start, at):
+        return held is not None and start - held[1] >= period_ms, ("", start, at)
+
     key = F.trim(F.regexp_replace("text", r"\s+", " "))
     keyed = rows.withWatermark("at", delay).withColumn("text_key", key).where(F.length("text_key") >= min_len)
-    return keyed.groupBy("stream_id", "text_key").applyInPandasWithState(
-        _periodic(period_ms, keep_ms), "stream_id long, seq long, start_ms long, code string", "last long", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    return _repeats(keyed.withColumn("text", F.lit("")), ["stream_id", "text_key"], InOrder("periodic_repeat", keep_ms, see))
 
 
 def live_deduplicate(rows: DataFrame, keys: list[str], delay: str = "10 minutes") -> DataFrame:
@@ -88,30 +118,148 @@ def live_deduplicate(rows: DataFrame, keys: list[str], delay: str = "10 minutes"
     return rows.withWatermark("at", delay).dropDuplicatesWithinWatermark(keys)
 
 
-def live_overlap_join(segments: DataFrame, witnesses: DataFrame, longest: str, delay: str = "10 minutes") -> DataFrame:
+def live_overlap_join(segments: DataFrame, witnesses: DataFrame, longest: str, delay: str = "10 minutes", carry: tuple[str, ...] = ()) -> DataFrame:
     """STR4: witness rows joined to the segments they overlap as both arrive.
 
     ``longest`` bounds a row's length; it turns the overlap into a time range, which is what lets
-    Spark forget old rows on both sides.  Fuse the joined rows with ``fuse_witnesses``.
+    Spark forget old rows on both sides.  ``carry`` names further witness columns to keep.
     """
     a = segments.withWatermark("at", delay).alias("a")
     b = witnesses.withWatermark("at", delay).select(
         F.col("stream_id").alias("w_stream"), F.col("seq").alias("w_seq"), F.col("start_ms").alias("w_start"), F.col("end_ms").alias("w_end"),
-        F.col("family").alias("w_family"), F.col("text").alias("w_text"), F.col("at").alias("w_at"),
+        F.col("family").alias("w_family"), F.col("text").alias("w_text"), F.col("at").alias("w_at"), *[F.col(c).alias(f"w_{c}") for c in carry],
     )
     near = F.expr(f"w_at >= at - interval {longest} and w_at <= at + interval {longest}")
     meet = (F.col("start_ms") < F.col("w_end")) & (F.col("end_ms") > F.col("w_start"))
     return a.join(b, (F.col("stream_id") == F.col("w_stream")) & meet & near, "inner").select(
-        "stream_id", "seq", "start_ms", "end_ms", "w_seq", "w_start", "w_end", "w_family", "w_text"
+        "stream_id", "seq", "start_ms", "end_ms", "w_seq", "w_start", "w_end", "w_family", "w_text", "at", *[f"w_{c}" for c in carry]
+    )
+
+
+# --- STR4: fusion as witnesses arrive ----------------------------------------------------------
+
+# keyed state and its rows are flat: place in time first, then the rank among the family's single views
+PLACE = {"start_ms": "long", "end_ms": "long", "utterance_id": "string", "t": "string"}
+RANK = {"o": "long", "c": "double", "s": "long", "n": "string", "t": "string", "u": "string"}
+FLAT = {f"p_{k}": v for k, v in PLACE.items()} | {f"r_{k}": v for k, v in RANK.items()}
+FLAT_TYPE = ", ".join(f"{k} {v}" for k, v in FLAT.items())
+VOTES = f"stream_id long, seq long, revision long, family string, tier int, _n string, {FLAT_TYPE}"
+
+
+class Votes(StatefulProcessor):
+    """The wordings of each family for one segment; all of them are told again, as one revision, when any changes.
+
+    State: a map with one entry per family, tier and wording (repeated witnesses add nothing), the number of the last revision, and a timer
+    that forgets the segment once no witness can reach it any more.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.votes = handle.getMapState("votes", "family string, tier int, n string", FLAT_TYPE)
+        self.revision = handle.getValueState("revision", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held = {tuple(k): tuple(v) for k, v in self.votes.iterator()} if self.votes.exists() else {}
+        fresh, last = {}, 0
+        for row in rows:
+            name, last = (row.family, row.tier, row["_n"]), max(last, row.at_ms)
+            place, rank = (tuple(row[f] for f in FLAT if f.startswith(side)) for side in ("p_", "r_"))
+            old = fresh.get(name) or held.get(name)
+            fresh[name] = (min(place, old[:len(PLACE)]) if old else place) + (max(rank, old[len(PLACE):]) if old else rank)
+        changed = {k: v for k, v in fresh.items() if held.get(k) != v}
+        for name, vote in changed.items():
+            self.votes.updateValue(name, vote)
+        if not held:
+            self.handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self.keep_ms)
+        if not changed:
+            return
+        n = (self.revision.get()[0] if self.revision.exists() else 0) + 1
+        self.revision.update((n,))
+        for (family, tier, norm), vote in (held | changed).items():
+            yield Row(stream_id=key[0], seq=key[1], revision=n, family=family, tier=tier, _n=norm, **dict(zip(FLAT, vote, strict=True)))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.votes.clear()
+        self.revision.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def live_votes(segments: DataFrame, witnesses: DataFrame, longest: str, keep_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """STR4: revisions of each segment's wordings by family and tier, as witnesses arrive.
+
+    ``witnesses``: ``stream_id, seq, start_ms, end_ms, family, text, tier, confidence, at``.  A segment is kept for ``keep_ms`` of
+    event time, which should be twice ``longest`` at least.
+    """
+    joined = live_overlap_join(segments, witnesses, longest, delay, ("tier", "confidence"))
+    shared = F.least("end_ms", "w_end") - F.greatest("start_ms", "w_start")
+    rows = joined.select(
+        "stream_id", "seq", "at", F.unix_millis("at").alias("at_ms"), F.col("w_family").alias("family"), F.coalesce("w_text", F.lit("")).alias("text"),
+        F.coalesce(F.col("w_tier"), F.lit(0)).cast("int").alias("tier"), F.col("w_start").alias("start_ms"), F.col("w_end").alias("end_ms"),
+        F.col("w_seq").cast("string").alias("utterance_id"), shared.alias("overlap_ms"), F.coalesce(F.col("w_confidence").cast("double"), F.lit(-1.0)).alias("confidence"),
     )
+    flat = [F.col(c.replace("_", ".", 1)).alias(c) for c in FLAT]
+    slim = witness_views(rows.where("family is not null")).select("stream_id", "seq", "family", "tier", "_n", *flat, "at_ms", "at")
+    return slim.groupBy("stream_id", "seq").transformWithState(Votes(keep_ms), VOTES, "Append", "EventTime")
+
+
+def fuse_live(votes: DataFrame, rules: FlipRules, path: str, checkpoint: str, **fusion):
+    """STR4: a query writer that judges every new revision with the batch rules of AGG6 and writes it below ``path``.
+
+    A batch is a folder of its own that a repeated batch overwrites; ``latest_fusion`` reads the newest revision of each segment.
+    """
+    keys = ["stream_id", "seq"]
+
+    def judge(batch: DataFrame, batch_id: int) -> None:
+        last = Window.partitionBy(*keys)
+        fresh = batch.withColumn("_last", F.max("revision").over(last)).where("revision = _last")
+        universe = fresh.groupBy(*keys).agg(F.max("revision").alias("revision"))
+        fresh = fresh.withColumns({side: F.struct(*[F.col(f"{side}_{k}").alias(k) for k in names]) for side, names in (("p", PLACE), ("r", RANK))})
+        judge_hypotheses(hypotheses_of(fresh, keys), universe, rules, keys, **fusion).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return votes.writeStream.foreachBatch(judge).outputMode("append").option("checkpointLocation", checkpoint)
+
+
+def latest_fusion(spark: SparkSession, path: str) -> DataFrame:
+    """The newest revision of every segment that ``fuse_live`` wrote."""
+    rows = spark.read.parquet(path).drop("batch")
+    newest = rows.groupBy("stream_id", "seq").agg(F.max("revision").alias("revision"))
+    return rows.join(newest, ["stream_id", "seq", "revision"])
 
 
 def split_late(rows: DataFrame, latest: Column, delay_ms: int) -> tuple[DataFrame, DataFrame]:
-    """STR4 (side table): rows in time and rows older than ``latest - delay``; use inside foreachBatch."""
-    late = F.unix_millis("at") < latest - delay_ms
+    """Rows in time and rows older than ``latest - delay``."""
+    late = F.coalesce(F.unix_millis("at") < latest - delay_ms, F.lit(False))
     return rows.where(~late), rows.where(late)
 
 
+def admit(rows: DataFrame, path: str, checkpoint: str, delay_ms: int):
+    """STR4 (side table): a query writer that parts rows in time from late ones, once, in front of all stateful work.
+
+    Late is what Spark would drop silently: rows older than the newest event time of all *earlier* batches less the delay.  Below
+    ``path``, every batch writes ``rows/``, ``late/`` and its newest time in ``marks/`` to folders of its own, so a repeated batch
+    overwrites itself.  Operators then stream from ``rows/`` and drop nothing.
+    """
+
+    def part(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        latest = None
+        if batch_id:
+            latest = spark.read.schema("latest long, batch long").parquet(f"{path}/marks").where(F.col("batch") < batch_id).agg(F.max("latest")).first()[0]
+        batch = materialise(batch, "admitted")
+        in_time, late = split_late(batch, F.lit(latest).cast("long"), delay_ms)
+        in_time.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        late.write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        batch.agg(F.max(F.unix_millis("at")).alias("latest")).coalesce(1).write.mode("overwrite").parquet(f"{path}/marks/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(part).option("checkpointLocation", checkpoint)
+
+
 def live_rollup(rows: DataFrame, every: str = "1 hour", delay: str = "10 minutes", short_ms: int = 800, long_ms: int = 7000) -> DataFrame:
     """STR5: cue quality per stream and tumbling window."""
     span = F.col("end_ms") - F.col("start_ms")
@@ -122,10 +270,30 @@ def live_rollup(rows: DataFrame, every: str = "1 hour", delay: str = "10 minutes
     ).select("stream_id", F.unix_millis("w.start").alias("window_ms"), "cues", "avg_ms", "min_ms", "max_ms", "short_cues", "long_cues")
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """STR2 and STR4 keep maps and timers, which need Spark's RocksDB state store; a deployment sets it for the session."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def drain(writer) -> None:
+    """Run a query writer over what is there."""
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(stream: DataFrame, label: str) -> DataFrame:
     """Drain what is there into a table in the shared folder and read it back."""
     spark = stream.sparkSession
     out, mark = scratch_dir(spark, label), scratch_dir(spark, f"{label}-ck")
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start()
-    query.awaitTermination()
+    with keyed_state(spark):
+        drain(stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", mark))
     return spark.read.schema(stream.schema).parquet(out)
