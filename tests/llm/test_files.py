@@ -16,14 +16,13 @@ from tidemark.llm.warc import archive_round_trip, read_archives, write_archives
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 TEXTS = [
-    "", None, " ", "one", "two words", "  lead and  double ", "tab\there\nline\r\n\nnext", "don't 's I'll x2 3y", "é è　ü   z", "<|endoftext|> in text", "日本語 のテキスト ok",
+    "", None, " ", "one", "two words", "  lead and  double ", "tab\there\nline\r\n\nnext", "don't 's I'll x2 3y", "é è　ü   z", "<|endoftext|> in text", "a <|endoftext|> b", "é<|endoftext|>é<|endof", "日本語 のテキスト ok",
     "x" * 5000, "word " * 3000, "\x1codd \x1c sign", "ªº x² ǅ áb",
 ]
 
 
 def ids_of(text):
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return tok.encode(text or "", add_special_tokens=False).ids + [2]
 
 

@@ -23,6 +23,28 @@ def bounded_batches(df: DataFrame, rows: int = 1024) -> DataFrame:
     return df
 
 
+def worker_table(name: str, make):
+    """A table that this Python worker keeps from task to task; it holds one such table at a time.
+
+    Workers live through all stages of a job, so a table that an earlier stage filled is freed first and its memory given back.
+    """
+    import ctypes
+    import gc
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
+    if getattr(kept, "name", None) != name:
+        kept.name = kept.table = None
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+        kept.table, kept.name = make(), name
+    return kept.table
+
+
 def crc_mod(key: Column, n: int) -> Column:
     """crc32 of the key's decimal text, modulo n; the usual held-out split."""
     return F.crc32(key.cast("string").cast("binary")) % n

@@ -27,7 +27,7 @@ import dataclasses
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, materialise
+from tidemark.llm.common import bounded_batches, materialise, worker_table
 from tidemark.llm.jaccard_join import mix
 
 HIT = "doc_id long, item_id long, first_word long, n_words long, similarity double"
@@ -37,7 +37,7 @@ ENDS = b".,;:!?\"'()[]{}<>|*_-"
 class BareHashes(dict):
     """Hashes of words without signs at their ends (0 for nothing but signs), by the word as it stands."""
 
-    most = 800_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -51,13 +51,7 @@ class BareHashes(dict):
 
 def bare_hashes() -> BareHashes:
     """The table of this worker process."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
-    if getattr(kept, "bare", None) is None:
-        kept.bare = BareHashes()
-    return kept.bare
+    return worker_table("bare words", BareHashes)
 
 
 def windows_of(w, width: int):

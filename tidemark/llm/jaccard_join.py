@@ -35,7 +35,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, materialise
+from tidemark.llm.common import bounded_batches, materialise, worker_table
 from tidemark.llm.components import components
 
 CLASSES = 256
@@ -78,7 +78,7 @@ def mix(h, salt: int = 0):
 class WordHashes(dict):
     """Hashes of words (bytes), kept within a bound."""
 
-    most = 800_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -91,13 +91,7 @@ class WordHashes(dict):
 
 def word_hashes() -> WordHashes:
     """The table of this worker process."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
-    if getattr(kept, "words", None) is None:
-        kept.words = WordHashes()
-    return kept.words
+    return worker_table("words", WordHashes)
 
 
 def text_words(text: str | None) -> list[bytes]:

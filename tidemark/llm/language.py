@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches, materialise
+from tidemark.llm.common import bounded_batches, materialise, worker_table
 
 UNKNOWN = "und"
 
@@ -43,21 +43,18 @@ class LanguageFilter:
 
 def letter_codes():
     """Per code point: its lower-case letter, or a space (kept by the worker process)."""
-    import sys
-    import types
-
     import numpy as np
 
-    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
-    if getattr(kept, "letters", None) is None:
+    def make():
         table = np.full(0x110000, 32, "<u4")
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
                 low = c.lower()
                 table[i] = ord(low) if len(low) == 1 else i
-        kept.letters = table
-    return kept.letters
+        return table
+
+    return worker_table("letters", make)
 
 
 def text_codes(texts: Sequence[str]):

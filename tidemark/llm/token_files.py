@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import bounded_batches, materialise
+from tidemark.llm.common import bounded_batches, materialise, worker_table
 from tidemark.llm.files import Appender, open_folder, read_ranges
 
 MAGIC = b"TDMKIDS1"
@@ -28,18 +28,18 @@ class Encoder:
 
     Byte-level BPE starts a new unit before a single space that a non-space follows, and where a run of letters ends; no
     merge crosses a unit.  So every distinct word of a batch is encoded once and its ids are laid out wherever it stands.
-    Words stay in a table of bounded size for the next batch.  A text in which white space follows a space goes to the
-    library whole.  Either way the ids are those of the whole text.
+    Words stay in a table of bounded size for the next batch.  A text in which white space follows a space, or which holds the text of
+    an added token, goes to the library whole.  Either way the ids are those that the library gives for the whole text.
     """
 
-    def __init__(self, path: str, keep_words: int = 700_000):
+    def __init__(self, path: str, keep_words: int = 250_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values() if t.content]
         self.bpe = self.whole.model
         self.keep, self.words, self.tails = keep_words, {}, {}
         # byte-level BPE shows bytes that do not print as the characters from U+0100 on
@@ -99,6 +99,8 @@ class Encoder:
         first = bounds[:-1]
         entry = np.where(np.isin(np.arange(len(place)), first), 0, 1) * (place + 1)
         alone = np.logical_or.reduceat(odd[place] & (entry > 0), first) if n_texts else np.zeros(0, bool)
+        for token in self.added:
+            alone |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False).astype(bool)
         starts = self.of_text([distinct[i] for i in place[first].tolist()]) if n_texts else []
         for i in np.flatnonzero(alone).tolist():
             starts[i] = self.of_text([texts[i].as_py()])[0]
@@ -118,13 +120,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The encoder of this worker process, kept from task to task."""
-    import sys
-    import types
-
-    kept = sys.modules.setdefault("_tidemark_worker", types.ModuleType("_tidemark_worker"))
-    if getattr(kept, "encoder_path", None) != path:
-        kept.encoder_path, kept.encoder = path, Encoder(path)
-    return kept.encoder
+    return worker_table(f"encoder {path}", lambda: Encoder(path))
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: int, sample_bytes: int, dictionary_bytes: int) -> bytes:
@@ -134,8 +130,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
     """
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     share = 1.0 if size <= sample_bytes else sample_bytes / size
-    rank = F.xxhash64("doc_id", "text")
-    picked = docs.where(F.pmod(rank, F.lit(1 << 40)) < int(share * (1 << 40))).select(F.substring("text", 1, 8192).alias("text"), rank.alias("rank"))
+    # texts are cut into pieces of 8 KB, and every piece has the same chance
+    piece = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("text") - 1, F.lit(0)) / 8192).cast("int")))
+    cut = docs.where("text is not null").select("doc_id", "text", piece.alias("i"))
+    rank = F.xxhash64("doc_id", "i", F.length("text"))
+    picked = cut.where(F.pmod(rank, F.lit(1 << 40)) < int(share * (1 << 40))).select(F.substr("text", F.col("i") * 8192 + 1, F.lit(8192)).alias("text"), rank.alias("rank"))
 
     def train(batches):
         import pyarrow as pa
@@ -152,7 +151,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int, width: i
             blob = b""
         yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], names=["blob"])
 
-    # one task for the bounded sample; its rows are at most 8 KB each
+    # one task for the bounded sample; its rows are pieces
     rows = picked.repartition(1).sortWithinPartitions("rank", "text").mapInArrow(train, "blob binary").collect()
     return max((bytes(r["blob"]) for r in rows), key=len, default=b"")
 
