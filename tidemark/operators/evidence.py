@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from tidemark.functions import text as tx
 from tidemark.operators.audits import meaning_flips
 from tidemark.operators.ordered import Order, context
+from tidemark.session import materialise
 
 UNVERIFIED = "unverified"
 
@@ -170,10 +171,32 @@ def withhold_conflicts(entries: DataFrame, key_cols: Sequence[str]) -> DataFrame
     return entries.join(bad, list(key_cols), "left").withColumn("in_conflict", F.coalesce("_bad", F.lit(False))).drop("_bad")
 
 
+# fixed values: the slots whose declared values must not differ between passes
+CRITICAL_SLOTS = (
+    "polarity", "interrogative", "request_strength", "permission", "prohibition", "actor", "target", "location", "completion_state", "sexual_semantic_class", "speaker",
+)
+
+
+def slot_conflicts(rows: DataFrame, claims: str = "slots", keys: Sequence[str] = ("stream_id", "scene"), critical: Sequence[str] = CRITICAL_SLOTS) -> DataFrame:
+    """AGG8 (slots): per key the critical slots for which several confirmed values are declared.
+
+    ``claims`` is JSON text without a schema: slot names with a ``state`` and a ``value``, next to anything else.  It is read as a
+    variant; text that is no JSON, claims that are no objects, and unconfirmed, missing or empty values claim nothing.
+    """
+    read = rows.select(*keys, F.try_parse_json(claims).alias("_v")).where("_v is not null")
+    get = lambda n, f: F.try_variant_get("_v", f"$.{n}.{f}", "string")
+    told = F.array(*[F.struct(F.lit(n).alias("slot"), get(n, "state").alias("state"), F.trim(get(n, "value")).alias("value"), (get(n, "value") != "").alias("set")) for n in critical])
+    said = read.select(*keys, F.explode(F.filter(told, lambda c: (c["state"] == "confirmed") & c["set"])).alias("c"))
+    values = said.select(*keys, "c.slot", "c.value").distinct()
+    several = values.groupBy(*keys, "slot").agg(F.count("*").alias("n")).where("n > 1")
+    return several.groupBy(*keys).agg(F.array_sort(F.collect_list("slot")).alias("conflicts"))  # at most one entry per critical slot
+
+
 def pass_pairs(rows: DataFrame, base: tuple[str, str], extra: Sequence[str], keys: Sequence[str] = ("stream_id", "scene"), similar: str = "bigram") -> DataFrame:
     """AGG8: escalation reasons and verdict of a scene from two base passes and optional extra ones.
 
-    ``rows``: keys, ``profile, text, avg_logprob, no_speech_prob, error``, one row per profile.
+    ``rows``: keys, ``profile, text, avg_logprob, no_speech_prob, error``, one row per profile, and
+    perhaps ``slots``, whose conflicts are reasons as well.
     """
     def one(profile: str) -> Column:
         return F.max(F.when(F.col("profile") == profile, F.struct(F.trim("text").alias("t"), "avg_logprob", "no_speech_prob", "error")))
@@ -194,13 +217,16 @@ def pass_pairs(rows: DataFrame, base: tuple[str, str], extra: Sequence[str], key
             F.when(either(lambda x: F.coalesce(x["error"], F.lit("")) != ""), "error"),
         )
     )
+    if "slots" in rows.columns:
+        out = out.join(slot_conflicts(rows, "slots", keys), list(keys), "left")
+        reasons = F.concat(reasons, F.transform(F.coalesce("conflicts", F.array().cast("array<string>")), lambda s: F.concat(F.lit("semantic_conflict:"), s)))
     blank = (lt == "") & (rt == "")
     verdict = (
         F.when(blank & F.coalesce("_all_err", F.lit(True)), "unresolved").when(blank, "nonverbal")
         .when((lt != "") & (rt != "") & (F.col("similarity") >= 0.92), "stable").when((lt != "") & (rt != "") & (F.col("similarity") >= 0.75), "normalized")
         .when(F.col("_extra"), "context-resolved").otherwise("unresolved")
     )
-    return out.withColumns({"reasons": F.array_sort(reasons), "verdict": verdict, "escalate": F.size(reasons) > 0}).drop("l", "r", "_a", "_b", "_extra", "_all_err")
+    return out.withColumns({"reasons": F.array_sort(reasons), "verdict": verdict, "escalate": F.size(reasons) > 0}).drop("l", "r", "_a", "_b", "_extra", "_all_err", "conflicts")
 
 
 # fixed values: the thirteen slots and the groups the arbitration treats differently
@@ -463,6 +489,25 @@ def decide_candidates(
     ).drop("h", "pick", "generated")
 
 
+FAN = 16
+
+
+def _covering(low: Column, high: Column, levels: int) -> Column:
+    """Blocks (level, number) of FAN, FAN**2 ... rows that together hold just the rows from ``low`` to ``high``; at most 2 * FAN a level."""
+    out = []
+    for level in range(levels):
+        run = lambda a, b, level=level: F.when(a <= b, F.transform(F.sequence(F.least(a, b), b), lambda i: F.struct(F.lit(level).alias("level"), i.alias("block")))).otherwise(
+            F.array().cast("array<struct<level:int,block:bigint>>"))
+        if level == levels - 1:
+            out.append(run(low, high))
+            break
+        left = F.when(low % FAN != 0, F.least(high, low - low % FAN + FAN - 1)).otherwise(low - 1)
+        right = F.when((high % FAN != FAN - 1) & (left < high), F.greatest(left + 1, high - high % FAN)).otherwise(high + 1)
+        out += [run(low, left), run(right, high)]
+        low, high = F.ceil((left + 1) / F.lit(float(FAN))).cast("long"), (F.floor(right / FAN) - 1).cast("long")
+    return F.concat(*out)
+
+
 def apply_ledger(
     ledger: DataFrame, segments: DataFrame, speakers: DataFrame, keys: Sequence[str] = ("stream_id", "seq"),
 ) -> DataFrame:
@@ -471,23 +516,40 @@ def apply_ledger(
     ``ledger``: stream_id, ``entry_id, entry_type, scope, key, value, status, scene_ids, speaker_id,
     addressee_id, start_block, end_block``.  ``segments``: keys, ``scene_ids``.  ``speakers``: keys,
     ``speaker_id, addressee_id, trusted``.  Confirmed entries whose matched set disagrees are
-    withheld.  The join is an equi-join on the stream; ranges and scopes are its residual, and each
-    output row is an entry that really applies.
+    withheld.
+
+    Entries meet segments on the stream, on what their scope names (a scene, a speaker, a relationship) and on a block: a range is cut
+    into a few blocks of 1, 16, 256 ... rows, a segment names the block it lies in at each size.  Entries without a range have one block, the
+    whole stream, so only those that apply to all segments of a stream meet all of them.
     """
     keys = list(keys)
-    trusted = speakers.where("trusted").groupBy(*keys).agg(
-        F.collect_set("speaker_id").alias("_sp"), F.collect_set(F.struct("speaker_id", "addressee_id")).alias("_rel")
-    )
-    seg = segments.select(*keys, "scene_ids").withColumnRenamed("scene_ids", "_scenes").join(trusted, keys, "left")
-    scope = F.col("scope")
-    applies = (
-        scope.isin("title", "temporary")
-        | ((scope == "scene") & F.arrays_overlap("scene_ids", "_scenes"))
-        | ((scope == "speaker") & F.array_contains("_sp", F.col("speaker_id")))
-        | ((scope == "relationship") & F.array_contains("_rel", F.struct("speaker_id", "addressee_id")))
-    )
-    inside = (F.col("start_block").isNull() | (F.col("seq") >= F.col("start_block"))) & (F.col("end_block").isNull() | (F.col("seq") <= F.col("end_block")))
-    hits = seg.join(ledger, keys[:1]).where(inside & F.coalesce(applies, F.lit(False)))
+    stream, at = keys
+    top = segments.agg(F.max(at)).first()[0] or 0
+    levels = 1
+    while FAN**levels <= top:
+        levels += 1
+    trusted = speakers.where("trusted").select(*keys, "speaker_id", "addressee_id").distinct()
+    name = lambda kind, *parts: F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("\x1e")) for p in parts])
+    said = trusted.select(*keys, F.explode(F.array(name("speaker", F.col("speaker_id")), name("relationship", F.col("speaker_id"), F.col("addressee_id")))).alias("_who")).distinct()
+    shown = segments.select(*keys, F.explode("scene_ids").alias("_scene")).where("_scene is not null").select(*keys, name("scene", F.col("_scene")).alias("_who")).distinct()
+    places = segments.select(*keys, F.lit("all").alias("_who")).distinct().unionByName(shown).unionByName(said.join(segments.select(*keys).distinct(), keys, "left_semi"))
+    own = [F.struct(F.lit(i).alias("level"), F.floor(F.col(at) / FAN**i).alias("block")) for i in range(levels)]
+    whole = F.struct(F.lit(-1).alias("level"), F.lit(0).cast("long").alias("block"))
+    places = places.withColumn("_b", F.explode(F.array(whole, *own)))
+
+    scope, void = F.col("scope"), F.array().cast("array<string>")
+    who = (
+        F.when(scope.isin("title", "temporary"), F.array(F.lit("all")))
+        .when(scope == "scene", F.transform(F.filter("scene_ids", lambda s: s.isNotNull()), lambda s: name("scene", s)))
+        .when((scope == "speaker") & F.col("speaker_id").isNotNull(), F.array(name("speaker", F.col("speaker_id"))))
+        .when(scope == "relationship", F.array(name("relationship", F.col("speaker_id"), F.col("addressee_id")))).otherwise(void)
+    )
+    entries = ledger.withColumn("_row", F.monotonically_increasing_id())
+    low, high = F.greatest(F.coalesce(F.col("start_block"), F.lit(0)).cast("long"), F.lit(0)), F.least(F.coalesce(F.col("end_block"), F.lit(top)).cast("long"), F.lit(top))
+    entries = entries.withColumns({"_low": low, "_high": high})
+    blocks = F.when(F.col("start_block").isNull() & F.col("end_block").isNull(), F.array(whole)).when(F.col("_low") <= F.col("_high"), _covering(F.col("_low"), F.col("_high"), levels))
+    entries = materialise(entries.withColumn("_who", F.explode(F.array_distinct(F.coalesce(who, void)))).withColumn("_b", F.explode(blocks)).drop("_low", "_high"), "ledger")
+    hits = places.join(entries, [stream, "_who", "_b"]).dropDuplicates([*keys, "_row"])
     group = [*keys, "entry_type", "scope", "key", "speaker_id", "addressee_id"]
     confirmed = hits.where("status = 'confirmed'")
     split = confirmed.groupBy(*group).agg(F.count_distinct("value").alias("_v")).where("_v > 1")

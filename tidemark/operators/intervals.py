@@ -210,26 +210,24 @@ def uncovered(
 def disagreements(
     primary: DataFrame, rivals: DataFrame, width_ms: int, min_overlap_ms: int = 350, below: float = 0.15,
     keys: tuple[str, ...] = ("stream_id",), similar: str = "bigram", levels: int = 1,
-    keep: int = 3,
+    keep: int = 3, eligible: Column | None = None,
 ) -> DataFrame:
     """JOIN5: primary rows whose best similarity to any overlapping rival is under ``below``.
 
-    The first ``keep`` rival texts are listed; the flag itself looks at all of them.
+    ``eligible`` says which rivals count (``recoverable`` is the rule of JOIN6).  The first ``keep`` rival texts are listed; the flag itself
+    looks at all of them.  Rivals are ranked with a limit that Spark applies before the shuffle, so a row with very many never
+    holds more than ``keep`` of them.
     """
+    if eligible is not None:
+        rivals = rivals.where(F.coalesce(eligible, F.lit(False)))
     pairs = interval_pairs(primary, rivals, width_ms, keys, None, levels)
     pairs = pairs.where(F.col("overlap_ms") >= min_overlap_ms)
     scored = pairs.withColumn("_sim", tx.similarity(similar, F.col("text"), F.col("r_text")))
-    return (
-        scored.groupBy(*keys, "seq")
-        .agg(
-            F.max("_sim").alias("best_similarity"),
-            F.count("*").alias("rivals"),
-            F.array_sort(F.collect_list(F.struct("r_start_ms", "r_end_ms", "r_seq", "r_text"))).alias("_alts"),
-        )
-        .where(F.col("best_similarity") < below)
-        .withColumn("alternatives", F.slice(F.col("_alts.r_text"), 1, keep))
-        .drop("_alts")
-    )
+    flagged = scored.groupBy(*keys, "seq").agg(F.max("_sim").alias("best_similarity"), F.count("*").alias("rivals")).where(F.col("best_similarity") < below)
+    place = Window.partitionBy(*keys, "seq").orderBy("r_start_ms", "r_end_ms", "r_seq", "r_text")
+    first = pairs.withColumn("_nth", F.row_number().over(place)).where(F.col("_nth") <= keep)
+    listed = first.groupBy(*keys, "seq").agg(F.array_sort(F.collect_list(F.struct("_nth", "r_text")))["r_text"].alias("alternatives"))  # at most ``keep``
+    return flagged.join(listed, [*keys, "seq"])
 
 
 def merge_intervals(df: DataFrame, order: Order = TIME, tolerance_ms: int = 150, reasons: str | None = "reasons") -> DataFrame:

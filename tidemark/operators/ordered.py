@@ -164,6 +164,48 @@ def context(df: DataFrame, order: Order, value: Column, k_before: int, k_after:
     return spread.where("_block = _home").drop("_pos", "_val", "_home", "_block")
 
 
+def next_greater(df: DataFrame, order: Order, value: str, wanted: Column, name: str, fan: int = 64) -> DataFrame:
+    """For ``wanted`` rows, the first value after the row, in order, that is strictly greater; null where there is none.
+
+    The rows need not rise.  Positions form a tree of blocks, ``fan`` to a parent, each with its largest value.  A row looks at the later
+    siblings of its block, then of the block above, and so on; the first block with a greater value is followed down.
+    Every step is an equi-join on (keys, parent), so a stream is as many groups as it has parents.
+    """
+    keys = list(order.keys)
+    df = materialise(position(df, order, "_p"), "next-rows")
+    rows = df.select(*keys, (F.col("_p") - 1).alias("i"), F.col(value).alias("top"))
+    seek = materialise(df.where(wanted).select(*keys, (F.col("_p") - 1).alias("row"), F.col(value).alias("v")), "next-seek")
+    if seek.isEmpty():
+        return df.drop("_p").withColumn(name, F.lit(None).cast(df.schema[value].dataType))
+    levels, last = [rows], rows.agg(F.max("i")).first()[0]
+    while last >= fan:
+        levels.append(materialise(levels[-1].groupBy(*keys, F.floor(F.col("i") / fan).alias("i")).agg(F.max("top").alias("top")), "next-level"))
+        last //= fan
+
+    def first_block(asked: DataFrame, level: DataFrame, after: Column) -> DataFrame:
+        below = level.select(*keys, F.floor(F.col("i") / fan).alias("parent"), "i", "top")
+        hit = asked.join(below, [*keys, "parent"]).where(after & (F.col("top") > F.col("v")))
+        return materialise(hit.groupBy(*keys, "row", "v").agg(F.min("i").alias("hit")), "next-hit")
+
+    found, seek = [], seek.withColumn("at", F.col("row"))
+    for level in levels:
+        found.append(first_block(seek.withColumn("parent", F.floor(F.col("at") / fan)), level, F.col("i") > F.col("at")))
+        seek = materialise(seek.join(found[-1].select(*keys, "row"), [*keys, "row"], "left_anti").withColumn("at", F.floor(F.col("at") / fan)), "next-seek")
+    down = found.pop()
+    while found:
+        lower = first_block(down.withColumn("parent", F.col("hit")), levels[len(found) - 1], F.lit(True))
+        down = found.pop().unionByName(lower)
+    told = down.join(rows, (F.col("hit") == F.col("i")) & _same(down, rows, keys)).select(*[down[k] for k in keys], (down["row"] + 1).alias("_p"), F.col("top").alias(name))
+    return df.join(told, [*keys, "_p"], "left").drop("_p")
+
+
+def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for k in keys:
+        out = out & (a[k] == b[k])
+    return out
+
+
 # --- greedy scans: each decision depends on the one before -------------------------------
 
 Step = Callable[..., tuple[object, tuple]]

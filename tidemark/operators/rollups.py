@@ -17,25 +17,21 @@ def times(cond: Column) -> Column:
     return F.count(F.when(cond, 1))
 
 
-PRIME, BASE = 2_147_483_647, 1_000_003
+def content_prints(rows: DataFrame, order: Order, block: int = 1024) -> DataFrame:
+    """Per stream the number of its characters, white space left out, and a fingerprint of them, however they are cut into rows.
 
-
-def with_prints(rows: DataFrame, order: Order) -> DataFrame:
-    """``_print``: a row's share of a polynomial hash of its stream's characters, white space left out.
-
-    Every character counts by its place in the stream, so the shares add up to the same number however the text is cut.
+    Texts are cut where the stream's characters reach a multiple of ``block``; the pieces of a block are put together
+    and hashed, and the hashes of a stream's blocks are combined.  So every task holds a block.
     """
-    solid = tx.compact(F.col("text"))
-    rows = running(rows, order, {"_at": ("sum", F.length(solid).cast("long"))})
-    own = F.aggregate(F.split(F.reverse(solid), ""), F.lit(0).cast("long"), lambda a, c: F.when(c == "", a).otherwise((a * BASE + F.ascii(c)) % PRIME))
-    # BASE to the power of the place, by squares
-    step = F.struct(F.lit(1).cast("long").alias("p"), F.lit(BASE).cast("long").alias("b"), F.col("_at").cast("long").alias("e"))
-    power = F.aggregate(
-        F.sequence(F.lit(1), F.lit(40)), step,
-        lambda s, _: F.struct(F.when(s["e"] % 2 == 1, s["p"] * s["b"] % PRIME).otherwise(s["p"]).alias("p"), (s["b"] * s["b"] % PRIME).alias("b"), F.shiftright(s["e"], 1).alias("e")),
-        lambda s: s["p"],
-    )
-    return rows.withColumn("_print", (own * power % PRIME).cast("long")).drop("_at")
+    keys = list(order.keys)
+    solid = rows.withColumn("_solid", tx.compact(F.col("text")))
+    solid = running(solid, order, {"_at": ("sum", F.length("_solid").cast("long"))}).where("_solid <> ''")
+    spots = F.sequence(F.floor(F.col("_at") / block), F.floor((F.col("_at") + F.length("_solid") - 1) / block))
+    parts = solid.select(*keys, "_solid", "_at", F.explode(spots).alias("_b"))
+    begin = F.greatest(F.col("_b") * block - F.col("_at"), F.lit(0))
+    piece = F.substring("_solid", (begin + 1).cast("int"), (F.least((F.col("_b") + 1) * block - F.col("_at"), F.length("_solid").cast("long")) - begin).cast("int"))
+    whole = parts.groupBy(*keys, "_b").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_at", piece.alias("p"))))["p"], "").alias("_text"))
+    return whole.groupBy(*keys).agg(F.sum(F.length("_text")).alias("_n"), F.bit_xor(F.xxhash64("_b", "_text")).alias("_h"))
 
 
 def qc_rollup(
@@ -48,8 +44,7 @@ def qc_rollup(
     unchanged and in the same order, however they are cut into cues.
     """
     keys = list(order.keys)
-    if source is not None:
-        cues = with_prints(cues, order)
+    mine = content_prints(cues, order) if source is not None else None
     cues = position(running(cues, order, {"_pe": ("max", F.col("end_ms"))}), order, "_pos")
     span = F.col("end_ms") - F.col("start_ms")
     n_lines = F.size(tx.lines(F.col("text")))
@@ -64,20 +59,20 @@ def qc_rollup(
         times(span <= 0).alias("reversals"), times(F.trim("text") == "").alias("empty_cues"),
         times(tx.has_runaway(F.col("text"))).alias("runaway"),
         *[times(F.array_contains("warnings", w)).alias(f"warn_{w}") for w in warnings if has_warnings],
-        F.sum(F.length(tx.compact(F.col("text")))).alias("_chars"), *([F.sum("_print").alias("_sum")] if source is not None else []),
     )
     out = out.join(durations, keys, "left")
     out = out.withColumn("cues_per_minute", F.when(F.col("duration_ms") > 0, F.col("cues") * 60_000.0 / F.col("duration_ms")).otherwise(0.0))
     mismatch = F.lit(0)
     if source is not None:
-        ref = with_prints(source, order).groupBy(*keys).agg(F.sum(F.length(tx.compact(F.col("text")))).alias("_rchars"), F.sum("_print").alias("_rsum"))
-        out = out.join(ref, keys, "left").withColumn("content_preserved", F.col("_chars").eqNullSafe(F.col("_rchars")) & (F.col("_sum") % PRIME).eqNullSafe(F.col("_rsum") % PRIME))
+        theirs = content_prints(source, order).select(*keys, F.col("_n").alias("_rn"), F.col("_h").alias("_rh"))
+        out = out.join(mine, keys, "left").join(theirs, keys, "left")
+        out = out.withColumn("content_preserved", F.col("_n").eqNullSafe(F.col("_rn")) & F.col("_h").eqNullSafe(F.col("_rh")))
         mismatch = (~F.col("content_preserved")).cast("int")
     checks = [("runaway", F.col("runaway")), *[(w, F.col(f"warn_{w}")) for w in warnings if has_warnings], ("content_mismatch", mismatch)]
     reasons = F.array_compact(F.array(*[F.when(c > 0, F.struct(F.lit(n).alias("code"), c.cast("long").alias("count"))) for n, c in checks]))
     broken = F.col("overlap_rows") + F.col("reversals") + F.col("empty_cues") + F.col("_breaks")
     gate = F.when(broken > 0, "failed").when(F.size(reasons) > 0, "review_required").otherwise("passed")
-    return out.withColumns({"reasons": reasons, "gate": gate}).drop("_chars", "_sum", "_rchars", "_rsum", "_breaks")
+    return out.withColumns({"reasons": reasons, "gate": gate}).drop("_n", "_h", "_rn", "_rh", "_breaks")
 
 
 def word_alignment(segments: DataFrame, keys: Sequence[str] = ("stream_id",), tolerance_ms: int = 50, long_ms: int = 7000) -> DataFrame:

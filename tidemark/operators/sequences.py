@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tidemark.functions import text as tx
 from tidemark.operators.intervals import interval_pairs
 from tidemark.operators.ordered import (
-    TIME, Order, chunked, fold_rows, islands, neighbour, overlap_islands, position, running,
+    TIME, Order, chunked, fold_rows, islands, neighbour, next_greater, overlap_islands, position, running,
 )
 from tidemark.session import materialise
 
@@ -314,9 +314,10 @@ def snap_windows(
     order = Order(keys, ("at_ms", "last"))
     cutd = fold_rows(marks, order, ["at_ms", "duration_ms", "last"], step, outputs(made=T.ArrayType(LONG)), max_rows)
     rows = cutd.select(*keys, F.explode("made").alias("core_end"))
-    so = Order(keys, ("core_end",))
+    # windows are numbered in time chunks, so that no task sees a stream as a whole
+    rows, so = chunked(rows, Order(keys, ("core_end",)), 100_000 * (aim_ms - overlap_ms))
     rows = position(rows, so, "window")
-    rows = neighbour(rows, so, {"core_start": F.col("core_end")})
+    rows = neighbour(rows, so, {"core_start": F.col("core_end")}).drop("_chunk")
     return rows.withColumn("core_start", F.coalesce("core_start", F.lit(0).cast("long"))).withColumn(
         "clip_start", F.greatest(F.lit(0).cast("long"), F.col("core_start") - overlap_ms)
     )
@@ -355,15 +356,16 @@ def repair_durations(
 ) -> DataFrame:
     """WIN14: cap stale and reversed rows to reading time, lengthen tiny rows, cut overlaps.
 
-    ``order`` must sort by start: the next start that is later is then the next larger one.
+    A stale row may not run past the next start that is strictly later, wherever it stands behind the row; starts need not rise.
     """
     df = neighbour(df, order, {"next_start": F.col("start_ms")}, following=True)
-    jump = F.when(F.col("next_start") > F.col("start_ms"), F.col("next_start"))
-    df = running(df, order, {"_later": ("last", jump)}, inclusive=True, reverse=True)
     span = F.col("end_ms") - F.col("start_ms")
+    stale = (span > longest_ms) | (span <= 0)
+    near = F.when(F.col("next_start") > F.col("start_ms"), F.col("next_start"))
+    df = next_greater(df, order, "start_ms", stale & near.isNull() & F.col("next_start").isNotNull(), "_far")
+    df = df.withColumn("_later", F.coalesce(near, "_far")).drop("_far")
     read = F.col("start_ms") + tx.reading_ms(F.col("text"))
     capped = F.greatest(F.least(read, F.coalesce("_later", read)), F.col("start_ms") + least_ms)
-    stale = (span > longest_ms) | (span <= 0)
     df = df.withColumn("_end", F.when(stale, capped).otherwise(F.col("end_ms")))
     wish = F.least(F.col("start_ms") + target_ms, F.coalesce("next_start", F.col("start_ms") + target_ms))
     tiny = (F.col("_end") - F.col("start_ms") < micro_ms) & (wish > F.col("_end") + 1)

@@ -120,19 +120,35 @@ def role_of(path: Column, roles: Sequence[tuple[str, str]]) -> Column:
     return out
 
 
-def file_manifest(spark: SparkSession, path: str, roles: Sequence[tuple[str, str]], stream_pattern: str) -> DataFrame:
-    """SRC4: role, digest, size, time, encoding, block count and first/last clock of each file."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    raw = raw.select(
+def file_manifest(
+    spark: SparkSession, path: str, roles: Sequence[tuple[str, str]], stream_pattern: str, text_roles: Sequence[str] | None = None, digest: bool = True,
+) -> DataFrame:
+    """SRC4: role, digest, size, time, encoding, block count and first/last clock of each file.
+
+    Roles come from names alone.  Only files of ``text_roles`` (all roles, if not given) are decoded; files with another role or none are
+    listed from their metadata, and with ``digest=False`` no byte of them is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    stream, role = F.regexp_extract("path", stream_pattern, 1).alias("stream_id"), role_of(F.col("path"), roles).alias("role")
+    named = files.withColumn("_role", role)
+    wanted = F.col("_role").isin(list(text_roles if text_roles is not None else [name for name, _ in roles]))
+    raw = named.where(wanted).select(
         "path", F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), decode_text("content").alias("d"),
     )
     text = F.regexp_replace("d.text", r"\r\n?", "\n")
     clocks = F.regexp_extract_all(text, F.lit(r"(\d{2,}:\d{2}:\d{2},\d{3})\s+-->"), 1)
     ends = F.regexp_extract_all(text, F.lit(r"-->\s+(\d{2,}:\d{2}:\d{2},\d{3})"), 1)
-    return raw.select(
-        "path", F.regexp_extract("path", stream_pattern, 1).alias("stream_id"), role_of(F.col("path"), roles).alias("role"), "size", "modified", "sha256", F.col("d.encoding").alias("encoding"),
+    texts = raw.select(
+        "path", stream, role, "size", "modified", "sha256", F.col("d.encoding").alias("encoding"),
         F.size(clocks).alias("blocks"), F.get(clocks, 0).alias("first_clock"), F.get(ends, F.size(ends) - 1).alias("last_clock"),
     )
+    none = F.lit(None).cast("string")
+    sha = F.sha2("content", 256) if digest else none
+    others = named.where(~F.coalesce(wanted, F.lit(False))).select(
+        "path", stream, role, F.col("length").alias("size"), F.col("modificationTime").alias("modified"), sha.alias("sha256"), none.alias("encoding"),
+        F.lit(None).cast("int").alias("blocks"), none.alias("first_clock"), none.alias("last_clock"),
+    )
+    return texts.unionByName(others)
 
 
 def manifest_roles(manifest: DataFrame) -> DataFrame:
