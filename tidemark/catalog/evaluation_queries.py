@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.frames import DAY, EV, LINE_ORDER, LN, MONTH, chunked_events, events, lines, table, with_
 from tidemark.catalog.audit_queries import ISSUES, RULES
+from tidemark.catalog.evidence_queries import LEDGER, applied_ledger
 from tidemark.catalog.overlay_queries import OR, rows as order_rows
 from tidemark.catalog.registry import query
 from tidemark.catalog.rollup_queries import QUALITY, RISK, RUNS, quality_rows, risk
@@ -112,6 +113,106 @@ def smp5d(spark, sf):
 # --- queues ----------------------------------------------------------------------------------
 
 
+DECIDED = """dc AS (SELECT o_custkey AS stream_id, o_orderkey AS seq, o_orderkey AS k, ['accepted', ' Abstained', 'hold', 'accepted'][o_orderkey % 4 + 1] AS status, ['high', 'LOW', '', 'medium', 'unknown'][o_orderkey % 5 + 1] AS confidence,
+  CASE WHEN o_orderkey % 6 = 0 THEN ['actor', 'target'] ELSE [] END AS slots, CASE WHEN o_orderkey % 7 = 0 THEN ['r' || CAST(o_orderkey % 3 AS VARCHAR)] END AS risks,
+  CASE o_orderkey % 9 WHEN 0 THEN [] WHEN 1 THEN NULL ELSE ['e' || CAST(o_orderkey % 5 AS VARCHAR), 'e' || CAST(o_orderkey % 3 AS VARCHAR)] END AS refs FROM orders)"""
+TOLD = "SELECT DISTINCT stream_id, seq, r.p AS priority, r.c AS code, r.d AS detail FROM (SELECT stream_id, seq, unnest([{}]) AS r FROM {}) WHERE r IS NOT NULL"
+
+
+def told_sql(source, *found):
+    return TOLD.format(", ".join(f"CASE WHEN {when} THEN {{'p': {p}, 'c': '{code}', 'd': {detail}}} END" for when, p, code, detail in found), source)
+
+
+def decided(spark, sf):
+    k = F.col("o_orderkey")
+    nth = lambda words, n: F.get(F.array(*map(L, words)), (k % n).cast("int"))
+    tag = lambda letter, n: F.concat(L(letter), (k % n).cast("string"))
+    none = F.array().cast("array<string>")
+    return table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("stream_id"), k.alias("seq"), nth(["accepted", " Abstained", "hold", "accepted"], 4).alias("status"),
+        nth(["high", "LOW", "", "medium", "unknown"], 5).alias("confidence"), F.when(k % 6 == 0, F.array(L("actor"), L("target"))).otherwise(none).alias("uncertain_slots"),
+        F.when(k % 7 == 0, F.array(tag("r", 3))).alias("risk_codes"), F.when(k % 9 == 0, none).when(k % 9 != 1, F.array(tag("e", 5), tag("e", 3))).alias("evidence_refs"),
+    )
+
+
+REASONED = told_sql("dc", ("lower(trim(status)) IN ('abstained', 'hold')", "'critical'", "decision-status", "lower(trim(status))"),
+    ("lower(confidence) IN ('', 'low', 'unknown')", "'high'", "low-evidence-strength", "CASE WHEN confidence = '' THEN 'missing' ELSE lower(confidence) END"),
+    ("len(slots) > 0", "'high'", "uncertain-slots", "'actor, target'"), ("risks IS NOT NULL", "'high'", "unresolved-risk-or-alternative", "risks[1]"),
+    ("refs IS NULL OR len(refs) = 0", "'high'", "missing-evidence-refs", "CAST(NULL AS VARCHAR)"))
+
+
+@query("top1_reasons_of_decisions", with_(DECIDED) + REASONED)
+def top1_decisions(spark, sf):
+    return sm.decision_reasons(decided(spark, sf))
+
+
+CONTRACT = "ct AS (SELECT *, CASE WHEN k % 8 <> 0 AND k % 10 <> 0 THEN ['e0', 'e1', 'e2'] ELSE [] END AS allowed FROM dc),\nst AS (SELECT *, list_sort(list_filter(list_distinct(refs), lambda x: NOT list_contains(allowed, x))) AS stray FROM ct)"
+REFS = told_sql("st", ("len(allowed) = 0", "'high'", "queue-evidence-contract", "CAST(NULL AS VARCHAR)"), ("len(allowed) > 0 AND len(stray) > 0", "'high'", "unmapped-evidence-ref", "array_to_string(stray, ', ')"))
+
+
+@query("top1_reasons_of_refs", with_(DECIDED, CONTRACT) + REFS)
+def top1_refs(spark, sf):
+    rows = decided(spark, sf)
+    refs = F.when(F.col("seq") % 10 == 0, F.array().cast("array<string>")).otherwise(F.array(L("e0"), L("e1"), L("e2")))
+    return sm.ref_reasons(rows, rows, rows.where("seq % 8 <> 0").select("stream_id", "seq", refs.alias("evidence_refs")))
+
+
+@query("top1_reasons_of_consistency", with_(LEDGER) + """,
+us AS (SELECT h.*, CASE WHEN status = 'confirmed' THEN CASE WHEN c.key IS NULL THEN 'applied' ELSE 'withheld_conflict' END ELSE 'unresolved' END AS use
+FROM hit h LEFT JOIN cf c ON h.stream_id = c.stream_id AND h.seq = c.seq AND h.entry_type = c.entry_type AND h.scope = c.scope AND h.key = c.key AND h.speaker_id = c.speaker_id AND h.addressee_id = c.addressee_id WHERE status <> 'retired')
+SELECT stream_id, seq, 'high' AS priority, 'consistency-conflict' AS code, entry_type || ':' || string_agg(DISTINCT CAST(entry_id AS VARCHAR), ',' ORDER BY CAST(entry_id AS VARCHAR)) AS detail FROM us WHERE use = 'withheld_conflict' GROUP BY stream_id, seq, entry_type, scope, key
+UNION ALL SELECT DISTINCT stream_id, seq, CASE entry_type WHEN 'tone' THEN 'high' ELSE 'medium' END, 'consistency-unresolved', entry_type || ':' || CAST(entry_id AS VARCHAR) FROM us WHERE use = 'unresolved'""")
+def top1_consistency(spark, sf):
+    return sm.consistency_reasons(applied_ledger(spark, sf), weighty=("tone",))
+
+
+BANDED = told_sql("bd", ("band = 'P1'", "'high'", "forensics-p1", "band"), ("band = 'P2'", "'medium'", "forensics-p2", "band"), ("confidence = 'low'", "'high'", "forensics-low-confidence", "'low'"),
+    ("confidence = 'medium'", "'medium'", "forensics-medium-confidence", "'medium'"), ("scope <> ''", "'high'", "forensics-uncertain-scope", "scope"))
+
+
+@query("top1_reasons_of_bands", "WITH bd AS (SELECT l_orderkey AS stream_id, l_linenumber AS seq, 'P' || CAST(l_partkey % 4 + 1 AS VARCHAR) AS band, ['low', 'medium', 'high'][l_suppkey % 3 + 1] AS confidence, CASE WHEN l_partkey % 5 = 0 THEN 'actor' ELSE '' END AS scope FROM lineitem)\n" + BANDED)
+def top1_bands(spark, sf):
+    prior = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("stream_id"), F.col("l_linenumber").alias("seq"), F.concat(L("P"), (F.col("l_partkey") % 4 + 1).cast("string")).alias("band"),
+        F.get(F.array(L("LOW "), L("medium"), L("high")), (F.col("l_suppkey") % 3).cast("int")).alias("confidence"), F.when(F.col("l_partkey") % 5 == 0, " actor").alias("uncertain_scope"),
+    )
+    return sm.band_reasons(prior)
+
+
+@query("top1_queue_of_all_reasons", with_(LN, ISSUES, DECIDED, CONTRACT) + f""",
+rs AS ({REASONED} UNION ALL {REFS} UNION ALL SELECT DISTINCT stream_id, seq, CASE severity WHEN 'error' THEN 'critical' ELSE 'medium' END, 'faithful:' || code, severity FROM iss WHERE seq IS NOT NULL),
+pr AS (SELECT *, CASE priority WHEN 'critical' THEN 1 WHEN 'high' THEN 2 ELSE 3 END AS p FROM rs),
+g AS (SELECT stream_id, seq, min(p) AS p, array_to_string(list_transform(list_sort(list_distinct(list({{'p': p, 'code': code}}))), lambda x: x.code), ',') AS reason_codes FROM pr GROUP BY ALL)
+SELECT stream_id, seq, row_number() OVER (PARTITION BY stream_id ORDER BY p, seq) AS rank, ['critical', 'high', 'medium'][p] AS priority, reason_codes FROM g""")
+def top1_all(spark, sf):
+    rows = decided(spark, sf)
+    refs = F.when(F.col("seq") % 10 == 0, F.array().cast("array<string>")).otherwise(F.array(L("e0"), L("e1"), L("e2")))
+    contract = rows.where("seq % 8 <> 0").select("stream_id", "seq", refs.alias("evidence_refs"))
+    issues = au.segment_issues(lines(spark, sf), LINE_ORDER, RULES).withColumn("variant", L("faithful"))
+    queue = sm.review_queue([sm.decision_reasons(rows), sm.ref_reasons(rows, rows, contract), sm.issue_reasons(issues)])
+    return queue.withColumn("reason_codes", F.array_join("reason_codes", ","))
+
+
+@query("agg18_release_gate", """WITH s AS (SELECT c_custkey AS k FROM customer),
+c AS (SELECT k, k % 5 <> 0 AND k % 7 <> 3 AND k % 2 = 0 AS adjudicated_gold, k % 3 <> 0 AND k % 4 <> 1 AS blind_human_review, k % 6 <> 0 AND k % 10 <> 0 AS p3_p4_audit, k % 8 <> 0 AS measured_review_efficiency, k % 9 <> 0 AND k % 11 <> 0 AS human_release_approval, true AS sol_experiment FROM s),
+m AS (SELECT *, list_filter([CASE WHEN NOT adjudicated_gold THEN 'adjudicated_gold' END, CASE WHEN NOT blind_human_review THEN 'blind_human_review' END, CASE WHEN NOT p3_p4_audit THEN 'p3_p4_audit' END,
+  CASE WHEN NOT measured_review_efficiency THEN 'measured_review_efficiency' END, CASE WHEN NOT human_release_approval THEN 'human_release_approval' END], lambda x: x IS NOT NULL) AS missing FROM c)
+SELECT k AS stream_id, CASE WHEN len(missing) = 0 THEN 'pass' ELSE 'fail' END AS status, array_to_string(missing, ',') AS missing FROM m""")
+def agg18c(spark, sf):
+    """Some streams lack a row, a count, a name or have a row that fails beside one that passes."""
+    k = F.col("stream_id")
+    s = table(spark, sf, "customer").select(F.col("c_custkey").alias("stream_id"))
+    gold = s.where("stream_id % 5 <> 0").select("stream_id", L("pass").alias("status"), (k % 7 - 3).alias("adjudicated_records"), (1 - k % 2).alias("locked_test_records"))
+    gold = gold.withColumn("adjudicated_records", F.abs("adjudicated_records"))
+    blind = s.select("stream_id", F.when(k % 3 != 0, "human-reviewed").alias("evaluation_status"), L(True).alias("review_complete"), F.when(k % 4 != 1, 5).alias("reviewed_blocks"))
+    audit = s.select("stream_id", (k % 6 != 0).alias("review_complete"), L(3).alias("reviewed_blocks"))
+    audit = audit.unionByName(s.where("stream_id % 10 = 0").select("stream_id", L(True).alias("review_complete"), L(0).alias("reviewed_blocks")))
+    metrics = s.select("stream_id", F.when(k % 8 != 0, "demonstrated").otherwise("withheld").alias("metrics_status"))
+    approval = s.select("stream_id", (k % 9 != 0).alias("approved"), F.when(k % 11 == 0, " ").otherwise("someone").alias("approved_by"))
+    out = el.release_gate(s, {"gold_suite": gold, "blind_review": blind, "audit_summary": audit, "review_metrics": metrics, "release_approval": approval})
+    return out.select("stream_id", "status", F.array_join("missing", ",").alias("missing"))
+
+
 @query("top1_review_queue", with_(LN, ISSUES) + """,
 rs AS (SELECT stream_id, seq, CASE WHEN severity = 'error' THEN 1 ELSE 3 END AS p, code FROM iss WHERE seq IS NOT NULL UNION ALL SELECT stream_id, seq, 2, 'long_text' FROM ln WHERE length(text) > 300),
 g AS (SELECT stream_id, seq, min(p) AS p, array_to_string(list_transform(list_sort(list_distinct(list({'p': p, 'code': code}))), lambda x: x.code), ',') AS reason_codes FROM rs GROUP BY ALL)

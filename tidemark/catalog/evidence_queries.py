@@ -119,6 +119,25 @@ def agg8(spark, sf):
     return out.select("stream_id", "scene", F.round("similarity", 6).alias("similarity"), F.array_join("reasons", ",").alias("reasons"), "verdict")
 
 
+@query("agg8_slot_conflicts", """WITH c AS (SELECT o_custkey AS stream_id, o_orderkey % 9 AS scene, s.slot, CASE o_orderkey % 4 WHEN 0 THEN 'unknown' ELSE 'confirmed' END AS state,
+  CASE o_orderkey % 6 WHEN 0 THEN '' ELSE s.slot || CAST((o_orderkey // 7) % s.n AS VARCHAR) END AS value FROM orders, (VALUES ('polarity', 1), ('actor', 2), ('location', 3), ('mood', 3)) s(slot, n) WHERE o_orderkey % 11 NOT IN (0, 1)),
+x AS (SELECT stream_id, scene, slot FROM c WHERE slot <> 'mood' AND state = 'confirmed' AND value <> '' GROUP BY ALL HAVING count(DISTINCT value) > 1)
+SELECT stream_id, scene, array_to_string(list_sort(list(slot)), ',') AS conflicts FROM x GROUP BY ALL""")
+def agg8b(spark, sf):
+    """Claims as JSON text: some broken, some a bare word, some of slots that don't matter."""
+    k = F.col("o_orderkey")
+    state = F.when(k % 4 == 0, "unknown").otherwise("confirmed")
+
+    def claim(slot, n):
+        value = F.when(k % 6 == 0, "").otherwise(F.concat(L(slot), (F.floor(k / 7) % n).cast("string"), L(" ")))
+        return F.struct(state.alias("state"), value.alias("value"), k.alias("note")).alias(slot)
+
+    full = F.to_json(F.struct(claim("polarity", 1), claim("actor", 2), claim("location", 3), claim("mood", 3), L("bare").alias("target")))
+    slots = F.when(k % 11 == 0, "{broken").when(k % 11 == 1, '["no object"]').otherwise(full)
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("stream_id"), (k % 9).alias("scene"), slots.alias("slots"))
+    return ev_.slot_conflicts(rows).withColumn("conflicts", F.array_join("conflicts", ","))
+
+
 # --- two annotators per order --------------------------------------------------------------
 
 VOC = {
@@ -378,6 +397,10 @@ cf AS (SELECT stream_id, seq, entry_type, scope, key, speaker_id, addressee_id F
 SELECT h.stream_id, h.seq, entry_id, h.entry_type, h.scope, h.key, value, CASE WHEN status = 'confirmed' THEN CASE WHEN c.key IS NULL THEN 'applied' ELSE 'withheld_conflict' END ELSE 'unresolved' END AS use
 FROM hit h LEFT JOIN cf c ON h.stream_id = c.stream_id AND h.seq = c.seq AND h.entry_type = c.entry_type AND h.scope = c.scope AND h.key = c.key AND h.speaker_id = c.speaker_id AND h.addressee_id = c.addressee_id WHERE status <> 'retired'""")
 def join12(spark, sf):
+    return applied_ledger(spark, sf)
+
+
+def applied_ledger(spark, sf):
     c, s = F.col("c_custkey"), F.col("s_suppkey")
 
     def nth(words, i):

@@ -104,6 +104,21 @@ def join5(spark, sf):
     )
 
 
+@query("join5_disagreements_of_fit_rivals", with_(EV, SIDES, PAIRS) + f""",
+fit AS (SELECT * FROM p JOIN (SELECT seq AS r_seq, k AS r_k FROM ev) USING (r_seq) WHERE overlap_ms >= 60000 AND r_k % 4 <> 0 AND r_end_ms - r_start_ms <= {4 * HOUR} AND r_end_ms - r_start_ms + 2 - r_k % 3 * 1000000 > 1),
+s AS (SELECT *, {sql_jaccard('text', 'r_text')} AS sim FROM fit)
+SELECT stream_id, seq, round(max(sim), 6) AS best_similarity, count(*) AS rivals,
+  array_to_string(list_slice(list(r_text ORDER BY r_start_ms, r_end_ms, r_seq), 1, 3), '|') AS alternatives
+FROM s GROUP BY stream_id, seq HAVING max(sim) < 0.15""")
+def join5b(spark, sf):
+    """Rivals without an alignment, with an empty one, or too long don't count."""
+    a, b = sides(spark, sf)
+    span = F.col("end_ms") - F.col("start_ms") + 2 - F.col("k") % 3 * 1_000_000
+    b = b.withColumn("span_ms", F.when(F.col("k") % 4 != 0, span))
+    out = iv.disagreements(a, b, BUCKET, 60_000, eligible=iv.recoverable(4 * HOUR))
+    return out.select("stream_id", "seq", F.round("best_similarity", 6).alias("best_similarity"), "rivals", F.array_join("alternatives", "|").alias("alternatives"))
+
+
 def durations(ev):
     return ev.select("stream_id").distinct().withColumn("duration_ms", F.lit(MONTH).cast("long"))
 
@@ -247,7 +262,7 @@ OFFSETS = f"""tb AS (SELECT stream_id, lo, CASE WHEN stream_id % 17 = 3 AND lo =
   FROM (SELECT DISTINCT stream_id FROM ev), range(3) r(i)) WHERE stream_id % 13 <> 5)"""
 
 
-@query("join9_offset_lookup", with_(EV, OFFSETS) + f""",
+MAPPED = f"""
 h AS (SELECT stream_id, bool_or(hi <= lo OR (nx IS NOT NULL AND nx <> hi)) AS broken FROM
       (SELECT *, lead(lo) OVER (PARTITION BY stream_id ORDER BY lo) AS nx FROM tb) GROUP BY stream_id),
 m AS (SELECT e.stream_id, e.seq, h.broken, h.stream_id IS NULL AS missing,
@@ -255,12 +270,11 @@ m AS (SELECT e.stream_id, e.seq, h.broken, h.stream_id IS NULL AS missing,
   e.end_ms + (SELECT off FROM tb WHERE tb.stream_id = e.stream_id AND lo <= e.end_ms AND (e.end_ms < hi OR (lo = {20 * DAY} AND e.end_ms = hi))) AS me
   FROM ev e LEFT JOIN h ON e.stream_id = h.stream_id),
 r AS (SELECT *, list_filter([CASE WHEN missing THEN 'no_table' END, CASE WHEN broken THEN 'table_not_contiguous' END,
-   CASE WHEN NOT missing AND (ms IS NULL OR me IS NULL) THEN 'outside_table' END, CASE WHEN me <= ms THEN 'mapped_range_reversed' END], lambda x: x IS NOT NULL) AS rs FROM m)
-SELECT stream_id, seq, CASE WHEN len(rs) = 0 THEN ms END AS mapped_start, CASE WHEN len(rs) = 0 THEN me END AS mapped_end,
-  CASE WHEN len(rs) = 0 THEN 'mapped' ELSE 'unresolved' END AS status, array_to_string(rs, ',') AS reasons FROM r""")
-def join9(spark, sf):
-    ev = events(spark, sf)
-    table = (
+   CASE WHEN NOT missing AND (ms IS NULL OR me IS NULL) THEN 'outside_table' END, CASE WHEN me <= ms THEN 'mapped_range_reversed' END], lambda x: x IS NOT NULL) AS rs FROM m)"""
+
+
+def offset_table(ev):
+    return (
         ev.select("stream_id").distinct().where("stream_id % 13 <> 5")
         .withColumn("i", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)])))
         .select(
@@ -269,10 +283,39 @@ def join9(spark, sf):
         )
         .withColumn("hi", F.when((F.col("stream_id") % 17 == 3) & (F.col("lo") == 0), F.col("hi") - 1).otherwise(F.col("hi")))
     )
-    out = iv.map_through_offsets(ev, table, chunk_ms=CHUNK)
+
+
+@query("join9_offset_lookup", with_(EV, OFFSETS, MAPPED.strip()) + """
+SELECT stream_id, seq, CASE WHEN len(rs) = 0 THEN ms END AS mapped_start, CASE WHEN len(rs) = 0 THEN me END AS mapped_end,
+  CASE WHEN len(rs) = 0 THEN 'mapped' ELSE 'unresolved' END AS status, array_to_string(rs, ',') AS reasons FROM r""")
+def join9(spark, sf):
+    ev = events(spark, sf)
+    out = iv.map_through_offsets(ev, offset_table(ev), chunk_ms=CHUNK)
     return out.select("stream_id", "seq", "mapped_start", "mapped_end", "status", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query("join9_stream_gate", with_(EV, OFFSETS, MAPPED.strip()) + f""",
+ok AS (SELECT stream_id, len(rs) = 0 AS mapped, ms, me, CASE WHEN stream_id % 3 <> 0 THEN {20 * DAY} + stream_id % 12 * {DAY} END AS dur FROM r),
+g AS (SELECT stream_id, count(*) AS rows, count(*) FILTER (mapped AND ms >= 0 AND NOT coalesce(me > dur + 2000, false)) AS mapped_rows,
+  count(*) FILTER (NOT mapped) AS x0, count(*) FILTER (mapped AND ms < 0) AS x1, count(*) FILTER (mapped AND me > dur + 2000) AS x2 FROM ok GROUP BY stream_id),
+an AS (SELECT DISTINCT stream_id, i, i * {DAY}::BIGINT AS t, i * {DAY}::BIGINT + (stream_id % 7 - 3) * 1000 + stream_id % 5 * 1000 AS media FROM ev, (VALUES (1), (15), (30)) v(i)),
+bad AS (SELECT a.stream_id, count(*) FILTER (NOT coalesce(abs(t + off - media) <= 2000, false)) AS x3
+  FROM an a LEFT JOIN (SELECT *, hi = max(hi) OVER (PARTITION BY stream_id) AS last FROM tb) b ON a.stream_id = b.stream_id AND t >= lo AND (t < hi OR (last AND t = hi)) GROUP BY a.stream_id),
+q AS (SELECT stream_id, rows, mapped_rows, list_filter([CASE WHEN x0 > 0 THEN 'unmapped_rows' END, CASE WHEN x1 > 0 THEN 'mapped_start_negative' END, CASE WHEN x2 > 0 THEN 'mapped_end_past_media' END,
+  CASE WHEN x3 > 0 THEN 'anchor_off_map' END], lambda x: x IS NOT NULL) AS rs FROM g LEFT JOIN bad USING (stream_id))
+SELECT stream_id, rows, mapped_rows, array_to_string(rs, ',') AS reasons, CASE WHEN len(rs) = 0 THEN 'resolved' ELSE 'unresolved' END AS status FROM q""")
+def join9b(spark, sf):
+    ev = events(spark, sf)
+    table_ = offset_table(ev)
+    streams = ev.select("stream_id").distinct()
+    media = streams.where("stream_id % 3 <> 0").withColumn("duration_ms", 20 * DAY + F.col("stream_id") % 12 * DAY)
+    day = F.col("i").cast("long") * DAY
+    anchors = streams.withColumn("i", F.explode(F.array(*map(F.lit, (1, 15, 30))))).select(
+        "stream_id", day.alias("at_ms"), (day + (F.col("stream_id") % 7 - 3) * 1000 + F.col("stream_id") % 5 * 1000).alias("media_ms"))
+    out = iv.offset_gate(iv.map_through_offsets(ev, table_, chunk_ms=CHUNK), media, anchors, table_, 2000)
+    return out.withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("join10_overlap_harvest", with_(EV, SIDES, PAIRS) + """,
 k AS (SELECT *, regexp_replace(lower(r_text), '[^\\p{L}\\p{N}]+', '', 'g') AS key FROM p
   WHERE r_family <> 'error' AND (overlap_ms * 100 >= greatest(end_ms - start_ms, 1) * 50 OR overlap_ms * 100 >= greatest(r_end_ms - r_start_ms, 1) * 50)),

@@ -210,23 +210,42 @@ def agg30c(spark, sf):
 
 GRAPH = """seg AS (SELECT stream_id, seq FROM b), evd AS (SELECT l_orderkey AS seq, o.stream_id, CAST(l_partkey AS VARCHAR) AS ref FROM lineitem JOIN b o ON o.seq = l_orderkey WHERE l_returnflag <> 'R'),
 dcn AS (SELECT o.stream_id, o.seq, CAST(l_partkey AS VARCHAR) AS ref FROM lineitem JOIN b o ON o.seq = l_orderkey WHERE l_quantity > 25),
-evl AS (SELECT stream_id, seq, CAST(seq % 10 AS VARCHAR) AS eid FROM b WHERE seq % 3 = 0),
+hyp AS (SELECT o.stream_id, CASE WHEN o.seq % 4 = 0 THEN o.seq + 100000000 ELSE o.seq END AS seq, CAST(l_linenumber AS VARCHAR) AS hid, CAST(l_partkey AS VARCHAR) AS ref FROM lineitem JOIN b o ON o.seq = l_orderkey WHERE l_linenumber > 4),
+evl AS (SELECT DISTINCT stream_id, CAST(seq % 10 AS VARCHAR) AS eid FROM b WHERE seq % 3 = 0), knw AS (SELECT DISTINCT stream_id, ref FROM evd),
 nd AS (SELECT DISTINCT id, kind FROM (SELECT 'stream:' || stream_id AS id, 'stream' AS kind FROM seg UNION ALL SELECT 'timeline:' || stream_id, 'timeline' FROM seg UNION ALL SELECT 'segment:' || stream_id || ':' || seq, 'segment' FROM seg
-  UNION ALL SELECT 'evidence:' || stream_id || ':' || ref, 'evidence' FROM evd UNION ALL SELECT 'decision:' || stream_id || ':' || seq, 'decision' FROM dcn UNION ALL SELECT 'evaluation:' || stream_id || ':' || eid, 'evaluation' FROM evl)),
-eg AS (SELECT DISTINCT * FROM (SELECT 'stream:' || stream_id AS source, 'contains' AS relation, 'timeline:' || stream_id AS target FROM seg UNION ALL SELECT 'timeline:' || stream_id, 'contains', 'segment:' || stream_id || ':' || seq FROM seg
-  UNION ALL SELECT 'evidence:' || stream_id || ':' || ref, 'aligned_to', 'segment:' || stream_id || ':' || seq FROM evd UNION ALL SELECT 'evidence:' || stream_id || ':' || ref, 'supports', 'decision:' || stream_id || ':' || seq FROM dcn
-  UNION ALL SELECT 'decision:' || stream_id || ':' || seq, 'derived_from', 'segment:' || stream_id || ':' || seq FROM dcn UNION ALL SELECT 'decision:' || stream_id || ':' || seq, 'evaluated_by', 'evaluation:' || stream_id || ':' || eid FROM evl))"""
+  UNION ALL SELECT 'evidence:' || stream_id || ':' || ref, 'evidence' FROM evd UNION ALL SELECT 'decision:' || stream_id || ':' || seq, 'decision' FROM dcn UNION ALL SELECT 'evaluation:' || stream_id || ':' || eid, 'evaluation' FROM evl
+  UNION ALL SELECT 'frame:' || stream_id || ':' || seq, 'frame' FROM seg WHERE seq % 5 = 0 UNION ALL SELECT 'hypothesis:' || stream_id || ':' || seq || ':' || hid, 'hypothesis' FROM hyp)),
+eg AS (SELECT DISTINCT * FROM (SELECT 'stream:' || stream_id AS source, 'contains' AS relation, 'segment:' || stream_id || ':' || seq AS target FROM seg UNION ALL SELECT 'timeline:' || stream_id, 'aligned_to', 'segment:' || stream_id || ':' || seq FROM seg
+  UNION ALL SELECT 'evidence:' || stream_id || ':' || ref, 'supports', 'segment:' || stream_id || ':' || seq FROM evd UNION ALL SELECT 'evidence:' || d.stream_id || ':' || d.ref, 'supports', 'decision:' || d.stream_id || ':' || d.seq FROM dcn d JOIN knw USING (stream_id, ref)
+  UNION ALL SELECT 'decision:' || stream_id || ':' || seq, 'derived_from', 'segment:' || stream_id || ':' || seq FROM dcn UNION ALL SELECT 'evaluation:' || stream_id || ':' || eid, 'evaluated_by', 'stream:' || stream_id FROM evl
+  UNION ALL SELECT 'frame:' || stream_id || ':' || seq, 'derived_from', 'segment:' || stream_id || ':' || seq FROM seg WHERE seq % 5 = 0
+  UNION ALL SELECT 'hypothesis:' || stream_id || ':' || seq || ':' || hid, 'derived_from', 'segment:' || stream_id || ':' || seq FROM hyp SEMI JOIN seg USING (stream_id, seq)
+  UNION ALL SELECT 'evidence:' || stream_id || ':' || ref, 'supports', 'hypothesis:' || stream_id || ':' || seq || ':' || hid FROM hyp JOIN knw USING (stream_id, ref)))"""
 
 
-def graph(spark, sf):
+def graph_tables(spark, sf):
     base, _ = rows(spark, sf)
     seg = base.select("stream_id", "seq")
     li = table(spark, sf, "lineitem")
-    items = li.select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").cast("string").alias("ref"), "l_returnflag", "l_quantity").join(seg, "seq")
+    items = li.select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").cast("string").alias("ref"), "l_returnflag", "l_quantity", "l_linenumber").join(seg, "seq")
     evidence = items.where("l_returnflag <> 'R'").select("stream_id", "seq", "ref")
     decisions = items.where("l_quantity > 25").groupBy("stream_id", "seq").agg(F.collect_set("ref").alias("refs"))
-    evaluations = seg.where("seq % 3 = 0").select("stream_id", "seq", (seq() % 10).cast("string").alias("evaluation_id"))
-    return ov.lineage_graph(seg, evidence, decisions, evaluations)
+    evaluations = seg.where("seq % 3 = 0").select("stream_id", (seq() % 10).cast("string").alias("evaluation_id"))
+    # a quarter of the hypotheses speak of segments that don't exist
+    place = F.when(seq() % 4 == 0, seq() + 100_000_000).otherwise(seq())
+    hypotheses = items.where("l_linenumber > 4").groupBy("stream_id", place.alias("seq"), F.col("l_linenumber").cast("string").alias("hypothesis_id")).agg(F.collect_set("ref").alias("refs"))
+    return seg, evidence, decisions, evaluations, seg.where("seq % 5 = 0"), hypotheses
+
+
+def graph(spark, sf):
+    return ov.lineage_graph(*graph_tables(spark, sf))
+
+
+@query("agg31_orphan_refs", with_(OR, GRAPH) + """SELECT DISTINCT stream_id, seq, ref, 'decision' AS location FROM dcn ANTI JOIN knw USING (stream_id, ref)
+UNION ALL SELECT DISTINCT stream_id, seq, ref, 'hypothesis.supported_by' FROM hyp ANTI JOIN knw USING (stream_id, ref)""")
+def agg31d(spark, sf):
+    _, evidence, decisions, _, _, hypotheses = graph_tables(spark, sf)
+    return ov.orphan_refs(evidence, decisions, hypotheses)
 
 
 @query("agg31_lineage_nodes", with_(OR, GRAPH) + "SELECT * FROM nd")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog.frames import CHUNK, DAY, EV, HOUR, LINE_ORDER, LN, MONTH, TN, chunked_events, events, lines, sql_compact, sql_key, sql_squeeze, sql_width, table, turns, with_
+from tidemark.catalog.frames import CHUNK, DAY, EV, HOUR, LINE_ORDER, LN, MONTH, TN, chunked_events, events, lines, sql_compact, sql_jaccard, sql_key, sql_squeeze, sql_width, table, turns, with_
 from tidemark.catalog.interval_queries import LEFT, RIGHT, SIDES, family
 from tidemark.catalog.registry import query
 from tidemark.catalog.sequence_queries import RUNS, sql_runaways
@@ -137,6 +137,37 @@ def agg24(spark, sf):
     return ru.offset_consistency(pairs, tolerance_ms=800).withColumn("coverage", F.round("coverage", 6))
 
 
+@query("agg24_row_coverage", with_(EV) + f""",
+sc AS (SELECT stream_id, start_ms // {DAY} AS scene, CASE WHEN min(k) % 3 = 0 THEN NULL ELSE min(k) * 40 END AS off, count(*) AS n, min(k) % 4 AS prof, min(k) % 7 / 10.0 AS sim FROM ev GROUP BY ALL),
+md AS (SELECT stream_id, list(off ORDER BY off)[CAST(count(off) // 2 + 1 AS INT)] AS m FROM sc WHERE off IS NOT NULL GROUP BY stream_id),
+g AS (SELECT stream_id, CAST(sum(CASE WHEN off IS NOT NULL AND prof > 0 AND abs(off - m) <= 800 THEN n ELSE 0 END) AS BIGINT) AS mapped_rows, CAST(sum(n) AS BIGINT) AS total_rows, count(off) AS candidates,
+  count(*) FILTER (off IS NOT NULL AND prof > 0 AND sim >= 0.2) AS compatible_scenes, max(m) AS median_ms, avg(CASE WHEN off IS NOT NULL THEN CAST(sim AS DOUBLE) END) AS mean FROM sc LEFT JOIN md USING (stream_id) GROUP BY stream_id)
+SELECT stream_id, mapped_rows, total_rows, candidates, compatible_scenes, median_ms, round(CAST(mapped_rows AS DOUBLE) / greatest(total_rows, 1), 6) AS coverage, round(coalesce(mean, 0), 4) AS mean_similarity,
+  CASE WHEN candidates = 0 THEN 'text-only' WHEN mapped_rows > 0 THEN 'machine-aligned' ELSE 'machine-aligned-low-confidence' END AS status FROM g""")
+def agg24c(spark, sf):
+    ev = events(spark, sf)
+    scenes = ev.groupBy("stream_id", F.floor(F.col("start_ms") / DAY).alias("scene")).agg(F.min("k").alias("k"), F.count("*").alias("n_rows"))
+    scenes = scenes.select("stream_id", "scene", F.when(F.col("k") % 3 != 0, F.col("k") * 40).alias("offset_ms"), "n_rows", (F.col("k") % 4).alias("profiles"), (F.col("k") % 7 / 10.0).alias("best_similarity"))
+    return ru.row_coverage(scenes, tolerance_ms=800).withColumn("coverage", F.round("coverage", 6))
+
+
+@query("agg4_witness_similarity", with_(TN) + f""",
+tr AS (SELECT stream_id, seq, f.family, CASE WHEN p.part = 1 THEN substr(text, 1, 40) ELSE substr(text, 41, f.n) END AS t, p.part, seq % 5 <> 0 OR f.family <> 'beta' AS fits
+  FROM tn, (VALUES ('alpha', 80), ('beta', 20), ('gamma', 0)) f(family, n), (VALUES (1), (2)) p(part) WHERE seq % 7 <> 3 AND (seq % 3 <> 0 OR f.family <> 'gamma')),
+fam AS (SELECT stream_id, seq, family, {sql_key("string_agg(t, ' ' ORDER BY part)")} AS k, bool_and(fits) AS fits FROM tr GROUP BY stream_id, seq, family),
+ok AS (SELECT stream_id, seq FROM fam GROUP BY ALL HAVING bool_and(fits)),
+own AS (SELECT f.stream_id, f.seq, max({sql_jaccard('s.k', 'f.k')}) AS s FROM fam f SEMI JOIN ok USING (stream_id, seq) JOIN (SELECT stream_id, seq, {sql_key('text')} AS k FROM tn) s USING (stream_id, seq) GROUP BY ALL),
+oth AS (SELECT a.stream_id, a.seq, max({sql_jaccard('a.k', 'b.k')}) AS a FROM fam a JOIN fam b ON a.stream_id = b.stream_id AND a.seq = b.seq AND a.family < b.family GROUP BY ALL)
+SELECT stream_id, seq, round(s, 4) AS source_similarity, round(a, 4) AS family_agreement FROM own LEFT JOIN oth USING (stream_id, seq)""")
+def agg4c(spark, sf):
+    rows = turns(spark, sf)
+    family = F.explode(F.array(*[F.struct(L(f).alias("family"), L(n).alias("n")) for f, n in (("alpha", 80), ("beta", 20), ("gamma", 0))]))
+    said = rows.where("seq % 7 <> 3").select("stream_id", "seq", "text", family.alias("f")).where("seq % 3 <> 0 or f.family <> 'gamma'")
+    said = said.withColumn("part", F.explode(F.array(L(1), L(2)))).withColumn("fits", (F.col("seq") % 5 != 0) | (F.col("f.family") != "beta"))
+    text = F.when(F.col("part") == 1, F.substring("text", 1, 40)).otherwise(F.substr("text", L(41), F.col("f.n")))
+    return ru.witness_similarity(rows, said.select("stream_id", "seq", "f.family", "part", text.alias("text"), F.col("fits").alias("block_aligned")))
+
+
 @query("agg24_anchor_bands", with_(EV) + f"""
 SELECT stream_id, count(*) FILTER (p <= 0.34) AS early, count(*) FILTER (p > 0.34 AND p < 0.67) AS middle, count(*) FILTER (p >= 0.67) AS late,
  count(*) FILTER (p <= 0.34) > 0 AND count(*) FILTER (p > 0.34 AND p < 0.67) > 0 AND count(*) FILTER (p >= 0.67) > 0 AS all_bands

@@ -230,6 +230,26 @@ def win14(spark, sf):
     return out.select("stream_id", "seq", F.col("new_end").cast("long").alias("new_end"), F.array_join("actions", ",").alias("actions"))
 
 
+@query("win14_repair_durations_out_of_order", with_(LN, f"""w AS (SELECT stream_id, seq, CASE WHEN seq % 5 = 0 THEN start_ms - 9000 WHEN seq % 7 = 0 THEN start_ms + 20000 ELSE start_ms END AS start_ms,
+  CASE WHEN seq % 3 = 0 THEN start_ms + 40000 ELSE end_ms END AS end_ms, text FROM ln),
+far AS (SELECT x.stream_id, x.seq, arg_min(y.start_ms, y.seq) AS later FROM w x JOIN w y ON x.stream_id = y.stream_id AND y.seq > x.seq AND y.start_ms > x.start_ms GROUP BY x.stream_id, x.seq),
+a AS (SELECT w.*, lead(start_ms) OVER (PARTITION BY stream_id ORDER BY seq) AS nx, later FROM w LEFT JOIN far USING (stream_id, seq)),
+b AS (SELECT *, (end_ms - start_ms > 6000 OR end_ms <= start_ms) AS stale FROM a),
+c AS (SELECT *, CASE WHEN stale THEN greatest(least(start_ms + {READ}, coalesce(later, start_ms + {READ})), start_ms + 80) ELSE end_ms END AS e1 FROM b),
+d AS (SELECT *, (e1 - start_ms < 900 AND least(start_ms + 1200, coalesce(nx, start_ms + 1200)) > e1 + 1) AS tiny FROM c),
+e AS (SELECT *, CASE WHEN tiny THEN least(start_ms + 1200, coalesce(nx, start_ms + 1200)) ELSE e1 END AS e2 FROM d),
+f AS (SELECT *, coalesce(e2 > nx + 1 AND nx > start_ms, false) AS cut FROM e)""") + """
+SELECT stream_id, seq, CASE WHEN cut THEN nx ELSE e2 END AS new_end,
+  array_to_string(list_filter([CASE WHEN stale THEN 'capped' END, CASE WHEN tiny THEN 'extended' END, CASE WHEN cut THEN 'clipped' END], lambda x: x IS NOT NULL), ',') AS actions FROM f""")
+def win14b(spark, sf):
+    """Starts that jump back and forth: the next strictly later start may stand anywhere behind the row."""
+    seq = F.col("seq")
+    start = F.when(seq % 5 == 0, F.col("start_ms") - 9000).when(seq % 7 == 0, F.col("start_ms") + 20000).otherwise(F.col("start_ms"))
+    rows = lines(spark, sf).withColumns({"start_ms": start, "end_ms": F.when(seq % 3 == 0, F.col("start_ms") + 40000).otherwise(F.col("end_ms"))})
+    out = sq.repair_durations(rows, LINE_ORDER, 6000, 900, 1200, 80)
+    return out.select("stream_id", "seq", "new_end", F.array_join("actions", ",").alias("actions"))
+
+
 @query("win15_push_forward", rec(EV, numbered("ev"), """r AS (
   SELECT stream_id, rn, seq, start_ms AS s, CASE WHEN end_ms > start_ms THEN end_ms ELSE start_ms + 11 END AS e, false AS pushed FROM nb WHERE rn = 1
   UNION ALL

@@ -208,6 +208,39 @@ def combined_gate(gates: dict[str, DataFrame], group: Sequence[str] = ("stream_i
     return out.withColumns({"gate": status, "blockers": blockers})
 
 
+# fixed values: what a release needs, by the table that must show it
+RELEASE_CHECKS = {
+    "adjudicated_gold": ("gold_suite", "status = 'pass' and adjudicated_records > 0 and locked_test_records > 0"),
+    "blind_human_review": ("blind_review", "evaluation_status = 'human-reviewed' and review_complete and reviewed_blocks > 0"),
+    "p3_p4_audit": ("audit_summary", "review_complete and reviewed_blocks > 0"),
+    "measured_review_efficiency": ("review_metrics", "metrics_status = 'demonstrated'"),
+    "human_release_approval": ("release_approval", "approved and trim(approved_by) <> ''"),
+    "sol_experiment": ("sol_experiment", "status = 'completed'"),
+}
+
+
+def release_gate(
+    streams: DataFrame, evidence: dict[str, DataFrame], group: Sequence[str] = ("stream_id",), waived: Sequence[str] = ("sol_experiment",),
+) -> DataFrame:
+    """AGG18 (release): every independent check must be shown by its own table; none stands in for another.
+
+    ``evidence`` holds tables by the names in ``RELEASE_CHECKS``, a row per stream; a missing table or row, a null, and a stream with
+    several rows that don't all pass count as not shown.  ``waived`` checks are passed without evidence: the experiment is optional
+    unless a policy asks for it, the approval may be waived as well.
+    """
+    out = streams.select(*group).distinct()
+    for check, (table, rule) in RELEASE_CHECKS.items():
+        if check in waived:
+            out = out.withColumn(check, F.lit(True))
+        elif table not in evidence:
+            out = out.withColumn(check, F.lit(False))
+        else:
+            shown = evidence[table].groupBy(*group).agg(F.bool_and(F.coalesce(F.expr(rule), F.lit(False))).alias(check))
+            out = out.join(shown, list(group), "left").withColumn(check, F.coalesce(check, F.lit(False)))
+    missing = F.array_compact(F.array(*[F.when(~F.col(c), F.lit(c)) for c in RELEASE_CHECKS]))
+    return out.withColumn("missing", missing).withColumn("status", F.when(F.size("missing") == 0, "pass").otherwise("fail"))
+
+
 def bundle_permissions(gates: DataFrame) -> DataFrame:
     """AGG18 (bundle): four gate columns (booleans) to four permissions, each needing all before it."""
     a, b, c, d = (F.coalesce(x, F.lit(False)) for x in ("structure_ok", "evidence_ok", "quality_ok", "review_ok"))

@@ -473,6 +473,36 @@ def map_through_offsets(
     ).drop("_broken", "_lo", "_hi")
 
 
+def offset_gate(
+    mapped: DataFrame, media: DataFrame | None = None, anchors: DataFrame | None = None, table: DataFrame | None = None, tolerance_ms: int = 1500,
+    keys: tuple[str, ...] = ("stream_id",),
+) -> DataFrame:
+    """JOIN9 (stream gate): a stream is resolved only if every row is mapped into the medium and every anchor fits the table.
+
+    ``mapped`` comes from ``map_through_offsets``; ``media`` holds ``duration_ms`` (no row: no upper bound), ``anchors`` ``at_ms`` and
+    ``media_ms``.  Each stream yields its row counts, its reasons and its status.
+    """
+    rows = mapped.join(media.select(*keys, "duration_ms"), list(keys), "left") if media is not None else mapped.withColumn("duration_ms", F.lit(None).cast("long"))
+    is_mapped = F.col("status") == "mapped"
+    negative = is_mapped & (F.col("mapped_start") < 0)
+    past = is_mapped & F.coalesce(F.col("mapped_end") > F.col("duration_ms") + tolerance_ms, F.lit(False))
+    counts = {"rows": F.lit(True), "mapped_rows": is_mapped & ~negative & ~past, "_none": ~is_mapped, "_neg": negative, "_past": past}
+    out = rows.groupBy(*keys).agg(*[F.count(F.when(c, 1)).alias(n) for n, c in counts.items()])
+    out = out.withColumn("_off", F.lit(0).cast("long"))
+    if anchors is not None and table is not None:
+        pieces = table.select(*keys, "lo", "hi", "offset_ms", (F.col("hi") == F.max("hi").over(Window.partitionBy(*keys))).alias("_last"))
+        held = (F.col("at_ms") >= F.col("lo")) & ((F.col("at_ms") < F.col("hi")) | (F.col("_last") & (F.col("at_ms") == F.col("hi"))))
+        on = [anchors[k] == pieces[k] for k in keys] + [held]
+        fits = F.coalesce(F.abs(F.col("at_ms") + F.col("offset_ms") - F.col("media_ms")) <= tolerance_ms, F.lit(False))
+        # a stream has a few pieces and a few anchors
+        placed = anchors.join(pieces, on, "left").select(*[anchors[k] for k in keys], fits.alias("_fits"))
+        off = placed.groupBy(*keys).agg(F.count(F.when(~F.col("_fits"), 1)).alias("_bad"))
+        out = out.join(off, list(keys), "left").withColumn("_off", F.coalesce("_bad", F.lit(0))).drop("_bad")
+    reasons = [("_none", "unmapped_rows"), ("_neg", "mapped_start_negative"), ("_past", "mapped_end_past_media"), ("_off", "anchor_off_map")]
+    out = out.withColumn("reasons", F.array_compact(F.array(*[F.when(F.col(c) > 0, F.lit(n)) for c, n in reasons])))
+    return out.withColumn("status", F.when(F.size("reasons") == 0, "resolved").otherwise("unresolved")).drop("_none", "_neg", "_past", "_off")
+
+
 def harvest_text(
     targets: DataFrame, source: DataFrame, width_ms: int, banned: Column | None = None, min_pct: int = 50,
     keys: tuple[str, ...] = ("stream_id",), levels: int = 1,
@@ -494,6 +524,24 @@ def harvest_text(
     ).drop("_rows")
 
 
+def hard_rejects(clean: Column, longest_ms: int = 7000) -> Column:
+    """Why a rival could not stand in for a missing row: too little text, no or empty alignment, too long, runaway."""
+    return F.array_compact(
+        F.array(
+            F.when(F.length(clean) < 2, "insufficient_text"),
+            F.when(F.col("span_ms").isNull(), "missing_alignment"),
+            F.when(F.col("span_ms") <= 1, "no_positive_span"),
+            F.when(F.col("end_ms") - F.col("start_ms") > longest_ms, "overlong_span"),
+            F.when(tx.has_runaway(clean), "runaway_repetition"),
+        )
+    )
+
+
+def recoverable(longest_ms: int = 7000) -> Column:
+    """JOIN5 and JOIN6: whether a rival row (with ``span_ms``) is fit to be heard."""
+    return F.size(hard_rejects(tx.squeeze(F.col("text")), longest_ms)) == 0
+
+
 def recover_gaps(
     primary: DataFrame, rivals: DataFrame, durations: DataFrame, bucket_ms: int, min_gap_ms: int = 1000,
     slack_ms: int = 80, near_ms: int = 2000, longest_ms: int = 7000, duplicate_at: float = 0.45,
@@ -526,15 +574,7 @@ def recover_gaps(
     )
     out = inside.drop("r_seq", "r_start_ms", "r_end_ms", "overlap_ms").join(around, [*keys, "gap_start"], "left")
     clean = tx.squeeze(F.col("text"))
-    hard = F.array_compact(
-        F.array(
-            F.when(F.length(clean) < 2, "insufficient_text"),
-            F.when(F.col("span_ms").isNull(), "missing_alignment"),
-            F.when(F.col("span_ms") <= 1, "no_positive_span"),
-            F.when(F.col("end_ms") - F.col("start_ms") > longest_ms, "overlong_span"),
-            F.when(tx.has_runaway(clean), "runaway_repetition"),
-        )
-    )
+    hard = hard_rejects(clean, longest_ms)
     near_dup = tx.jaccard(clean, tx.squeeze(F.coalesce("nearby", F.lit("")))) >= duplicate_at
     out = out.withColumn("_hard", hard).withColumn(
         "reject_reasons",

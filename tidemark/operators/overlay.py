@@ -243,34 +243,65 @@ def uncertainty_report(decisions: DataFrame, keys: Sequence[str] = KEYS) -> Data
     return decisions.select(*keys, why.alias("why")).where(F.size("why") > 0)
 
 
-def lineage_graph(segments: DataFrame, evidence: DataFrame, decisions: DataFrame, evaluations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """AGG31: nodes and edges of streams, timelines, segments, evidence, decisions and evaluations.
-
-    ``evidence``: stream_id, seq, ``ref``.  ``decisions``: stream_id, seq, ``refs`` (array).
-    ``evaluations``: stream_id, seq, ``evaluation_id``.
+def lineage_graph(
+    segments: DataFrame, evidence: DataFrame, decisions: DataFrame, evaluations: DataFrame,
+    frames: DataFrame | None = None, hypotheses: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """AGG31: nodes and edges of streams, timelines, segments, evidence, decisions, frames, hypotheses and evaluations.
+
+    ``evidence``: stream_id, seq, ``ref``.  ``decisions``: stream_id, seq, ``refs`` (array).  ``evaluations``: stream_id,
+    ``evaluation_id``.  ``frames``: stream_id, seq.  ``hypotheses``: stream_id, seq, ``hypothesis_id``, ``refs``.  A stream contains its
+    segments, its timeline is aligned to them; evidence supports segments, and the decisions and hypotheses that cite it; decisions, frames and
+    hypotheses are derived from their segment; an evaluation is of a stream.  Ends that are no node get no edge but from a decision or
+    frame to its segment: ``orphan_refs`` lists what cites unknown evidence.
     """
-    def nid(kind: str, *cols) -> Column:
-        return F.concat_ws(":", F.lit(kind), *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols])
-
-    def edge(df: DataFrame, source: Column, relation: str, target: Column) -> DataFrame:
-        return df.select(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target"))
+    streams = segments.select("stream_id").distinct()
+    stream, line, seg = _node_id("stream", "stream_id"), _node_id("timeline", "stream_id"), _node_id("segment", "stream_id", "seq")
+    ev, dec, frame = _node_id("evidence", "stream_id", "ref"), _node_id("decision", "stream_id", "seq"), _node_id("frame", "stream_id", "seq")
+    evl, hyp = _node_id("evaluation", "stream_id", "evaluation_id"), _node_id("hypothesis", "stream_id", "seq", "hypothesis_id")
+    known = evidence.select("stream_id", "ref").distinct()
+    there = segments.select("stream_id", "seq").distinct()
+    evaluated = evaluations.select("stream_id", "evaluation_id").distinct()
 
     def node(df: DataFrame, ident: Column, kind: str) -> DataFrame:
         return df.select(ident.alias("id"), F.lit(kind).alias("kind"))
 
-    stream, line, seg = nid("stream", "stream_id"), nid("timeline", "stream_id"), nid("segment", "stream_id", "seq")
-    ev, dec, evl = nid("evidence", "stream_id", "ref"), nid("decision", "stream_id", "seq"), nid("evaluation", "stream_id", "evaluation_id")
-    streams = segments.select("stream_id").distinct()
-    cited = decisions.select("stream_id", "seq", F.explode("refs").alias("ref"))
-    nodes = _union(
-        [node(streams, stream, "stream"), node(streams, line, "timeline"), node(segments, seg, "segment"), node(evidence, ev, "evidence"),
-         node(decisions, dec, "decision"), node(evaluations, evl, "evaluation")]
-    ).dropDuplicates(["id"])
-    edges = _union(
-        [edge(streams, stream, "contains", line), edge(segments, line, "contains", seg), edge(evidence, ev, "aligned_to", seg),
-         edge(cited, ev, "supports", dec), edge(decisions, dec, "derived_from", seg), edge(evaluations, dec, "evaluated_by", evl)]
-    ).dropDuplicates()
-    return nodes, edges
+    def edge(df: DataFrame, source: Column, relation: str, target: Column) -> DataFrame:
+        return df.select(source.alias("source"), F.lit(relation).alias("relation"), target.alias("target"))
+
+    nodes = [
+        node(streams, stream, "stream"), node(streams, line, "timeline"), node(segments, seg, "segment"), node(known, ev, "evidence"),
+        node(decisions, dec, "decision"), node(evaluated, evl, "evaluation"),
+    ]
+    edges = [
+        edge(segments, stream, "contains", seg), edge(segments, line, "aligned_to", seg), edge(evidence, ev, "supports", seg),
+        edge(decisions, dec, "derived_from", seg), edge(_cited(decisions).join(known, ["stream_id", "ref"]), ev, "supports", dec), edge(evaluated, evl, "evaluated_by", stream),
+    ]
+    if frames is not None:
+        nodes.append(node(frames, frame, "frame"))
+        edges.append(edge(frames, frame, "derived_from", seg))
+    if hypotheses is not None:
+        nodes.append(node(hypotheses, hyp, "hypothesis"))
+        edges.append(edge(hypotheses.join(there, ["stream_id", "seq"]), hyp, "derived_from", seg))
+        edges.append(edge(_cited(hypotheses, "hypothesis_id").join(known, ["stream_id", "ref"]), ev, "supports", hyp))
+    return _union(nodes).dropDuplicates(["id"]), _union(edges).dropDuplicates()
+
+
+def _node_id(kind: str, *cols: str) -> Column:
+    return F.concat_ws(":", F.lit(kind), *[F.col(c).cast("string") for c in cols])
+
+
+def _cited(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("stream_id", "seq", *more, F.explode("refs").alias("ref"))
+
+
+def orphan_refs(evidence: DataFrame, decisions: DataFrame, hypotheses: DataFrame | None = None) -> DataFrame:
+    """AGG31 (report): refs of decisions and hypotheses that name no evidence, and where they stand."""
+    known = evidence.select("stream_id", "ref").distinct()
+    cited = _cited(decisions).withColumn("location", F.lit("decision"))
+    if hypotheses is not None:
+        cited = cited.unionByName(_cited(hypotheses).withColumn("location", F.lit("hypothesis.supported_by")))
+    return cited.join(known, ["stream_id", "ref"], "left_anti").select("stream_id", "seq", "ref", "location").distinct()
 
 
 def graph_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -151,6 +151,27 @@ def source_quality(df: DataFrame, order: Order, broken: str, boilerplate: str, s
     return rows.withColumns({"reasons": reasons, "quality": status, "reuse": seen}).drop("_n", "_end")
 
 
+def witness_similarity(segments: DataFrame, transcripts: DataFrame, keys: Sequence[str] = ("stream_id", "seq"), similar: str = "bigram") -> DataFrame:
+    """AGG4 (evidence): how near each segment's families come to its text, and to each other.
+
+    ``transcripts``: keys, ``family, part, text, block_aligned``.  A family's parts are put together in order; the best family counts.
+    Segments with a transcript that is not aligned to them have no similarity.  The result feeds ``source_quality``.
+    """
+    keys = list(keys)
+    parts = F.array_sort(F.collect_list(F.struct("part", "text")))
+    said = transcripts.groupBy(*keys, "family").agg(F.array_join(parts["text"], " ").alias("_said"), F.bool_and(F.coalesce("block_aligned", F.lit(False))).alias("_fits"))
+    # a segment has as many entries as there are families
+    per = said.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("family", tx.word_key(F.col("_said")).alias("k")))).alias("_f"), F.bool_and("_fits").alias("_fits")).where("_fits")
+    rows = segments.select(*keys, tx.word_key(F.col("text")).alias("_k")).join(per, keys)
+    grid = F.flatten(F.transform("_f", lambda a, i: F.transform(F.slice("_f", i + 2, F.size("_f")), lambda b: F.struct(a["k"].alias("l"), b["k"].alias("r")))))
+    asked = F.concat(F.transform("_f", lambda f: F.struct(F.lit(True).alias("own"), F.col("_k").alias("l"), f["k"].alias("r"))), F.transform(grid, lambda p: F.struct(F.lit(False).alias("own"), p["l"].alias("l"), p["r"].alias("r"))))
+    pairs = rows.select(*keys, F.explode(asked).alias("p")).select(*keys, "p.*")
+    blank = (F.col("l") == "") | (F.col("r") == "")
+    like = F.when(blank, (F.col("l") == F.col("r")).cast("double")).otherwise(tx.similarity(similar, F.col("l"), F.col("r")))
+    best = pairs.withColumn("_s", like).groupBy(*keys).agg(F.max(F.when(F.col("own"), F.col("_s"))).alias("s"), F.max(F.when(~F.col("own"), F.col("_s"))).alias("a"))
+    return best.select(*keys, F.round("s", 4).alias("source_similarity"), F.round("a", 4).alias("family_agreement"))
+
+
 def source_quality_report(rows: DataFrame, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
     """AGG4 (report): status counts, lexical diversity and longest run per stream."""
     return rows.groupBy(*keys).agg(
@@ -213,6 +234,28 @@ def offset_consistency(pairs: DataFrame, keys: Sequence[str] = ("stream_id",), t
     return out.withColumns({"coverage": F.col("anchored") / F.col("scenes"), "status": status})
 
 
+def row_coverage(scenes: DataFrame, keys: Sequence[str] = ("stream_id",), tolerance_ms: int = 1500, similar_at: float = 0.20) -> DataFrame:
+    """AGG24 (rows): which share of a stream's rows lies in scenes that fit its timeline.
+
+    ``scenes``: keys, ``scene, offset_ms, n_rows, profiles, best_similarity``; a scene without ``offset_ms`` is no candidate.  A scene fits if
+    its offset is near the stream's upper median and somebody heard speech in it; how alike the texts are is told apart.
+    """
+    keys = list(keys)
+    median = offset_consistency(scenes, keys, tolerance_ms).select(*keys, "median_ms")
+    rows = scenes.join(median, keys)
+    candidate = F.col("offset_ms").isNotNull()
+    heard = candidate & (F.col("profiles") > 0)
+    fits = heard & (F.abs(F.col("offset_ms") - F.col("median_ms")) <= tolerance_ms)
+    out = rows.groupBy(*keys).agg(
+        F.sum(F.when(fits, F.col("n_rows")).otherwise(0)).cast("long").alias("mapped_rows"), F.sum("n_rows").cast("long").alias("total_rows"), times(candidate).alias("candidates"),
+        times(heard & (F.col("best_similarity") >= similar_at)).alias("compatible_scenes"), F.avg(F.when(candidate, F.coalesce("best_similarity", F.lit(0.0)))).alias("_mean"), F.max("median_ms").alias("median_ms"),
+    )
+    status = F.when(F.col("candidates") == 0, "text-only").when(F.col("mapped_rows") > 0, "machine-aligned").otherwise("machine-aligned-low-confidence")
+    return out.withColumns(
+        {"coverage": F.col("mapped_rows") / F.greatest(F.col("total_rows"), F.lit(1)), "status": status, "mean_similarity": F.round(F.coalesce("_mean", F.lit(0.0)), 4)}
+    ).drop("_mean")
+
+
 def anchor_bands(anchors: DataFrame, durations: DataFrame, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
     """AGG24 (bands): anchors in the early, middle and late third of each stream."""
     place = F.col("at_ms") / F.col("duration_ms")

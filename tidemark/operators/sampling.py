@@ -123,6 +123,83 @@ def commitment(key: DataFrame, cols: Sequence[str], scope: Sequence[str] = ("str
     return sums.select(*scope, "n_rows", F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[F.col(f"_p{i}").cast("string") for i in range(8)]), 256).alias("commitment"))
 
 
+# fixed values: states of a decision that hold a row back, and confidences that say little
+HELD = ("abstained", "unresolved", "untranslated", "hold")
+WEAK = ("", "low", "unknown")
+
+
+def _told(rows: DataFrame, keys: Sequence[str], found: list[tuple[Column, Column | str, str, Column]]) -> DataFrame:
+    """One row per (condition, priority, code, detail) that holds."""
+    made = [F.when(c, F.struct((F.lit(p) if isinstance(p, str) else p).alias("priority"), F.lit(code).alias("code"), d.cast("string").alias("detail"))) for c, p, code, d in found]
+    out = rows.select(*keys, F.explode(F.array_compact(F.array(*made))).alias("r"))
+    return out.select(*keys, "r.priority", "r.code", "r.detail").distinct()
+
+
+def _listed(name: str) -> Column:
+    return F.coalesce(F.col(name), F.array().cast("array<string>"))
+
+
+def decision_reasons(decisions: DataFrame, keys: Sequence[str] = ("stream_id", "seq")) -> DataFrame:
+    """TOP1 (decisions): held status, weak evidence, uncertain slots, open risks, missing refs.
+
+    ``decisions``: keys, ``status, confidence, uncertain_slots, risk_codes, evidence_refs`` (arrays; null refs are no valid list).
+    """
+    status, confidence = F.lower(F.trim(F.coalesce("status", F.lit("")))), F.lower(F.trim(F.coalesce("confidence", F.lit(""))))
+    slots, risks = _listed("uncertain_slots"), _listed("risk_codes")
+    return _told(decisions, keys, [
+        (status.isin(*HELD), "critical", "decision-status", status),
+        (confidence.isin(*WEAK), "high", "low-evidence-strength", F.coalesce(F.nullif(confidence, F.lit("")), F.lit("missing"))),
+        (F.size(slots) > 0, "high", "uncertain-slots", F.array_join(slots, ", ")),
+        (F.size(risks) > 0, "high", "unresolved-risk-or-alternative", F.array_join(risks, ", ")),
+        (F.size(_listed("evidence_refs")) == 0, "high", "missing-evidence-refs", F.lit(None)),
+    ])
+
+
+def ref_reasons(segments: DataFrame, decisions: DataFrame, contract: DataFrame, keys: Sequence[str] = ("stream_id", "seq")) -> DataFrame:
+    """TOP1 (refs): segments whose contract allows no evidence, and decisions that cite what it does not allow.
+
+    ``contract``: keys and ``evidence_refs``, the refs that a segment's decision may cite.
+    """
+    rows = segments.select(*keys).distinct().join(contract.select(*keys, F.col("evidence_refs").alias("_allowed")), list(keys), "left")
+    rows = rows.join(decisions.select(*keys, F.col("evidence_refs").alias("_cited")), list(keys), "left")
+    allowed, cited = _listed("_allowed"), _listed("_cited")
+    stray = F.array_sort(F.array_except(cited, allowed))
+    return _told(rows, keys, [
+        (F.size(allowed) == 0, "high", "queue-evidence-contract", F.lit(None)),
+        ((F.size(allowed) > 0) & (F.size(stray) > 0), "high", "unmapped-evidence-ref", F.array_join(stray, ", ")),
+    ])
+
+
+def consistency_reasons(applied: DataFrame, keys: Sequence[str] = ("stream_id", "seq"), weighty: Sequence[str] = ("register", "address_term")) -> DataFrame:
+    """TOP1 (consistency): entries that JOIN12 withheld as conflicting or left unresolved.
+
+    ``applied``: the result of ``apply_ledger``.  One reason per conflicting key, one per unresolved entry.
+    """
+    clash = applied.where("use = 'withheld_conflict'").groupBy(*keys, "entry_type", "scope", "key").agg(F.array_sort(F.collect_set(F.col("entry_id").cast("string"))).alias("ids"))
+    open_ = applied.where("use = 'unresolved'")
+    first = _told(clash, keys, [(F.lit(True), "high", "consistency-conflict", F.concat(F.col("entry_type"), F.lit(":"), F.array_join("ids", ",")))])
+    urgent = F.when(F.col("entry_type").isin(*weighty), "high").otherwise("medium")
+    second = _told(open_, keys, [(F.lit(True), urgent, "consistency-unresolved", F.concat(F.col("entry_type"), F.lit(":"), F.col("entry_id").cast("string")))])
+    return first.unionByName(second)
+
+
+def band_reasons(prior: DataFrame, keys: Sequence[str] = ("stream_id", "seq")) -> DataFrame:
+    """TOP1 (bands): what an earlier risk queue said.  ``prior``: keys, ``band, confidence, uncertain_scope``."""
+    confidence, scope = F.lower(F.trim(F.coalesce("confidence", F.lit("")))), F.trim(F.coalesce("uncertain_scope", F.lit("")))
+    return _told(prior, keys, [
+        (F.col("band") == "P1", "high", "forensics-p1", F.col("band")), (F.col("band") == "P2", "medium", "forensics-p2", F.col("band")),
+        (confidence == "low", "high", "forensics-low-confidence", confidence), (confidence == "medium", "medium", "forensics-medium-confidence", confidence),
+        (scope != "", "high", "forensics-uncertain-scope", scope),
+    ])
+
+
+def issue_reasons(issues: DataFrame, keys: Sequence[str] = ("stream_id", "seq")) -> DataFrame:
+    """TOP1 (issues): findings of a rule audit, by the ``variant`` of the text that was audited."""
+    rows = issues.where(F.col(keys[-1]).isNotNull()).withColumn("_code", F.concat_ws(":", "variant", "code"))
+    urgent = F.when(F.col("severity") == "error", "critical").otherwise("medium")
+    return rows.select(*keys, urgent.alias("priority"), F.col("_code").alias("code"), F.col("severity").alias("detail")).distinct()
+
+
 # fixed values: priority names from most to least urgent
 PRIORITY = ("critical", "high", "medium")
 
