@@ -142,13 +142,13 @@ sc AS (SELECT stream_id, start_ms // {DAY} AS scene, CASE WHEN min(k) % 3 = 0 TH
 md AS (SELECT stream_id, list(off ORDER BY off)[CAST(count(off) // 2 + 1 AS INT)] AS m FROM sc WHERE off IS NOT NULL GROUP BY stream_id),
 g AS (SELECT stream_id, CAST(sum(CASE WHEN off IS NOT NULL AND prof > 0 AND abs(off - m) <= 800 THEN n ELSE 0 END) AS BIGINT) AS mapped_rows, CAST(sum(n) AS BIGINT) AS total_rows, count(off) AS candidates,
   count(*) FILTER (off IS NOT NULL AND prof > 0 AND sim >= 0.2) AS compatible_scenes, max(m) AS median_ms, avg(CASE WHEN off IS NOT NULL THEN CAST(sim AS DOUBLE) END) AS mean FROM sc LEFT JOIN md USING (stream_id) GROUP BY stream_id)
-SELECT stream_id, mapped_rows, total_rows, candidates, compatible_scenes, median_ms, round(CAST(mapped_rows AS DOUBLE) / greatest(total_rows, 1), 6) AS coverage, round(coalesce(mean, 0), 4) AS mean_similarity,
+SELECT stream_id, mapped_rows, total_rows, candidates, compatible_scenes, median_ms, round(CAST(mapped_rows AS DOUBLE) / greatest(total_rows, 1), 6) AS coverage, round(coalesce(mean, 0), 6) AS mean_similarity,
   CASE WHEN candidates = 0 THEN 'text-only' WHEN mapped_rows > 0 THEN 'machine-aligned' ELSE 'machine-aligned-low-confidence' END AS status FROM g""")
 def agg24c(spark, sf):
     ev = events(spark, sf)
     scenes = ev.groupBy("stream_id", F.floor(F.col("start_ms") / DAY).alias("scene")).agg(F.min("k").alias("k"), F.count("*").alias("n_rows"))
     scenes = scenes.select("stream_id", "scene", F.when(F.col("k") % 3 != 0, F.col("k") * 40).alias("offset_ms"), "n_rows", (F.col("k") % 4).alias("profiles"), (F.col("k") % 7 / 10.0).alias("best_similarity"))
-    return ru.row_coverage(scenes, tolerance_ms=800).withColumn("coverage", F.round("coverage", 6))
+    return ru.row_coverage(scenes, tolerance_ms=800).withColumns({"coverage": F.round("coverage", 6), "mean_similarity": F.round("mean_similarity", 6)})
 
 
 @query("agg4_witness_similarity", with_(TN) + f""",

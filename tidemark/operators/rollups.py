@@ -252,7 +252,7 @@ def row_coverage(scenes: DataFrame, keys: Sequence[str] = ("stream_id",), tolera
     )
     status = F.when(F.col("candidates") == 0, "text-only").when(F.col("mapped_rows") > 0, "machine-aligned").otherwise("machine-aligned-low-confidence")
     return out.withColumns(
-        {"coverage": F.col("mapped_rows") / F.greatest(F.col("total_rows"), F.lit(1)), "status": status, "mean_similarity": F.round(F.coalesce("_mean", F.lit(0.0)), 4)}
+        {"coverage": F.col("mapped_rows") / F.greatest(F.col("total_rows"), F.lit(1)), "status": status, "mean_similarity": F.coalesce("_mean", F.lit(0.0))}
     ).drop("_mean")
 
 
