@@ -166,8 +166,8 @@ def top1_consistency(spark, sf):
     return sm.consistency_reasons(applied_ledger(spark, sf), weighty=("tone",))
 
 
-BANDED = told_sql("bd", ("band = 'P1'", "'high'", "forensics-p1", "band"), ("band = 'P2'", "'medium'", "forensics-p2", "band"), ("confidence = 'low'", "'high'", "forensics-low-confidence", "'low'"),
-    ("confidence = 'medium'", "'medium'", "forensics-medium-confidence", "'medium'"), ("scope <> ''", "'high'", "forensics-uncertain-scope", "scope"))
+BANDED = told_sql("bd", ("band = 'P1'", "'high'", "prior-p1", "band"), ("band = 'P2'", "'medium'", "prior-p2", "band"), ("confidence = 'low'", "'high'", "prior-low-confidence", "'low'"),
+    ("confidence = 'medium'", "'medium'", "prior-medium-confidence", "'medium'"), ("scope <> ''", "'high'", "prior-uncertain-scope", "scope"))
 
 
 @query("top1_reasons_of_bands", "WITH bd AS (SELECT l_orderkey AS stream_id, l_linenumber AS seq, 'P' || CAST(l_partkey % 4 + 1 AS VARCHAR) AS band, ['low', 'medium', 'high'][l_suppkey % 3 + 1] AS confidence, CASE WHEN l_partkey % 5 = 0 THEN 'actor' ELSE '' END AS scope FROM lineitem)\n" + BANDED)

@@ -187,9 +187,9 @@ def band_reasons(prior: DataFrame, keys: Sequence[str] = ("stream_id", "seq")) -
     """TOP1 (bands): what an earlier risk queue said.  ``prior``: keys, ``band, confidence, uncertain_scope``."""
     confidence, scope = F.lower(F.trim(F.coalesce("confidence", F.lit("")))), F.trim(F.coalesce("uncertain_scope", F.lit("")))
     return _told(prior, keys, [
-        (F.col("band") == "P1", "high", "forensics-p1", F.col("band")), (F.col("band") == "P2", "medium", "forensics-p2", F.col("band")),
-        (confidence == "low", "high", "forensics-low-confidence", confidence), (confidence == "medium", "medium", "forensics-medium-confidence", confidence),
-        (scope != "", "high", "forensics-uncertain-scope", scope),
+        (F.col("band") == "P1", "high", "prior-p1", F.col("band")), (F.col("band") == "P2", "medium", "prior-p2", F.col("band")),
+        (confidence == "low", "high", "prior-low-confidence", confidence), (confidence == "medium", "medium", "prior-medium-confidence", confidence),
+        (scope != "", "high", "prior-uncertain-scope", scope),
     ])
 
 
