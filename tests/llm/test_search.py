@@ -194,6 +194,17 @@ def test_language_filter_on_held_out_rows(spark):
     assert {r[1] for r in predict_language(odd, nothing, [F.col("doc_id")]).collect()} == {"und"}
 
 
+def test_toxicity_of_a_small_table_by_held_out_labels(spark):
+    """A few hundred labels, some thirty of them toxic to learn from: all serve lexicon, trees and calibration."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    other = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = train_toxicity(docs, labels, ~other)
+    rows = score_toxicity(docs.where(other), model, [F.col("doc_id")], ["doc_id"]).join(labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "doc_id").collect()
+    bad, good = ([r["score"] for r in rows if r["toxic"] == k] for k in (1, 0))
+    area = sum((x > y) + 0.5 * (x == y) for x in bad for y in good) / (len(bad) * len(good))
+    assert area > 0.9 and sum(x >= 0.7 for x in bad) > len(bad) / 2 and sum(x >= 0.7 for x in good) <= 1
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(4)
     bad = ["moron", "trash", "scum"]

@@ -1,10 +1,12 @@
 """Toxicity scores: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
-Labelled rows are a bounded sample (at most ``train_rows`` per class, chosen by hash) in three parts, also by hash: one learns the
-lexicon, one the trees, one the calibration, so that no part is judged by words it taught.  The lexicon holds words and word
-beginnings whose log-odds between the classes are clear of chance.  Features: densities and peaks of lexicon words and
-beginnings, distance to a second-person word, capitals, punctuation, repeated letters and signs inside words, lexicon words
-that appear only once such signs are read as letters, length.
+Labelled rows are a bounded sample (at most ``train_rows`` per class, chosen by hash).  All of them serve the lexicon, the trees and
+the calibration, out of fold: a row's features come from the lexicon of the other folds, the trees learn from such features, and
+the calibration from scores of trees that did not see the row's fold, so that no row is judged by words it taught.  New texts meet
+the lexicon and the trees of all rows.  The lexicon holds words and word beginnings whose log-odds between the classes are clear of
+chance, given how many were tried.  Features: densities and peaks of lexicon words and beginnings, distance to a second-person
+word, capitals, punctuation, repeated letters and signs inside words, lexicon words that appear only once such signs are read as
+letters, length.
 
 Defined cases: null and empty texts have all features 0 and get the model's score for that; without labelled rows every
 score is 0; with one class only, every score is that class; a label other than 0 or 1 is ignored; a document labelled
@@ -14,6 +16,8 @@ twice counts as toxic if one label says so; rows that repeat are scored alike; t
 from __future__ import annotations
 
 import dataclasses
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -79,7 +83,6 @@ class Weights(dict):
 
 
 def features_of(text: str, weights: Weights) -> list[float]:
-    import math
     import re
     from bisect import bisect_left
 
@@ -118,8 +121,12 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], keep: Sequence[Col
     return bounded_batches(rows).mapInArrow(run, f"{schema}, features array<double>")
 
 
-def learn_lexicon(sample: DataFrame, least_docs: int = 4, least_g: float = 24.0, most: int = 20_000) -> dict[str, float]:
-    """Words and beginnings that are typical of label 1: their share of documents differs by a log-likelihood ratio of ``least_g`` or more."""
+def learn_lexicons(sample: DataFrame, folds: int, least_docs: int = 4, most: int = 20_000) -> list[dict[str, float]]:
+    """For each fold the lexicon of all other rows, and last that of all rows.  ``sample``: ``text``, ``label``, ``fold``.
+
+    A lexicon holds words and beginnings that are typical of label 1: the log-likelihood ratio of their shares of documents is one
+    that chance gives to fewer than one of all terms tried.  Terms are counted once; a fold's counts are taken off the whole.
+    """
 
     def count(batches):
         from collections import Counter
@@ -127,29 +134,38 @@ def learn_lexicon(sample: DataFrame, least_docs: int = 4, least_g: float = 24.0,
         import pyarrow as pa
 
         for batch in batches:
-            seen = (Counter(), Counter())
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            seen: dict = {}
+            for text, label, fold in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 words = set(words_of(text or ""))
-                seen[label].update(words)
-                seen[label].update({s for w in words for s in starts_of(w)})
+                kept = seen.setdefault(fold, (Counter(), Counter()))[label]
+                kept.update(words)
+                kept.update({s for w in words for s in starts_of(w)})
             # a term that no toxic text of the batch holds can still matter; clean counts of all terms are needed
-            terms = sorted(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([seen[1][t] for t in terms], pa.int64()), pa.array([seen[0][t] for t in terms], pa.int64())], names=["term", "bad", "good"])
-
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n_bad, n_good = sizes.get(1, 0), sizes.get(0, 0)
-    terms = bounded_batches(sample.select("text", "label")).mapInArrow(count, "term string, bad long, good long")
-    terms = terms.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).where(F.col("bad") >= least_docs)
-    bad, good, n = F.col("bad"), F.col("good"), F.col("bad") + F.col("good")
-    odds = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
-    part = lambda seen, size: F.when(seen > 0, seen * F.log(seen * (n_bad + n_good) / (n * max(1, size)))).otherwise(0.0)
-    scored = terms.withColumn("odds", odds).withColumn("g", 2 * (part(bad, n_bad) + part(good, n_good))).where((F.col("g") >= least_g) & (F.col("odds") >= 1.5))
-    return {r["term"]: float(r["odds"]) for r in scored.orderBy(F.desc("g"), "term").limit(most).collect()}  # a bounded list: the lexicon's best terms
+            rows = [(t, fold, bad[t], good[t]) for fold, (good, bad) in sorted(seen.items()) for t in sorted(good.keys() | bad.keys())]
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["term", "fold", "bad", "good"])
+
+    sizes = {(r["fold"], r["label"]): r["n"] for r in sample.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    terms = bounded_batches(sample.select("text", "label", "fold")).mapInArrow(count, "term string, fold int, bad long, good long")
+    of = lambda name, k: F.sum(F.when(F.col("fold") == k, F.col(name)).otherwise(0)).alias(f"{name}{k}")
+    terms = terms.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), *(of(n, k) for n in ("bad", "good") for k in range(folds)))
+    terms = materialise(terms.where(F.col("bad") >= least_docs), "toxicity-terms")
+    found = []
+    for k in range(folds + 1):
+        n_bad, n_good = (sum(n for (fold, label), n in sizes.items() if label == side and fold != k) for side in (1, 0))
+        counts = terms.select("term", *((F.col(x) - F.col(f"{x}{k}") if k < folds else F.col(x)).alias(x) for x in ("bad", "good"))).where(F.col("bad") >= least_docs)
+        bad, good, n = F.col("bad"), F.col("good"), F.col("bad") + F.col("good")
+        odds = F.log((bad + 0.5) / (n_bad + 1)) - F.log((good + 0.5) / (n_good + 1))
+        part = lambda seen, size: F.when(seen > 0, seen * F.log(seen * (n_bad + n_good) / (n * max(1, size)))).otherwise(0.0)  # noqa: E731, B023
+        least_g = 2 * math.log(max(2, counts.count()))
+        scored = counts.withColumn("odds", odds).withColumn("g", 2 * (part(bad, n_bad) + part(good, n_good))).where((F.col("g") >= least_g) & (F.col("odds") >= 1.5))
+        found.append({r["term"]: float(r["odds"]) for r in scored.orderBy(F.desc("g"), "term").limit(most).collect()})  # a bounded list: the lexicon's best terms
+    return found
 
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, allowed: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    train_rows: int = 6000, rounds: int = 15, depth: int = 3,
+    train_rows: int = 6000, rounds: int = 15, depth: int = 3, folds: int = 4,
 ) -> ToxicityModel:
     """Learn from documents whose id satisfies ``allowed`` (a condition on ``labels``).  ``train_rows`` bounds each class."""
     from pyspark.ml.classification import GBTClassifier
@@ -162,22 +178,24 @@ def train_toxicity(
     picked = known.where("label = 1").orderBy("rank", "id").limit(train_rows).unionByName(known.where("label = 0").orderBy("rank", "id").limit(train_rows))
     picked = materialise(picked, "toxicity-labels")  # at most two times train_rows rows of 20 bytes, so it may be broadcast
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    part = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("part")), F.lit(100))
-    sample = materialise(texts.join(F.broadcast(picked), "id").withColumn("part", part), "toxicity-sample")
+    fold = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("fold")), F.lit(folds)).cast("int")
+    sample = materialise(texts.join(F.broadcast(picked), "id").withColumn("fold", fold), "toxicity-sample")
     classes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(classes) < 2:
         return ToxicityModel({}, None, None, float(max(classes, default=0)))
-    lexicon = learn_lexicon(sample.where("part < 45"))
-    ready = with_features(sample.where("part >= 45"), lexicon, [F.col("label").cast("double"), F.col("part")], ["label", "part"], F.col("text"))
-    ready = materialise(ready.coalesce(2), "toxicity-features").select("label", "part", array_to_vector("features").alias("features"))
-    fit, check = ready.where("part < 85"), ready.where("part >= 85")
-    share = {r["label"]: r["n"] for r in fit.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(share) < 2:
-        return ToxicityModel(lexicon, None, None, classes[1] / sum(classes.values()))
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, minInstancesPerNode=5).fit(fit)
-    scored = trees.transform(check).select("label", vector_to_array("probability")[1].alias("p"))
-    seen = {r["label"]: r["n"] for r in scored.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    calibration = IsotonicRegression(labelCol="label", featuresCol="p").fit(scored) if len(seen) == 2 and min(seen.values()) >= 20 else None
+    *others, lexicon = learn_lexicons(sample, folds)
+    made = [with_features(sample.where(F.col("fold") == k), other, [F.col("label").cast("double"), F.col("fold")], ["label", "fold"], F.col("text")) for k, other in enumerate(others)]
+    ready = materialise(functools.reduce(DataFrame.unionByName, made).coalesce(2), "toxicity-features").select("label", "fold", array_to_vector("features").alias("features"))
+    learner = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=1, minInstancesPerNode=5)
+    checked = []
+    for half in range(2):  # trees of each half of the folds score the other half
+        fit, check = ready.where(F.col("fold") % 2 == half), ready.where(F.col("fold") % 2 != half)
+        if fit.select("label").distinct().count() == 2:
+            checked.append(learner.fit(fit).transform(check).select("label", vector_to_array("probability")[1].alias("p")))
+    trees = learner.fit(ready)
+    calibration = None
+    if len(checked) == 2 and min(classes.values()) >= 20:
+        calibration = IsotonicRegression(labelCol="label", featuresCol="p").fit(checked[0].unionByName(checked[1]))
     return ToxicityModel(lexicon, trees, calibration)
 
 
