@@ -245,7 +245,7 @@ def graph(spark, sf):
 UNION ALL SELECT DISTINCT stream_id, seq, ref, 'hypothesis.supported_by' FROM hyp ANTI JOIN knw USING (stream_id, ref)""")
 def agg31d(spark, sf):
     _, evidence, decisions, _, _, hypotheses = graph_tables(spark, sf)
-    return ov.orphan_refs(evidence, decisions, hypotheses)
+    return ov.unknown_refs(evidence, decisions, hypotheses)
 
 
 @query("agg31_lineage_nodes", with_(OR, GRAPH) + "SELECT * FROM nd")

@@ -253,7 +253,7 @@ def lineage_graph(
     ``evaluation_id``.  ``frames``: stream_id, seq.  ``hypotheses``: stream_id, seq, ``hypothesis_id``, ``refs``.  A stream contains its
     segments, its timeline is aligned to them; evidence supports segments, and the decisions and hypotheses that cite it; decisions, frames and
     hypotheses are derived from their segment; an evaluation is of a stream.  Ends that are no node get no edge but from a decision or
-    frame to its segment: ``orphan_refs`` lists what cites unknown evidence.
+    frame to its segment: ``unknown_refs`` lists what cites unknown evidence.
     """
     streams = segments.select("stream_id").distinct()
     stream, line, seg = _node_id("stream", "stream_id"), _node_id("timeline", "stream_id"), _node_id("segment", "stream_id", "seq")
@@ -295,7 +295,7 @@ def _cited(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("stream_id", "seq", *more, F.explode("refs").alias("ref"))
 
 
-def orphan_refs(evidence: DataFrame, decisions: DataFrame, hypotheses: DataFrame | None = None) -> DataFrame:
+def unknown_refs(evidence: DataFrame, decisions: DataFrame, hypotheses: DataFrame | None = None) -> DataFrame:
     """AGG31 (report): refs of decisions and hypotheses that name no evidence, and where they stand."""
     known = evidence.select("stream_id", "ref").distinct()
     cited = _cited(decisions).withColumn("location", F.lit("decision"))
