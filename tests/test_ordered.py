@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators import sequences as sq
 from tidemark.operators.ordered import Order, chunked, context, fold_rows, islands, neighbour, overlap_islands, position, running
 
 
@@ -112,3 +113,20 @@ def test_partitioning_does_not_change_results(rows):
     one = islands(a.coalesce(1), order, F.col("text") == "c").select("seq", "island").collect()
     two = islands(a.repartition(9, "text"), order, F.col("text") == "c").select("seq", "island").collect()
     assert sorted(one) == sorted(two)
+
+
+def test_scans_see_whole_groups_of_a_union(spark):
+    names = ("spark.sql.unionOutputPartitioning", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.parallelismFirst")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in zip(names, ("true", "-1", "2mb", "false")):
+            spark.conf.set(n, v)
+        cuts = spark.range(600_000).select((F.col("id") % 3000).alias("stream_id"), (F.floor(F.col("id") / 3000) % 100).alias("at_ms"))
+        streams = cuts.select("stream_id").distinct().withColumn("duration_ms", F.lit(100).cast("long"))
+        got = sq.snap_windows(cuts, streams, low_ms=24, aim_ms=26, high_ms=28, overlap_ms=2)
+        # a candidate at every millisecond: each window ends at its aim, and the next begins 2 before
+        ends = got.groupBy("stream_id").agg(F.array_sort(F.collect_list("core_end")).alias("ends")).groupBy("ends").count()
+        assert [(list(r.ends), r["count"]) for r in ends.collect()] == [([26, 50, 74, 100], 3000)]
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
