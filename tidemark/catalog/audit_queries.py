@@ -8,6 +8,7 @@ from tidemark.catalog.frames import LINE_ORDER, LN, TN, lines, sql_compact, sql_
 from tidemark.catalog.interval_queries import BUCKET, LEFT, RIGHT, SIDES, PAIRS, EV, events, family
 from tidemark.catalog.registry import query
 from tidemark.functions import text as tx
+from tidemark.functions.numbers import rounded
 from tidemark.operators import audits as au
 from tidemark.operators import intervals as iv
 from tidemark.operators.ordered import neighbour
@@ -172,7 +173,7 @@ SELECT stream_id, plain, accented, digits, round(CASE WHEN tot > 0 THEN CAST(pla
 def aud9(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("stream_id"), "text")
     out = au.script_shares(docs, CLASSES)
-    return out.select("stream_id", "plain", "accented", "digits", F.round("plain_share", 6).alias("plain_share"), "dominant")
+    return out.select("stream_id", "plain", "accented", "digits", rounded("plain_share", 6).alias("plain_share"), "dominant")
 
 
 @query("aud10_residual_counts", """WITH d AS (SELECT source AS stream_id, text AS before, regexp_replace(text, 'é', 'e', 'g') AS after FROM documents)

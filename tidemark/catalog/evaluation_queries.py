@@ -10,6 +10,7 @@ from tidemark.catalog.evidence_queries import LEDGER, applied_ledger
 from tidemark.catalog.overlay_queries import OR, rows as order_rows
 from tidemark.catalog.registry import query
 from tidemark.catalog.rollup_queries import QUALITY, RISK, RUNS, quality_rows, risk
+from tidemark.functions.numbers import rounded
 from tidemark.operators import audits as au
 from tidemark.operators import evaluation as el
 from tidemark.operators import sampling as sm
@@ -283,13 +284,13 @@ def agg13(spark, sf):
     gold = rec.groupBy("universe").agg(F.count(F.when(F.col("label") == "error", 1)).alias("gold_positives"))
     gold = gold.withColumn("gold_positives", F.col("gold_positives") + F.when(F.col("universe").endswith("3"), 1).otherwise(0))
     out = el.budget_metrics(rec, gold)
-    return out.withColumns({**{c: F.round(c, 6) for c in ("recall", "precision", "critical_recall")}, "reasons": F.array_join("reasons", ",")})
+    return out.withColumns({**{c: rounded(c, 6) for c in ("recall", "precision", "critical_recall")}, "reasons": F.array_join("reasons", ",")})
 
 
 @query("agg13_budget_type_recall", with_(BUDGET) + """
 SELECT b.universe, error_type, count(*) AS gold, b.budget, count(*) FILTER (r.rank <= b.k) AS found, round(CAST(count(*) FILTER (r.rank <= b.k) AS DOUBLE) / count(*), 6) AS recall FROM bu b JOIN rc r USING (universe) WHERE label = 'error' GROUP BY ALL""")
 def agg13b(spark, sf):
-    return el.budget_type_recall(records(spark, sf)).withColumn("recall", F.round("recall", 6))
+    return el.budget_type_recall(records(spark, sf)).withColumn("recall", rounded("recall", 6))
 
 
 # --- reviewed rows and their errors ------------------------------------------------------------
@@ -337,13 +338,13 @@ def agg15(spark, sf):
 
 @query("agg16_error_row_reduction", with_(REVIEW) + "SELECT * FROM g16")
 def agg16(spark, sf):
-    return el.error_row_reduction(*reviewed(spark, sf)).withColumn("reduction_rate", F.round("reduction_rate", 6))
+    return el.error_row_reduction(*reviewed(spark, sf)).withColumn("reduction_rate", rounded("reduction_rate", 6))
 
 
 @query("agg17_fixed_preference", with_(REVIEW) + "SELECT * FROM g17")
 def agg17(spark, sf):
     out = el.fixed_preference(reviewed(spark, sf)[0], win_pct=40, loss_pct=30)
-    return out.withColumns({c: F.round(c, 6) for c in ("win_rate", "loss_rate")})
+    return out.withColumns({c: rounded(c, 6) for c in ("win_rate", "loss_rate")})
 
 
 @query("agg18_combined_gate", with_(REVIEW) + """
@@ -390,7 +391,7 @@ def agg14(spark, sf):
     issues = e.groupBy("stream_id", "seq").agg(F.collect_list(F.struct("candidate", "severity", (F.col("dimension") == "fluency").alias("uncertain"))).alias("issues"))
     scenes = r.join(issues, ["stream_id", "seq"], "left").withColumn("choice", F.col("outcome")).withColumn("issues", F.coalesce("issues", F.array().cast("array<struct<candidate:string,severity:string,uncertain:boolean>>")))
     out = el.pairwise_metrics(scenes, "improvement", "baseline")
-    return out.withColumns({c: F.round(c, 6) for c in out.columns if c.endswith("_rate") or c in ("win_low", "win_high")})
+    return out.withColumns({c: rounded(c, 6) for c in out.columns if c.endswith("_rate") or c in ("win_low", "win_high")})
 
 
 ADJ = """ky AS (SELECT o_custkey AS stream_id, o_orderkey AS seq, CASE WHEN o_orderkey % 2 = 0 THEN 'baseline' ELSE 'improvement' END AS a, CASE WHEN o_orderkey % 2 = 0 THEN 'improvement' ELSE 'baseline' END AS b FROM orders),
@@ -444,7 +445,7 @@ def agg21(spark, sf):
 SELECT condition, count(*) AS n, bool_and(m1 IS NOT NULL) AS valid, round(CASE WHEN bool_and(m1 IS NOT NULL) THEN avg(m1) END, 6) AS avg_m1, round(CASE WHEN bool_and(m1 IS NOT NULL) THEN avg(m2) END, 6) AS avg_m2 FROM r GROUP BY ALL""")
 def agg22(spark, sf):
     rows = table(spark, sf, "lineitem").select((F.col("l_suppkey") % 7).alias("condition"), F.when(~((F.col("l_suppkey") % 7 == 2) & (F.col("l_partkey") % 500 == 0)), F.col("l_quantity").cast("long")).alias("m1"), F.round(F.col("l_discount") * 100).cast("long").alias("m2"))
-    return el.condition_means(rows, ["m1", "m2"]).withColumns({c: F.round(c, 6) for c in ("avg_m1", "avg_m2")})
+    return el.condition_means(rows, ["m1", "m2"]).withColumns({c: rounded(c, 6) for c in ("avg_m1", "avg_m2")})
 
 
 @query("agg27_split_leakage", """WITH r AS (SELECT o_custkey AS stream_id, CASE WHEN o_custkey % 11 = 0 THEN 's' || CAST(o_orderkey % 3 AS VARCHAR) ELSE 's' || CAST(o_custkey % 3 AS VARCHAR) END AS split FROM orders)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.catalog.frames import CHUNK, DAY, EV, EV_ORDER, HOUR, MONTH, chunked_events, events, sql_jaccard, sql_squeeze, with_
 from tidemark.catalog.registry import query
 from tidemark.functions import text as tx
+from tidemark.functions.numbers import rounded
 from tidemark.operators import intervals as iv
 from tidemark.operators.ordered import Order
 
@@ -99,7 +100,7 @@ def join5(spark, sf):
     a, b = sides(spark, sf)
     out = iv.disagreements(a, b, BUCKET, 60_000)
     return out.select(
-        "stream_id", "seq", F.round("best_similarity", 6).alias("best_similarity"), "rivals",
+        "stream_id", "seq", rounded("best_similarity", 6).alias("best_similarity"), "rivals",
         F.array_join("alternatives", "|").alias("alternatives"),
     )
 
@@ -116,7 +117,7 @@ def join5b(spark, sf):
     span = F.col("end_ms") - F.col("start_ms") + 2 - F.col("k") % 3 * 1_000_000
     b = b.withColumn("span_ms", F.when(F.col("k") % 4 != 0, span))
     out = iv.disagreements(a, b, BUCKET, 60_000, eligible=iv.recoverable(4 * HOUR))
-    return out.select("stream_id", "seq", F.round("best_similarity", 6).alias("best_similarity"), "rivals", F.array_join("alternatives", "|").alias("alternatives"))
+    return out.select("stream_id", "seq", rounded("best_similarity", 6).alias("best_similarity"), "rivals", F.array_join("alternatives", "|").alias("alternatives"))
 
 
 def durations(ev):

@@ -8,6 +8,7 @@ from tidemark.catalog.evidence_queries import ALIASES, CAND, FLIPS, FUSE, WIT, c
 from tidemark.catalog.frames import EV, HOUR, MONTH, DAY, TN, chunked_events, events, sql_jaccard, sql_key, turns, with_
 from tidemark.catalog.interval_queries import BUCKET, durations, sides
 from tidemark.catalog.registry import query
+from tidemark.functions.numbers import rounded
 from tidemark.operators import alignment as al
 from tidemark.operators import audits as au
 from tidemark.operators import overlay as ov
@@ -50,7 +51,7 @@ sm AS (SELECT l.stream_id, l.i, list({sql_jaccard('l.key', 'r.key')} ORDER BY r.
 @query("join20_sequence_alignment", "WITH RECURSIVE " + ",\n".join((TN, *ALIGN)) + "\nSELECT stream_id, seq, match_seq, round(similarity, 6) AS similarity FROM al")
 def join20(spark, sf):
     left, right = two_lists(spark, sf)
-    return al.align_sequences(left, right, similar="bigram").withColumn("similarity", F.round("similarity", 6))
+    return al.align_sequences(left, right, similar="bigram").withColumn("similarity", rounded("similarity", 6))
 
 
 @query("join20_retime", "WITH RECURSIVE " + ",\n".join((TN, *ALIGN, """a AS (SELECT l.stream_id, l.seq, l.i, CASE WHEN x.similarity >= 0.5 THEN CAST(x.anchor AS DOUBLE) END AS an, count(*) OVER (PARTITION BY l.stream_id) AS n FROM lf l LEFT JOIN al x USING (stream_id, seq)),
@@ -64,7 +65,7 @@ def join20b(spark, sf):
     left, right = two_lists(spark, sf)
     df, order = chunked(left, Order(by=("seq",)), 1000)
     out = al.retime(df, right, order, L(0.0), L(10_000_000.0), 0.5, "bigram")
-    return out.select("stream_id", "seq", F.round("new_start", 3).alias("new_start"))
+    return out.select("stream_id", "seq", rounded("new_start", 3).alias("new_start"))
 
 
 @query("plan_transcript_quality")

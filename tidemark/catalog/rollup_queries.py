@@ -9,6 +9,7 @@ from tidemark.catalog.interval_queries import LEFT, RIGHT, SIDES, family
 from tidemark.catalog.registry import query
 from tidemark.catalog.sequence_queries import RUNS, sql_runaways
 from tidemark.functions import text as tx
+from tidemark.functions.numbers import rounded
 from tidemark.operators import rollups as ru
 from tidemark.operators.ordered import Order, chunked
 
@@ -30,8 +31,8 @@ def agg1(spark, sf):
     changed = F.when((F.col("stream_id") % 8 == 3) & (F.col("seq") == 1), F.concat("text", L("x"))).otherwise(F.col("text"))
     out = ru.qc_rollup(rows, LINE_ORDER, durations, ("limit",), source=rows.withColumn("text", changed))
     return out.select(
-        "stream_id", "cues", F.round("avg_ms", 4).alias("avg_ms"), "min_ms", "max_ms", "short_cues", "long_cues", "too_wide", "overlap_rows", "reversals", "empty_cues",
-        "runaway", F.round("cues_per_minute", 4).alias("cues_per_minute"), "content_preserved", "gate",
+        "stream_id", "cues", rounded("avg_ms", 4).alias("avg_ms"), "min_ms", "max_ms", "short_cues", "long_cues", "too_wide", "overlap_rows", "reversals", "empty_cues",
+        "runaway", rounded("cues_per_minute", 4).alias("cues_per_minute"), "content_preserved", "gate",
         F.array_join(F.transform("reasons", lambda r: F.concat_ws(":", r["code"], r["count"].cast("string"))), ",").alias("reasons"),
     )
 
@@ -100,7 +101,7 @@ SELECT stream_id, count(*) AS segments, count(*) FILTER (quality = 'trusted') AS
   round(CAST(count(DISTINCT CASE WHEN key <> '' THEN key END) AS DOUBLE) / count(*), 6) AS lexical_diversity, max(rl) AS longest_run FROM qq GROUP BY stream_id""")
 def agg4b(spark, sf):
     out = ru.source_quality_report(quality_rows(spark, sf))
-    return out.withColumn("lexical_diversity", F.round("lexical_diversity", 6))
+    return out.withColumn("lexical_diversity", rounded("lexical_diversity", 6))
 
 
 RISK = f"""a AS (SELECT *, {sql_squeeze('text')} AS k, {sql_key('text')} <> '' AS sem, end_ms - start_ms AS d FROM ln),
@@ -134,7 +135,7 @@ def agg24(spark, sf):
     ev = events(spark, sf)
     scenes = ev.groupBy("stream_id", F.floor(F.col("start_ms") / DAY).alias("scene")).agg(F.min("k").alias("k"))
     pairs = scenes.select("stream_id", "scene", F.when(F.col("k") % 3 != 0, F.col("k") * 40).alias("offset_ms"))
-    return ru.offset_consistency(pairs, tolerance_ms=800).withColumn("coverage", F.round("coverage", 6))
+    return ru.offset_consistency(pairs, tolerance_ms=800).withColumn("coverage", rounded("coverage", 6))
 
 
 @query("agg24_row_coverage", with_(EV) + f""",
@@ -148,7 +149,7 @@ def agg24c(spark, sf):
     ev = events(spark, sf)
     scenes = ev.groupBy("stream_id", F.floor(F.col("start_ms") / DAY).alias("scene")).agg(F.min("k").alias("k"), F.count("*").alias("n_rows"))
     scenes = scenes.select("stream_id", "scene", F.when(F.col("k") % 3 != 0, F.col("k") * 40).alias("offset_ms"), "n_rows", (F.col("k") % 4).alias("profiles"), (F.col("k") % 7 / 10.0).alias("best_similarity"))
-    return ru.row_coverage(scenes, tolerance_ms=800).withColumns({"coverage": F.round("coverage", 6), "mean_similarity": F.round("mean_similarity", 6)})
+    return ru.row_coverage(scenes, tolerance_ms=800).withColumns({"coverage": rounded("coverage", 6), "mean_similarity": rounded("mean_similarity", 6)})
 
 
 @query("agg4_witness_similarity", with_(TN) + f""",
@@ -217,7 +218,7 @@ def agg26(spark, sf):
     out = ru.corpus_comparison(family(ev, *LEFT), family(ev, *RIGHT), order)
     return out.select(
         "stream_id", "common", "left_pairs", "right_pairs", "left_shown_ms", "right_shown_ms",
-        *[F.round(c, 6).alias(c) for c in ("jaccard", "coverage", "precision", "length_ratio")],
+        *[rounded(c, 6).alias(c) for c in ("jaccard", "coverage", "precision", "length_ratio")],
     )
 
 

@@ -10,6 +10,7 @@ from tidemark.catalog.frames import (
 from tidemark.catalog.interval_queries import MERGE, durations
 from tidemark.catalog.registry import query
 from tidemark.functions import text as tx
+from tidemark.functions.numbers import rounded
 from tidemark.operators import sequences as sq
 from tidemark.operators.ordered import Order, chunked, context
 
@@ -302,7 +303,7 @@ SELECT stream_id, seq, round(max(raw - seq * 50) OVER (PARTITION BY stream_id OR
 def win17(spark, sf):
     df = lines(spark, sf).withColumn("anchor", F.when(F.col("seq") % 4 == 2, F.col("start_ms") + F.col("seq") % 3 * 900))
     out = sq.interpolate_starts(df, LINE_ORDER, "anchor", L(0.0), L(9_000_000.0))
-    return out.select("stream_id", "seq", F.round("new_start", 3).alias("new_start"))
+    return out.select("stream_id", "seq", rounded("new_start", 3).alias("new_start"))
 
 
 WORDS = """wd AS (SELECT stream_id, turn AS interval, turn * 100000 + pos AS seq, turn * 600000 + pos * 300 AS start_ms, turn * 600000 + pos * 300 + 250 AS end_ms, w || ' ' AS text FROM (

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.numbers import rounded
 from tidemark.operators.ordered import Order, neighbour
 
 # fixed values: control characters, spacing and punctuation patterns, default limits
@@ -61,7 +62,7 @@ def segment_issues(df: DataFrame, order: Order, rules: SegmentRules = SegmentRul
         F.when(text.rlike(PUNCTUATION), finding("repeated_punctuation", "warning")),
         F.when(F.size(tx.lines(text)) > rules.max_lines, finding("too_many_lines", "error")),
         F.when(speed.isNull(), finding("high_cps", "warning", F.lit("inf"))),
-        F.when(speed > rules.max_cps, finding("high_cps", "warning", F.round(speed, 2))),
+        F.when(speed > rules.max_cps, finding("high_cps", "warning", rounded(speed, 2))),
         F.when((span >= 1000) & (solid < 2), finding("fragment_candidate", "warning")),
         F.when((key != "") & (key == F.col("_pkey")), finding("consecutive_duplicate", "warning")),
         F.when(F.rtrim(text).endswith(".") & text.contains("?"), finding("question_regression_candidate", "warning")),

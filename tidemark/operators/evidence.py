@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import text as tx
+from tidemark.functions.numbers import rounded
 from tidemark.operators.audits import meaning_flips
 from tidemark.operators.ordered import Order, context
 from tidemark.session import materialise
@@ -135,7 +136,7 @@ def judge_hypotheses(hypotheses: DataFrame, universe: DataFrame, rules: FlipRule
     aggs = [
         F.bool_and(exact).alias("_exact"), F.bool_and(fits).alias("_fits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("risks")))).alias("risk_codes"),
         F.min("sim").alias("min_similarity"),
-        F.array_sort(F.collect_list(F.struct("lf", "rf", F.round("sim", 6).alias("similarity")))).alias("pairwise"),
+        F.array_sort(F.collect_list(F.struct("lf", "rf", rounded("sim", 6).alias("similarity")))).alias("pairwise"),
     ]
     if spans:
         pairs = pairs.withColumn("_sp", shared_spans(F.col("ln"), F.col("rn")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
+from tidemark.functions.numbers import rounded
 from tidemark.operators.ordered import Order, chunked, neighbour, position, running
 from tidemark.operators.sequences import runs
 
@@ -169,7 +170,7 @@ def witness_similarity(segments: DataFrame, transcripts: DataFrame, keys: Sequen
     blank = (F.col("l") == "") | (F.col("r") == "")
     like = F.when(blank, (F.col("l") == F.col("r")).cast("double")).otherwise(tx.similarity(similar, F.col("l"), F.col("r")))
     best = pairs.withColumn("_s", like).groupBy(*keys).agg(F.max(F.when(F.col("own"), F.col("_s"))).alias("s"), F.max(F.when(~F.col("own"), F.col("_s"))).alias("a"))
-    return best.select(*keys, F.round("s", 4).alias("source_similarity"), F.round("a", 4).alias("family_agreement"))
+    return best.select(*keys, rounded("s", 4).alias("source_similarity"), rounded("a", 4).alias("family_agreement"))
 
 
 def source_quality_report(rows: DataFrame, keys: Sequence[str] = ("stream_id",)) -> DataFrame:
