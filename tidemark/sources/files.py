@@ -1,4 +1,8 @@
-"""Scans and sinks for timed-text files, JSON lines, CSV and file inventories."""
+"""Scans and sinks for timed-text files, JSON lines, CSV and file inventories.
+
+Scans read a folder of files or, with ``packed``, a table of them: many small files as rows of a few large Parquet files, with the columns
+of Spark's own binaryFile scan.  A folder costs a create, a rename, a listing and an open for each file, and its list passes the driver.
+"""
 
 from __future__ import annotations
 
@@ -36,6 +40,23 @@ def decode_text(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(c) for c in content], columns=["text", "encoding"])
 
 
+PACKED = "path string, modificationTime timestamp, length long, content binary"
+
+
+def pack_files(members: DataFrame, path: str) -> None:
+    """SNK1 (packed): ``members`` (``name`` below ``path``, ``content``) as one table of files."""
+    content = F.col("content").cast("binary")
+    files = members.select(F.concat(F.lit(f"{path}/"), "name").alias("path"), F.current_timestamp().alias("modificationTime"), F.octet_length(content).cast("long").alias("length"), content.alias("content"))
+    files.write.mode("errorifexists").parquet(path)
+
+
+def read_files(spark: SparkSession, path: str, packed: bool = False) -> DataFrame:
+    """``path, modificationTime, length, content`` of every file below a folder or in a table of files."""
+    if packed:
+        return spark.read.schema(PACKED).parquet(path)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+
+
 def parse_blocks(files: DataFrame, text: str = "text", strict: bool = True) -> DataFrame:
     """Blocks of timed-text files: one row per block, ``reason`` set where it is malformed.
 
@@ -66,15 +87,18 @@ def parse_blocks(files: DataFrame, text: str = "text", strict: bool = True) -> D
     return out if strict else out.where(~F.col("reason").eqNullSafe(F.lit("no_arrow")))
 
 
-def scan_timed_text(spark: SparkSession, path: str, strict: bool = True, legacy: bool = False) -> DataFrame:
-    """SRC1: every block of every file below ``path`` in one job, with its file and partition columns."""
+def scan_timed_text(spark: SparkSession, path: str, strict: bool = True, legacy: bool = False, packed: bool = False) -> DataFrame:
+    """SRC1: every block of every file below ``path`` in one job, with its file and (from a folder) partition columns."""
     if legacy:
-        raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-        raw = raw.select(F.col("path").alias("file"), decode_text("content").alias("d")).select("file", "d.encoding", F.col("d.text").alias("text"))
-        return parse_blocks(raw, strict=strict)
-    raw = spark.read.text(path, wholetext=True)
-    cols = [c for c in raw.columns if c != "value"]
-    return parse_blocks(raw.select(*cols, F.col("_metadata.file_path").alias("file"), F.col("value").alias("text")), strict=strict)
+        raw = read_files(spark, path, packed).select(F.col("path").alias("file"), decode_text("content").alias("d"))
+        raw = raw.select("file", "d.encoding", F.col("d.text").alias("text"))
+    elif packed:
+        raw = read_files(spark, path, packed).select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
+    else:
+        raw = spark.read.text(path, wholetext=True)
+        cols = [c for c in raw.columns if c != "value"]
+        raw = raw.select(*cols, F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return parse_blocks(raw, strict=strict)
 
 
 def good_blocks(blocks: DataFrame) -> DataFrame:
@@ -122,13 +146,14 @@ def role_of(path: Column, roles: Sequence[tuple[str, str]]) -> Column:
 
 def file_manifest(
     spark: SparkSession, path: str, roles: Sequence[tuple[str, str]], stream_pattern: str, text_roles: Sequence[str] | None = None, digest: bool = True,
+    packed: bool = False,
 ) -> DataFrame:
     """SRC4: role, digest, size, time, encoding, block count and first/last clock of each file.
 
     Roles come from names alone.  Only files of ``text_roles`` (all roles, if not given) are decoded; files with another role or none are
     listed from their metadata, and with ``digest=False`` no byte of them is read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = read_files(spark, path, packed)
     stream, role = F.regexp_extract("path", stream_pattern, 1).alias("stream_id"), role_of(F.col("path"), roles).alias("role")
     named = files.withColumn("_role", role)
     wanted = F.col("_role").isin(list(text_roles if text_roles is not None else [name for name, _ in roles]))
@@ -157,13 +182,12 @@ def manifest_roles(manifest: DataFrame) -> DataFrame:
     return out.withColumns({"ambiguous": F.col("candidates") > 1, "path": F.when(F.col("candidates") == 1, F.col("path"))})
 
 
-def asset_index(spark: SparkSession, path: str, stream_pattern: str, clock: str = r"_(\d+(?:\.\d+)?)s") -> DataFrame:
+def asset_index(spark: SparkSession, path: str, stream_pattern: str, clock: str = r"_(\d+(?:\.\d+)?)s", packed: bool = False) -> DataFrame:
     """SRC5: assets with the seconds in their name (last match wins), byte-identical copies dropped.
 
     The earliest (time, path) of a digest stays, found by a partial-aggregated minimum.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    rows = raw.select(
+    rows = read_files(spark, path, packed).select(
         F.regexp_extract("path", stream_pattern, 1).alias("stream_id"), "path", F.sha2("content", 256).alias("sha"),
         F.regexp_extract_all("path", F.lit(clock), 1).alias("_all"),
     )
@@ -190,6 +214,19 @@ def write_timed_text(df: DataFrame, path: str, stream: str = "stream_id", by: Se
     rows.select(stream, "value").write.mode("errorifexists").partitionBy(stream).text(path)
 
 
+def pack_timed_text(df: DataFrame, path: str, stream: str = "stream_id", by: Sequence[str] = ("seq",), piece: Column | None = None) -> None:
+    """SNK1 (packed): the documents of ``write_timed_text`` as members ``stream=<id>/part-<piece>.txt`` of one table of files.
+
+    ``piece`` is a number that grows with the order: a long stream continues over as many members, and no more than a piece is gathered in
+    one row.  Without it a stream is one member.
+    """
+    rows = df.select(stream, *by, (F.lit(0) if piece is None else piece).cast("long").alias("_piece"), block_text().alias("value"))
+    blocks = F.array_sort(F.collect_list(F.struct(*by, F.concat(F.coalesce("value", F.lit("")), F.lit("\n")).alias("value"))))
+    name = F.format_string(f"{stream}=%s/part-%010d.txt", F.col(stream).cast("string"), F.col("_piece"))
+    members = rows.groupBy(stream, "_piece").agg(F.array_join(F.transform(blocks, lambda b: b["value"]), "").alias("content"))
+    pack_files(members.select(name.alias("name"), "content"), path)
+
+
 def write_once(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet") -> None:
     """SNK2: a ledger that is never overwritten."""
     writer = df.write.mode("errorifexists").format(fmt)
