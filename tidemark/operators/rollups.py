@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.functions.numbers import rounded
 from tidemark.operators.ordered import Order, chunked, neighbour, position, running
-from tidemark.operators.sequences import runs
+from tidemark.operators.sequences import runs, with_totals
 
 
 def times(cond: Column) -> Column:
@@ -124,9 +124,8 @@ def source_quality(df: DataFrame, order: Order, broken: str, boilerplate: str, s
     """
     keys = list(order.keys)
     rows = runs(df, order, tx.word_key(F.col("text")))
-    reuse = df.groupBy(*keys, tx.word_key(F.col("text")).alias("run_key")).agg(F.count("*").alias("reuse"))
-    sizes = df.groupBy(*keys).agg(F.count("*").alias("_n"), F.max("end_ms").alias("_end"))
-    rows = rows.join(reuse, [*keys, "run_key"]).join(sizes, keys)
+    rows = with_totals(rows, order, [*keys, "run_key"], {"reuse": F.count("*")})
+    rows = with_totals(rows, order, keys, {"_n": F.count("*"), "_end": F.max("end_ms")})
     if evidence is not None:
         rows = rows.join(evidence.select(*keys, "seq", "source_similarity", "family_agreement"), [*keys, "seq"], "left")
         conflict = (F.col("family_agreement") >= 0.75) & (F.col("source_similarity") < 0.35)

@@ -8,7 +8,7 @@ long stream settle independently; numbers come afterwards from a running sum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,14 +29,24 @@ def outputs(**fields: T.DataType) -> T.StructType:
 # --- runs and repeats ---------------------------------------------------------------------
 
 
+def with_totals(df: DataFrame, order: Order, group: list[str], totals: dict[str, Column]) -> DataFrame:
+    """Totals of each group of a stream's rows, beside its rows.
+
+    An unchunked order has a stream's rows in one task already, so they are windows there and the rows don't move again; a chunked one
+    joins a table of totals.
+    """
+    if order.chunk is None:
+        return df.withColumns({name: total.over(Window.partitionBy(*group)) for name, total in totals.items()})
+    return df.join(df.groupBy(*group).agg(*[total.alias(name) for name, total in totals.items()]), group)
+
+
 def runs(df: DataFrame, order: Order, key: Column) -> DataFrame:
     """WIN1: length and first row of the run of equal non-blank keys each row belongs to."""
     df = df.withColumn("_key", key)
     df = neighbour(df, order, {"_pkey": F.col("_key")})
     fresh = F.col("_pkey").isNull() | (F.col("_pkey") != F.col("_key")) | (F.col("_key") == "")
     df = islands(df, order, fresh, "_run")
-    sizes = df.groupBy(*order.keys, "_run").agg(F.count("*").alias("run_length"), F.min("seq").alias("run_start"))
-    out = df.join(sizes, [*order.keys, "_run"])
+    out = with_totals(df, order, [*order.keys, "_run"], {"run_length": F.count("*"), "run_start": F.min("seq")})
     blank = F.col("_key") == ""
     return out.withColumns(
         {
