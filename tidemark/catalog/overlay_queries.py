@@ -227,7 +227,9 @@ def graph_tables(spark, sf):
     base, _ = rows(spark, sf)
     seg = base.select("stream_id", "seq")
     li = table(spark, sf, "lineitem")
-    items = li.select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").cast("string").alias("ref"), "l_returnflag", "l_quantity", "l_linenumber").join(seg, "seq")
+    items = li.select(F.col("l_orderkey").alias("seq"), F.col("l_partkey").cast("string").alias("ref"), "l_returnflag", "l_quantity", "l_linenumber")
+    parts = graph_parts(spark, sf)
+    items = items.repartition(parts, "seq").join(seg.repartition(parts, "seq"), "seq")
     evidence = items.where("l_returnflag <> 'R'").select("stream_id", "seq", "ref")
     decisions = items.where("l_quantity > 25").groupBy("stream_id", "seq").agg(F.collect_set("ref").alias("refs"))
     evaluations = seg.where("seq % 3 = 0").select("stream_id", (seq() % 10).cast("string").alias("evaluation_id"))
@@ -237,8 +239,13 @@ def graph_tables(spark, sf):
     return seg, evidence, decisions, evaluations, seg.where("seq % 5 = 0"), hypotheses
 
 
+def graph_parts(spark, sf):
+    """A partition for each 200,000 items; the number of rows stands in the files' footers."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + table(spark, sf, "lineitem").count() // 200_000)
+
+
 def graph(spark, sf):
-    return ov.lineage_graph(*graph_tables(spark, sf))
+    return ov.lineage_graph(*graph_tables(spark, sf), parts=graph_parts(spark, sf))
 
 
 @query("agg31_orphan_refs", with_(OR, GRAPH) + """SELECT DISTINCT stream_id, seq, ref, 'decision' AS location FROM dcn ANTI JOIN knw USING (stream_id, ref)
@@ -260,7 +267,7 @@ def agg31b(spark, sf):
 
 @query("agg31_graph_orphans", with_(OR, GRAPH) + "SELECT DISTINCT e.id, e.relation FROM (SELECT source AS id, relation FROM eg UNION ALL SELECT target, relation FROM eg) e ANTI JOIN nd ON nd.id = e.id")
 def agg31c(spark, sf):
-    return ov.graph_orphans(*graph(spark, sf))
+    return ov.graph_orphans(*graph(spark, sf), parts=graph_parts(spark, sf))
 
 
 @query("agg33_contract_violations", """WITH r AS (SELECT l_orderkey AS stream_id, CAST(l_linenumber AS BIGINT) AS seq, l_partkey, CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE l_returnflag END AS flag, l_linestatus AS ls, l_quantity AS q, l_discount AS d FROM lineitem)

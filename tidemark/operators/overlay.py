@@ -245,7 +245,7 @@ def uncertainty_report(decisions: DataFrame, keys: Sequence[str] = KEYS) -> Data
 
 def lineage_graph(
     segments: DataFrame, evidence: DataFrame, decisions: DataFrame, evaluations: DataFrame,
-    frames: DataFrame | None = None, hypotheses: DataFrame | None = None,
+    frames: DataFrame | None = None, hypotheses: DataFrame | None = None, parts: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """AGG31: nodes and edges of streams, timelines, segments, evidence, decisions, frames, hypotheses and evaluations.
 
@@ -253,13 +253,14 @@ def lineage_graph(
     ``evaluation_id``.  ``frames``: stream_id, seq.  ``hypotheses``: stream_id, seq, ``hypothesis_id``, ``refs``.  A stream contains its
     segments, its timeline is aligned to them; evidence supports segments, and the decisions and hypotheses that cite it; decisions, frames and
     hypotheses are derived from their segment; an evaluation is of a stream.  Ends that are no node get no edge but from a decision or
-    frame to its segment: ``unknown_refs`` lists what cites unknown evidence.
+    frame to its segment: ``unknown_refs`` lists what cites unknown evidence.  ``parts`` partitions (the session's number, if not given) hold
+    nodes, edges and citations; a number that grows with the rows keeps a task's memory the same.
     """
     streams = segments.select("stream_id").distinct()
     stream, line, seg = _node_id("stream", "stream_id"), _node_id("timeline", "stream_id"), _node_id("segment", "stream_id", "seq")
     ev, dec, frame = _node_id("evidence", "stream_id", "ref"), _node_id("decision", "stream_id", "seq"), _node_id("frame", "stream_id", "seq")
     evl, hyp = _node_id("evaluation", "stream_id", "evaluation_id"), _node_id("hypothesis", "stream_id", "seq", "hypothesis_id")
-    known = evidence.select("stream_id", "ref").distinct()
+    known = _spread(evidence.select("stream_id", "ref"), parts, "stream_id", "ref").distinct()
     there = segments.select("stream_id", "seq").distinct()
     evaluated = evaluations.select("stream_id", "evaluation_id").distinct()
 
@@ -275,16 +276,21 @@ def lineage_graph(
     ]
     edges = [
         edge(segments, stream, "contains", seg), edge(segments, line, "aligned_to", seg), edge(evidence, ev, "supports", seg),
-        edge(decisions, dec, "derived_from", seg), edge(_cited(decisions).join(known, ["stream_id", "ref"]), ev, "supports", dec), edge(evaluated, evl, "evaluated_by", stream),
+        edge(decisions, dec, "derived_from", seg), edge(_spread(_cited(decisions), parts, "stream_id", "ref").join(known, ["stream_id", "ref"]), ev, "supports", dec), edge(evaluated, evl, "evaluated_by", stream),
     ]
     if frames is not None:
         nodes.append(node(frames, frame, "frame"))
         edges.append(edge(frames, frame, "derived_from", seg))
     if hypotheses is not None:
         nodes.append(node(hypotheses, hyp, "hypothesis"))
-        edges.append(edge(hypotheses.join(there, ["stream_id", "seq"]), hyp, "derived_from", seg))
-        edges.append(edge(_cited(hypotheses, "hypothesis_id").join(known, ["stream_id", "ref"]), ev, "supports", hyp))
-    return _union(nodes).dropDuplicates(["id"]), _union(edges).dropDuplicates()
+        placed = _spread(hypotheses, parts, "stream_id", "seq").join(_spread(there, parts, "stream_id", "seq"), ["stream_id", "seq"])
+        edges.append(edge(placed, hyp, "derived_from", seg))
+        edges.append(edge(_spread(_cited(hypotheses, "hypothesis_id"), parts, "stream_id", "ref").join(known, ["stream_id", "ref"]), ev, "supports", hyp))
+    return _spread(_union(nodes), parts, "id").dropDuplicates(["id"]), _spread(_union(edges), parts, "source", "target").dropDuplicates()
+
+
+def _spread(df: DataFrame, parts: int | None, *cols: str) -> DataFrame:
+    return df.repartition(parts, *cols) if parts else df
 
 
 def _node_id(kind: str, *cols: str) -> Column:
@@ -304,9 +310,9 @@ def unknown_refs(evidence: DataFrame, decisions: DataFrame, hypotheses: DataFram
     return cited.join(known, ["stream_id", "ref"], "left_anti").select("stream_id", "seq", "ref", "location").distinct()
 
 
-def graph_orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def graph_orphans(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
     """AGG31 (check): edge ends that are not nodes."""
-    ends = edges.select(F.explode(F.array("source", "target")).alias("id"), "relation")
+    ends = _spread(edges.select(F.explode(F.array("source", "target")).alias("id"), "relation"), parts, "id")
     return ends.join(nodes.select("id"), "id", "left_anti").distinct()
 
 
