@@ -244,8 +244,8 @@ def graph_parts(spark, sf):
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + table(spark, sf, "lineitem").count() // 200_000)
 
 
-def graph(spark, sf):
-    return ov.lineage_graph(*graph_tables(spark, sf), parts=graph_parts(spark, sf))
+def graph(spark, sf, distinct=True):
+    return ov.lineage_graph(*graph_tables(spark, sf), parts=graph_parts(spark, sf), distinct=distinct)
 
 
 @query("agg31_orphan_refs", with_(OR, GRAPH) + """SELECT DISTINCT stream_id, seq, ref, 'decision' AS location FROM dcn ANTI JOIN knw USING (stream_id, ref)
@@ -267,7 +267,7 @@ def agg31b(spark, sf):
 
 @query("agg31_graph_orphans", with_(OR, GRAPH) + "SELECT DISTINCT e.id, e.relation FROM (SELECT source AS id, relation FROM eg UNION ALL SELECT target, relation FROM eg) e ANTI JOIN nd ON nd.id = e.id")
 def agg31c(spark, sf):
-    return ov.graph_orphans(*graph(spark, sf), parts=graph_parts(spark, sf))
+    return ov.graph_orphans(*graph(spark, sf, distinct=False), parts=graph_parts(spark, sf))
 
 
 @query("agg33_contract_violations", """WITH r AS (SELECT l_orderkey AS stream_id, CAST(l_linenumber AS BIGINT) AS seq, l_partkey, CASE WHEN l_suppkey % 9 = 0 THEN '' ELSE l_returnflag END AS flag, l_linestatus AS ls, l_quantity AS q, l_discount AS d FROM lineitem)

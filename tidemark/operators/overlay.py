@@ -245,7 +245,7 @@ def uncertainty_report(decisions: DataFrame, keys: Sequence[str] = KEYS) -> Data
 
 def lineage_graph(
     segments: DataFrame, evidence: DataFrame, decisions: DataFrame, evaluations: DataFrame,
-    frames: DataFrame | None = None, hypotheses: DataFrame | None = None, parts: int | None = None,
+    frames: DataFrame | None = None, hypotheses: DataFrame | None = None, parts: int | None = None, distinct: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
     """AGG31: nodes and edges of streams, timelines, segments, evidence, decisions, frames, hypotheses and evaluations.
 
@@ -254,7 +254,7 @@ def lineage_graph(
     segments, its timeline is aligned to them; evidence supports segments, and the decisions and hypotheses that cite it; decisions, frames and
     hypotheses are derived from their segment; an evaluation is of a stream.  Ends that are no node get no edge but from a decision or
     frame to its segment: ``unknown_refs`` lists what cites unknown evidence.  ``parts`` partitions (the session's number, if not given) hold
-    nodes, edges and citations; a number that grows with the rows keeps a task's memory the same.
+    nodes, edges and citations; a number that grows with the rows keeps a task's memory the same.  With ``distinct=False`` nodes and edges may repeat.
     """
     streams = segments.select("stream_id").distinct()
     stream, line, seg = _node_id("stream", "stream_id"), _node_id("timeline", "stream_id"), _node_id("segment", "stream_id", "seq")
@@ -286,6 +286,8 @@ def lineage_graph(
         placed = _spread(hypotheses, parts, "stream_id", "seq").join(_spread(there, parts, "stream_id", "seq"), ["stream_id", "seq"])
         edges.append(edge(placed, hyp, "derived_from", seg))
         edges.append(edge(_spread(_cited(hypotheses, "hypothesis_id"), parts, "stream_id", "ref").join(known, ["stream_id", "ref"]), ev, "supports", hyp))
+    if not distinct:
+        return _union(nodes), _union(edges)
     return _spread(_union(nodes), parts, "id").dropDuplicates(["id"]), _spread(_union(edges), parts, "source", "target").dropDuplicates()
 
 
@@ -311,9 +313,9 @@ def unknown_refs(evidence: DataFrame, decisions: DataFrame, hypotheses: DataFram
 
 
 def graph_orphans(nodes: DataFrame, edges: DataFrame, parts: int | None = None) -> DataFrame:
-    """AGG31 (check): edge ends that are not nodes."""
+    """AGG31 (check): edge ends that are not nodes; both tables may repeat rows."""
     ends = _spread(edges.select(F.explode(F.array("source", "target")).alias("id"), "relation"), parts, "id")
-    return ends.join(nodes.select("id"), "id", "left_anti").distinct()
+    return ends.join(_spread(nodes.select("id"), parts, "id"), "id", "left_anti").distinct()
 
 
 @dataclass(frozen=True)
