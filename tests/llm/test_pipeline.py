@@ -84,3 +84,19 @@ def test_null_and_repeated_ids_lose_only_rows_that_link_or_hit(spark):
     docs = [(5, text("a")), (5, item), (None, item), (None, text("b")), (None, None), (6, item), (7, "")]
     got = corpus_pipeline.drop_benchmark(spark, spark.createDataFrame(docs, "doc_id long, text string"), SF).collect()
     assert sorted(map(tuple, got), key=str) == sorted([docs[0], docs[3], docs[4], docs[6]], key=str)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_not_shuffled_to_drop_a_few_of_them(spark):
+    """With no side small enough for Spark to broadcast by itself, as over large tables."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (corpus_pipeline.keep_one_of_each_group, corpus_pipeline.drop_benchmark):
+            assert "SortMergeJoin" not in plan_of(stage(spark, docs, SF))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

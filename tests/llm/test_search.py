@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
 from tidemark.llm.decontaminate import benchmark_hits, without_hits
-from tidemark.llm.jaccard_join import Rule, in_units, jaccard_groups, near_pairs, region_keys, shingle_set, word_hashes
+from tidemark.llm.jaccard_join import Rule, in_units, jaccard_groups, near_enough, near_pairs, parities, parity_gap, region_keys, shingle_set, word_hashes
 from tidemark.llm.language import predict_language, train_language_filter
 from tidemark.llm.topk import build_tree, exact_top_k, search_tree
 from tidemark.llm.toxicity import FEATURES, Weights, features_of, score_toxicity, train_toxicity
@@ -265,3 +265,21 @@ def test_near_you_at_any_length():
         assert features_of(" ".join(text), Weights({"bad": 2.0}))[FEATURES.index("near_you")] == (near / size if size else 0)
     text = " ".join(["you bad"] + ["x"] * 20 + ["you"] * 1000)
     assert features_of(text, Weights({"bad": 2.0}))[FEATURES.index("near_you")] == 1 / 1022
+
+
+def test_parities_drop_long_sets_that_share_little_and_no_linked_ones(spark):
+    rng, rule = np.random.default_rng(5), Rule(5, 80, 100)
+    sets = {}
+    for i, n in enumerate([1, 3, 40, 700, 7000, 16000]):
+        base = rng.integers(0, 2**63, n).astype("u8")
+        differ = rule.differ(n, n) // 2  # as far apart as two linked sets of one size can be
+        sets[2 * i] = np.unique(base)
+        sets[2 * i + 1] = np.unique(np.concatenate([base[differ:], rng.integers(0, 2**63, differ).astype("u8")]))
+    sets[100] = np.unique(rng.integers(0, 2**63, 15000).astype("u8"))
+    for i in range(0, 12, 2):
+        a, b = sets[i], sets[i + 1]
+        assert parity_gap(parities(a), parities(b)) <= len(np.setxor1d(a, b)) <= rule.differ(len(a), len(b))
+    made = spark.createDataFrame([(i, len(s), parities(s)) for i, s in sets.items()], "doc_id long, n int, bits binary")
+    linked = [(i, i + 1) for i in range(0, 12, 2)]
+    pairs = spark.createDataFrame([*linked, (10, 100), (8, 10)], "a long, b long")
+    assert sorted(map(tuple, near_enough(pairs, made, rule).collect())) == linked

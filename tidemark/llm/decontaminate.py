@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches, materialise, worker_table
-from tidemark.llm.jaccard_join import mix
+from tidemark.llm.jaccard_join import mix, only
 
 HIT = "doc_id long, item_id long, first_word long, n_words long, similarity double"
 ENDS = b".,;:!?\"'()[]{}<>|*_-"
@@ -368,4 +368,4 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     rows = docs.select(key.alias("__key"), F.col(text_col).alias("__text"))
     hit = benchmark_hits(rows, benchmark, id_col="__key", text_col="__text", id_type="string", **options)
     hit = materialise(hit.select(F.col("doc_id").alias("__hit")).distinct(), "benchmark-hits")
-    return docs.join(hit, key == F.col("__hit"), "left_anti")
+    return only(docs.withColumn("__key", key), hit, {"__key": "__hit"}, keep=False, store=False).drop("__key")

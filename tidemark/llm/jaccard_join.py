@@ -14,7 +14,10 @@ step keeps all links:
 4. *Document pivots.*  A region's nodes go to their nearest pivot (Voronoi regions).  A node y also goes to the window of another
    pivot p if d(y, p) <= d(y, own pivot) + 2 e, which is all that the triangle inequality leaves.  Regions join recursively.
    Distances there are between count vectors of 256 shingle classes; they never exceed the true ones, so windows lose nothing.
-5. *Exact check.*  Candidates are compared shingle by shingle (64-bit hashes).
+5. *Parities.*  Of every set there is a row of about 2 n bits, each the parity of the shingles that fall on it.  Two rows differ in
+   no more bits than their sets in shingles, so this drops most false candidates (long texts, whose class counts all look
+   alike) before any set travels.
+6. *Exact check.*  What is left is compared shingle by shingle (64-bit hashes).
 
 Only groups are asked for, so not all pairs of a dense region are compared.  First every region offers a spanning forest of its
 candidates; then, with the groups these give, all candidates that would still join two groups.
@@ -39,7 +42,7 @@ from tidemark.llm.common import bounded_batches, materialise, worker_table
 from tidemark.llm.components import components
 
 CLASSES = 256
-SKETCH = "doc_id long, n int, h1 long, h2 long, counts binary"
+SKETCH = "doc_id long, n int, h1 long, h2 long, counts binary, bits binary"
 PLACES = "node long, h1 long, regions array<long>"
 
 
@@ -119,6 +122,24 @@ def shingle_set(text: str | None, width: int, known: WordHashes):
     return np.unique(shingle_hashes(text_words(text), width, known))
 
 
+def parities(s) -> bytes:
+    """A bit for each of 2 n places or more (a power of two): the parity of the shingles that fall on it."""
+    import numpy as np
+
+    m = max(64, 1 << (2 * len(s)).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype("i8"), minlength=m) & 1).astype("u1")).tobytes()
+
+
+def parity_gap(x: bytes, y: bytes) -> int:
+    """The bits in which two rows of parities differ: at most the shingles in which their sets do."""
+    import numpy as np
+
+    a, b = sorted((np.frombuffer(x, "u1"), np.frombuffer(y, "u1")), key=len)
+    while len(b) > len(a):  # as if made with half as many places
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def region_keys(s, rule: Rule, ends: list[int]):
     """The regions of a set: its slices in its own size band and the next."""
     import numpy as np
@@ -138,13 +159,18 @@ def region_keys(s, rule: Rule, ends: list[int]):
         place = mix(np.arange(m, dtype="u8") + np.uint64(band << 40), 11)
         strong = count > 1
         out.append(mix(content[strong] + count[strong].astype("u8") + place[strong], 13))
-        for j in np.flatnonzero(~strong).tolist():
-            k = j ^ 1
-            beside = mixed[cut[k] : cut[k + 1]]
-            # the neighbour whole, and without each of its shingles
-            kinds = np.concatenate([content[k : k + 1], content[k] - beside])
-            sizes = np.concatenate([[len(beside)], np.full(len(beside), len(beside) - 1)]).astype("u8")
-            out.append(mix(mix(kinds + sizes, 17) + content[j] + count[j].astype("u8") + place[j], 19))
+        weak = np.flatnonzero(~strong)
+        if not len(weak):
+            continue
+        beside = weak ^ 1
+        # the neighbour whole, and without each of its shingles
+        many = count[beside]
+        who = np.repeat(np.arange(len(weak)), many)
+        less = mixed[np.arange(len(who)) + np.repeat(cut[beside] - np.cumsum(many) + many, many)]
+        kinds = np.concatenate([content[beside], content[beside][who] - less])
+        sizes = np.concatenate([many, many[who] - 1]).astype("u8")
+        base = content[weak] + count[weak].astype("u8") + place[weak]
+        out.append(mix(mix(kinds + sizes, 17) + np.concatenate([base, base[who]]), 19))
     return np.unique(np.concatenate(out))
 
 
@@ -158,16 +184,17 @@ def sketches(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFra
 
         known = word_hashes()
         for batch in batches:
-            n, h1, h2, counts = [], [], [], []
+            n, h1, h2, counts, bits = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, rule.width, known)
                 n.append(len(s))
                 h1.append(int(mix(s, 23).sum(dtype="u8").view("i8")))
                 h2.append(int(mix(s, 29).sum(dtype="u8").view("i8")))
                 counts.append(np.minimum(np.bincount((s & np.uint64(CLASSES - 1)).astype("i8"), minlength=CLASSES), 255).astype("u1").tobytes())
+                bits.append(parities(s))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(counts, pa.binary())],
-                names=["doc_id", "n", "h1", "h2", "counts"],
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(counts, pa.binary()), pa.array(bits, pa.binary())],
+                names=["doc_id", "n", "h1", "h2", "counts", "bits"],
             )
 
     return bounded_batches(rows).mapInArrow(run, SKETCH)
@@ -344,20 +371,45 @@ def candidates(members: DataFrame, rule: Rule, later: bool) -> DataFrame:
     return bounded_batches(rows).mapInArrow(run, OFFER).distinct()
 
 
-def only(rows: DataFrame, keys: DataFrame, on: dict[str, str], keep: bool = True, most: int = 1_000_000) -> DataFrame:
+def only(rows: DataFrame, keys: DataFrame, on: dict[str, str], keep: bool = True, most: int = 1_000_000, store: bool = True) -> DataFrame:
     """Rows whose columns (the keys of ``on``) are among ``keys``, or with ``keep=False`` are not.
 
-    At most ``most`` keys are sent to all tasks.  More are joined by a shuffle, and the rows are written down, since they
-    are read several times.
+    At most ``most`` keys are sent to all tasks, so the rows need no shuffle.  More are joined by a shuffle, and the rows are
+    written down if they are read several times (``store``).
     """
     how, same = "left_semi" if keep else "left_anti", [F.col(a) == F.col(b) for a, b in on.items()]
     if keys.limit(most + 1).count() <= most:
         return rows.join(F.broadcast(keys), same, how)
-    return materialise(rows.join(keys, same, how), "jaccard-only")
+    joined = rows.join(keys, same, how)
+    return materialise(joined, "jaccard-only") if store else joined
+
+
+def near_enough(pairs: DataFrame, made: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose parities differ in no more bits than linked sets may in shingles; ``made``: sketches of their nodes."""
+    left = made.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    right = made.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            na, nb, xa, xb = (batch.column(i).to_pylist() for i in range(2, 6))
+            keep = pa.array([parity_gap(x, y) <= rule.differ(m, n) for m, n, x, y in zip(na, nb, xa, xb, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb")
+    return bounded_batches(joined).mapInArrow(run, "a long, b long").distinct()
+
+
+def ends_of(pairs: DataFrame, name: str) -> DataFrame:
+    return pairs.select(F.col("a").alias(name)).unionByName(pairs.select(F.col("b").alias(name))).distinct()
 
 
-def verified(pairs: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose shingle sets link, compared exactly."""
+def verified(pairs: DataFrame, made: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs whose shingle sets link: by their parities first, then compared exactly."""
+    pairs = materialise(near_enough(pairs, made, rule), "jaccard-near")
+    ends = materialise(ends_of(pairs, "end"), "jaccard-ends")
+    sets = materialise(_sets(only(texts, ends, {"node": "end"}, store=False), rule), "jaccard-sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
 
@@ -423,16 +475,16 @@ def jaccard_groups(
     offered = offers.where("a is not null").select("a", "b")
     crowd = materialise(offers.where("region is not null").select(F.col("region").alias("r"), F.col("unit").alias("u")), "jaccard-more")
     dense = materialise(shared.join(crowd, (F.col("region") == F.col("r")) & (F.col("unit") == F.col("u")), "left_semi"), "jaccard-dense")
-    # 5. exact checks; then what may still join two groups
-    meeting = materialise(offered.select(F.col("a").alias("m")).unionByName(offered.select(F.col("b").alias("m"))).unionByName(dense.select(F.col("node").alias("m"))).distinct(), "jaccard-meeting")
+    # 5, 6. parities and exact checks; then what may still join two groups
+    meeting = materialise(ends_of(offered, "m").unionByName(dense.select(F.col("node").alias("m"))).distinct(), "jaccard-meeting")
     texts = only(docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("text")), meeting, {"node": "m"})
-    sets = materialise(_sets(texts, rule), "jaccard-sets")
-    links = materialise(verified(offered, sets, rule), "jaccard-links")
+    met = only(filled.select("doc_id", "n", "bits"), meeting, {"doc_id": "m"})
+    links = materialise(verified(offered, met, texts, rule), "jaccard-links")
     groups = components(links)
     members = dense.join(only(nodes.select("node", "n", "counts"), meeting, {"node": "m"}), "node")
     members = members.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rest = candidates(members, rule, later=True).select("a", "b").join(offered, ["a", "b"], "left_anti")
-    more = materialise(verified(materialise(rest, "jaccard-offers"), sets, rule), "jaccard-links")
+    more = materialise(verified(materialise(rest, "jaccard-offers"), met, texts, rule), "jaccard-links")
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     out = named.join(groups, "node", "left")

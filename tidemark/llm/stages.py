@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, materialise, scratch_dir, table
 from tidemark.llm.decontaminate import without_hits
-from tidemark.llm.jaccard_join import Rule, jaccard_groups
+from tidemark.llm.jaccard_join import Rule, jaccard_groups, only
 from tidemark.llm.mixing import poisson_mix
 from tidemark.llm.queries import END_ID, MIX, MIX_WEIGHTS, tokenizer_path
 from tidemark.llm.token_files import token_round_trip
@@ -41,9 +41,9 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     stays = linked.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select(F.col("least.row").alias("stays"))
     gone = materialise(linked.join(stays, F.col("row") == F.col("stays"), "left_anti").select(F.col("row").alias("__gone")).distinct(), "near-gone")
     again = materialise(groups.groupBy(F.col("row").alias("__again")).count().where("count > 1").drop("count"), "near-again")
-    kept = rows.join(gone, F.col("__row") == F.col("__gone"), "left_anti")
-    once = kept.join(again, F.col("__row") == F.col("__again"), "left_anti")
-    return once.unionByName(kept.join(again, F.col("__row") == F.col("__again"), "left_semi").dropDuplicates(["__row"])).select(*docs.columns)
+    kept = only(rows, gone, {"__row": "__gone"}, keep=False, store=False)
+    once = only(kept, again, {"__row": "__again"}, keep=False, store=False)
+    return once.unionByName(only(kept, again, {"__row": "__again"}, store=False).dropDuplicates(["__row"])).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
