@@ -52,6 +52,63 @@ def test_ledger_ranges_by_blocks(spark):
     assert got == sorted(want)
 
 
+LEDGER = "stream_id long, entry_id long, entry_type string, scope string, key string, value string, status string, scene_ids array<string>, speaker_id string, addressee_id string, start_block long, end_block long"
+
+
+def ledger_case(spark, seed):
+    """Ranges and positions on both sides of zero, bounds beyond all segments; the rows that must come."""
+    rng = random.Random(seed)
+    bound = lambda: rng.choice([None, None, -21, 10, 11, -(10**12), 10**12])
+    entries = [
+        (i % 3, i, rng.choice(["term", "tone"]), rng.choice(["title", "scene", "speaker", "relationship"]), "k", rng.choice(["v", "w", None]), rng.choice(["confirmed", "confirmed", "candidate", "retired"]),
+         rng.sample(["a", "b", "c", None], 2), rng.choice(["p", "q", None]), rng.choice(["p", None]), bound(), bound()) for i in range(400)
+    ]
+    segments = [(s, n, rng.choice([[], ["a"], ["a", "b"]])) for s in (0, 1) for n in range(-60, 80)]
+    speakers = [(s, n, rng.choice(["p", None]), rng.choice(["p", None]), rng.random() < 0.7) for s, n, _ in segments]
+    who = {(s, n): (sp, ad) for s, n, sp, ad, ok in speakers if ok}
+    want = []
+    for s, n, scenes in segments:
+        said, hits, found = who.get((s, n)), [], {}
+        for e in entries:
+            fits = {"title": True, "scene": bool({x for x in e[7] if x} & set(scenes)), "speaker": said is not None and e[8] is not None and said[0] == e[8], "relationship": said == (e[8], e[9])}[e[3]]
+            if e[0] == s and e[6] != "retired" and fits and (e[10] is None or n >= e[10]) and (e[11] is None or n <= e[11]):
+                hits.append(e)
+                if e[6] == "confirmed" and e[5]:
+                    found.setdefault((e[2:5], e[8:10]), set()).add(e[5])
+        for e in hits:
+            use = "unresolved" if e[6] == "candidate" else "withheld_conflict" if len(found.get((e[2:5], e[8:10]), ())) > 1 else "applied"
+            want.append((s, n, *e[1:5], e[5] or "", use))
+    frames = (spark.createDataFrame(entries, LEDGER), spark.createDataFrame(segments, "stream_id long, seq long, scene_ids array<string>"),
+              spark.createDataFrame(speakers, "stream_id long, seq long, speaker_id string, addressee_id string, trusted boolean"))
+    return frames, sorted(want)
+
+
+def test_ledger_meets_classes_of_segments(spark):
+    frames, want = ledger_case(spark, 5)
+    assert {w[-1] for w in want} == {"applied", "withheld_conflict", "unresolved"}
+    rows, classes = ev.ledger_classes(*frames)
+    # segments that nothing tells apart are matched once, and any size of tile gives the same rows
+    assert rows.count() < 0.8 * len(want) and classes.count() == 280
+    for tile in (2, 1000):
+        got = ev.spread(rows, classes, tile=tile, made=100)
+        assert sorted((*r[:6], r.value or "", r.use) for r in got.collect()) == want
+
+
+def test_ledger_is_joined_without_broadcasts(spark):
+    frames, want = ledger_case(spark, 6)
+    got = ev.apply_ledger(*frames)
+    assert "Broadcast" not in got._jdf.queryExecution().toString()
+    assert sorted((*r[:6], r.value or "", r.use) for r in got.collect()) == want
+
+
+def test_consistency_reasons_of_classes_are_those_of_segments(spark):
+    frames, _ = ledger_case(spark, 7)
+    rows, classes = ev.ledger_classes(*frames)
+    each = sm.consistency_reasons(ev.spread(rows, classes), weighty=("tone",))
+    once = ev.spread(sm.consistency_reasons(rows, weighty=("tone",)), classes)
+    assert sorted(map(tuple, once.collect())) == sorted(map(tuple, each.select(once.columns).collect())) != []
+
+
 def test_slot_conflicts_read_any_json(spark):
     claim = lambda v, s="confirmed": {"value": v, "state": s, "by": ["x"]}
     rows = [

@@ -6,15 +6,17 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.frames import DAY, EV, LINE_ORDER, LN, MONTH, chunked_events, events, lines, table, with_
 from tidemark.catalog.audit_queries import ISSUES, RULES
-from tidemark.catalog.evidence_queries import LEDGER, applied_ledger
+from tidemark.catalog.evidence_queries import LEDGER, ledger_frames
 from tidemark.catalog.overlay_queries import OR, rows as order_rows
 from tidemark.catalog.registry import query
 from tidemark.catalog.rollup_queries import QUALITY, RISK, RUNS, quality_rows, risk
 from tidemark.functions.numbers import rounded
 from tidemark.operators import audits as au
 from tidemark.operators import evaluation as el
+from tidemark.operators import evidence as ev_
 from tidemark.operators import sampling as sm
 from tidemark.operators.ordered import Order, chunked, position
+from tidemark.session import materialise
 
 L = F.lit
 
@@ -164,7 +166,8 @@ FROM hit h LEFT JOIN cf c ON h.stream_id = c.stream_id AND h.seq = c.seq AND h.e
 SELECT stream_id, seq, 'high' AS priority, 'consistency-conflict' AS code, entry_type || ':' || string_agg(DISTINCT CAST(entry_id AS VARCHAR), ',' ORDER BY CAST(entry_id AS VARCHAR)) AS detail FROM us WHERE use = 'withheld_conflict' GROUP BY stream_id, seq, entry_type, scope, key
 UNION ALL SELECT DISTINCT stream_id, seq, CASE entry_type WHEN 'tone' THEN 'high' ELSE 'medium' END, 'consistency-unresolved', entry_type || ':' || CAST(entry_id AS VARCHAR) FROM us WHERE use = 'unresolved'""")
 def top1_consistency(spark, sf):
-    return sm.consistency_reasons(applied_ledger(spark, sf), weighty=("tone",))
+    applied, classes = ev_.ledger_classes(*ledger_frames(spark, sf))
+    return ev_.spread(materialise(sm.consistency_reasons(applied, weighty=("tone",)), "reasons"), classes)
 
 
 BANDED = told_sql("bd", ("band = 'P1'", "'high'", "prior-p1", "band"), ("band = 'P2'", "'medium'", "prior-p2", "band"), ("confidence = 'low'", "'high'", "prior-low-confidence", "'low'"),
