@@ -101,6 +101,14 @@ def test_ledger_is_joined_without_broadcasts(spark):
     assert sorted((*r[:6], r.value or "", r.use) for r in got.collect()) == want
 
 
+def test_one_large_class_is_many_tasks(spark):
+    rows = spark.createDataFrame([(1, 7, i) for i in range(300)], "stream_id long, seq long, entry_id long")
+    classes = spark.createDataFrame([(1, i, 7) for i in range(7, 407)], "stream_id long, seq long, _first long")
+    got = ev.spread(rows, classes, tile=40, made=8_000)
+    per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 300 * 400 == got.distinct().count() and len(per) > 8 and max(per) < 0.25 * sum(per), per
+
+
 def test_consistency_reasons_of_classes_are_those_of_segments(spark):
     frames, _ = ledger_case(spark, 7)
     rows, classes = ev.ledger_classes(*frames)
